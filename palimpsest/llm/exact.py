@@ -48,15 +48,14 @@ _ITEM = r'^[\s\-*•>–—"]*([\p{L}\p{N}_][\p{L}\p{N}_ ]*?)"?\s*[:=]\s*(\S.*)$
 
 
 def canonical(content: Column) -> Column:
-    """Hash of the canonical form: sorted (name, value) pairs, or the words in order."""
+    """Hash of the canonical form: sorted (name, value) pairs ('f' before it), or the words in order ('w')."""
     fields = json_fields(content)
     entries = F.transform(F.map_entries(fields), lambda e: F.concat(stripped(e["key"]), F.lit("="), stripped(F.coalesce(e["value"], F.lit("")))))
     parts = F.filter(F.split(content, r"[|;,\n]"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     named = (F.size(parts) > 1) & F.forall(parts, lambda x: x.rlike(_ITEM))
     pairs = F.transform(parts, lambda x: F.concat(stripped(F.regexp_extract(x, _ITEM, 1)), F.lit("="), stripped(F.regexp_extract(x, _ITEM, 2))))
-    joined = lambda items: F.concat(F.lit("fields:"), F.concat_ws("|", F.array_sort(items)))
-    form = F.when(F.size(fields) > 0, joined(entries)).when(named, joined(pairs)).otherwise(F.concat(F.lit("words:"), stripped(content)))
-    return F.sha2(form, 256)
+    joined = lambda items: F.concat(F.lit("f"), F.sha2(F.concat_ws("|", F.array_sort(items)), 256))
+    return F.when(F.size(fields) > 0, joined(entries)).when(named, joined(pairs)).otherwise(F.concat(F.lit("w"), F.sha2(stripped(content), 256)))
 
 
 def refine(records: DataFrame) -> DataFrame:
@@ -67,8 +66,11 @@ def refine(records: DataFrame) -> DataFrame:
     level0 = seen.select("id", "content", F.xxhash64(F.length("__s"), *counts).alias("c0"))
     # Rows of an id count once, so a class is one of several only with several ids.
     classes = level0.groupBy("c0").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("c0")
-    level1 = level0.join(classes, "c0", "left_semi").select("id", canonical(F.col("content")).alias("key"))
-    return level1.distinct()
+    level1 = level0.join(classes, "c0", "left_semi").select("id", canonical(F.col("content")).alias("form"), F.sha2(stripped(F.col("content")), 256).alias("words")).distinct()
+    # Text with the words of a set of fields in the same order belongs to it; the pairs of forms are few.
+    level1 = durable(level1)
+    mixed = level1.groupBy("words").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least < most").select("words", "least")
+    return level1.join(mixed, "words", "left").select("id", F.coalesce("least", "form").alias("key")).distinct()
 
 
 def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.exact import collapse
+from palimpsest.llm.mixing import mix
+from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_personal, masked
+from palimpsest.llm.quality import classify
+from palimpsest.llm.tokens import token_counts
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,15 +47,46 @@ def p4_masked(spark: SparkSession, d: str) -> DataFrame:
     return masked(records, find_personal(records)[0])
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """A container number per document, or per piece of an oversized one, for each capacity."""
+    items = token_counts(_table(spark, d, "documents"), "doc_id", "text")
+    specs = [(r["spec_id"], r["capacity_tokens"]) for r in _table(spark, d, "pack_specs").where("capacity_tokens > 0").collect()]
+    return pack(items, specs).withColumnRenamed("key", "doc_id")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix(token_counts(_table(spark, d, "documents"), "doc_id", "text", ["source"]), _table(spark, d, "source_targets"))
+
+
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their uses."""
+    return _mixed(spark, d)[0].withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixed(spark, d)[1]
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, outlierness with its contributions, and class."""
+    return classify(*[_table(spark, d, n) for n in ("documents", "quality_samples", "common_words")])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_statistics(spark, d).where("text_class != 'prose'").select("doc_id", "text_class")
+
+
 _P3_BASE = r"""
 with r as (select id, any_value(content) as content from (select id, content from working_memory union all select id, content from memories) where id is not null and content is not null group by id),
 parts as (select *, list_filter(regexp_split_to_array(content, '[|;,\n]'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) as items,
   case when regexp_matches(content, '^\s*\{') and json_valid(content) then json_type(content) = 'OBJECT' else false end as is_json from r),
-forms as (select id, case
+forms0 as (select id, case
   when is_json then 'f' || array_to_string(list_sort(list_transform(json_keys(content), lambda k: SQ(k) || '=' || SQ(coalesce(json_extract_string(content, '$."' || k || '"'), '')))), '|')
   when len(items) > 1 and list_bool_and(list_transform(items, lambda x: regexp_matches(x, ITEM))) then
     'f' || array_to_string(list_sort(list_transform(items, lambda x: SQ(regexp_extract(x, ITEM, 1)) || '=' || SQ(regexp_extract(x, ITEM, 2)))), '|')
   else 'w' || SQ(content) end as form, SQ(content) as words from parts),
+forms as (select id, words, min(form) over (partition by words) as form from forms0),
 g as (select form, min(id) as keep_id, count(*)::bigint as n_copies from forms where words <> '' group by form having count(*) > 1)
 """
 
@@ -77,4 +112,9 @@ QUERIES = {
     "p3_collapsed": (p3_collapsed, _P3 + "select keep_id, n_copies from g"),
     "p4_found": (p4_found, None),
     "p4_masked": (p4_masked, None),
+    "p7_containers": (p7_containers, None),
+    "p8_uses": (p8_uses, None),
+    "p8_shares": (p8_shares, None),
+    "p9_found": (p9_found, None),
+    "p9_statistics": (p9_statistics, None),
 }
