@@ -4,9 +4,9 @@ Every document gets a rate, 1 tilted exponentially by its tokens, capped at its
 source's repeats: the rates closest to 1 in entropy that meet each source's share
 of tokens.  The convex dual has one multiplier per source; safeguarded Newton
 steps run on sums over (source, tokens) counts, aggregated in Spark.  Rates
-become copies per (source, tokens) group: each document gets the whole part, the
-group's rounded rest goes to its first documents by hashed rank; fractions are
-carried over groups so that totals stay on target.
+become copies per (source, tokens) group, longest texts first, with the tokens
+still due carried on, so that totals end within a short text of the target; a
+group's documents get equal copies, the rest goes to the first by hashed rank.
 
 The total is the largest for which every source can reach its share within its
 repeats, but no more than all tokens.  Documents of a null or unlisted source,
@@ -16,6 +16,7 @@ reach any share: it is left out and the other shares are scaled to one.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def _choose(values: dict[str, float]):
     return F.element_at(F.create_map(*pairs), F.col("source"))
 
 
+def round_rates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole copies per group of one source, longest first, with the tokens still due carried to the shorter ones."""
+    pdf = pdf.sort_values("tokens", ascending=False)
+    copies, due = [], 0.0
+    for tokens, n, rate, cap in zip(pdf.tokens, pdf.n, pdf.rate, pdf.cap):
+        due += float(tokens) * n * rate
+        k = int(min(max(round(due / tokens), 0), n * cap))
+        copies.append(k)
+        due -= float(tokens) * k
+    return pd.DataFrame({"source": pdf.source, "tokens": pdf.tokens, "n": pdf.n, "copies": copies})
+
+
 def mix(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uses: key, source, tokens, uses; report: source, target_share, actual_share, documents, uses, tokens, max_repeats).
 
@@ -79,13 +92,9 @@ def mix(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = {s: (w * total, m) for s, (w, m) in shares.items()}
     tilt = solve_tilts(groups.where(F.col("source").isin(list(shares))), wanted, scale)
     rate = F.least(F.exp(F.least(_choose(tilt) * F.col("tokens") / scale, F.lit(50.0))), _choose({s: float(m) for s, (_, m) in shares.items()}))
-    # Rounding carries the exact running sum of tokens over the groups of a source, long texts first.
-    order = W.partitionBy("source").orderBy(F.desc("tokens"))
-    planned = groups.where(F.col("source").isin(list(shares))).withColumn("rate", rate).withColumn("due", F.col("rate") * F.col("n"))
-    upto = F.round(F.sum("due").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    planned = planned.withColumn("upto", upto).withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0.0)))
-    cap = _choose({s: float(m) for s, (_, m) in shares.items()})
-    planned = planned.select("source", "tokens", F.greatest(F.lit(0.0), F.least(F.col("copies"), F.col("n") * cap)).cast("long").alias("copies"), "n")
+    planned = groups.where(F.col("source").isin(list(shares))).withColumn("rate", rate).withColumn("cap", _choose({s: float(m) for s, (_, m) in shares.items()}))
+    # One row per source and length, so a source is as long as its longest text at most, however many documents it has.
+    planned = planned.groupBy("source").applyInPandas(round_rates, "source string, tokens bigint, n bigint, copies bigint")
     ranked = with_rank(items, ["source", "tokens"], F.xxhash64("key"))
     uses = ranked.join(planned, ["source", "tokens"]).withColumn("uses", F.expr("copies div n + int(rank < copies % n)")).where("uses > 0")
     uses = durable(uses.select("key", "source", "tokens", "uses"))
