@@ -29,7 +29,8 @@ def recency(us: Column, ref_us: int, scale_hours: float = 168.0) -> Column:
 def temporal_boost(us: Column, at_us: int, scale_hours: float = 24.0) -> Column:
     """exp(-age / scale) with future rows clamped to 1, a missing time gives 0."""
     scale = scale_hours if scale_hours and scale_hours > 0 and scale_hours != float("inf") else 24.0
-    return F.coalesce(F.exp(-F.greatest(F.lit(0.0), age_hours(us, at_us)) / scale), F.lit(0.0))
+    # greatest() skips nulls, so a missing time is tested first.
+    return F.when(us.isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0.0), age_hours(us, at_us)) / scale))
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -41,7 +42,7 @@ def weibull(us: Column, ref_us: int, memory_type: Column) -> Column:
     """exp(-(age / eta) ** k) by type (an unknown type is general); ages below zero count as zero, a missing time gives 0.5."""
     k = lookup({t: p[0] for t, p in WEIBULL.items()}, memory_type, 1.0)
     eta = lookup({t: p[1] for t, p in WEIBULL.items()}, memory_type, 168.0)
-    return F.coalesce(F.exp(-F.pow(F.greatest(F.lit(0.0), age_hours(us, ref_us)) / eta, k)), F.lit(0.5))
+    return F.when(us.isNull(), 0.5).otherwise(F.exp(-F.pow(F.greatest(F.lit(0.0), age_hours(us, ref_us)) / eta, k)))
 
 
 def veracity_weight(veracity: Column) -> Column:

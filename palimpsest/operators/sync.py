@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def winners(events: DataFrame, key: str, at: str, importance: str, device: str, event: str) -> DataFrame:
-    """The event that wins per key: latest, then most important, then greatest device and id.  Pre-aggregated, no window."""
+    """The event that wins per key: latest, then most important, then greatest device and id.  Pre-aggregated, no window; events without a key or time are left out."""
     best = F.max(F.struct(F.col(at), F.coalesce(F.col(importance), F.lit(0.0)), F.col(device), F.col(event)))
-    return events.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("b")).select(key, F.col("b")[event].alias(event), F.col("b")[at].alias(at))
+    return events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key).agg(best.alias("b")).select(key, F.col("b")[event].alias(event), F.col("b")[at].alias(at))
 
 
 def dominated(events: DataFrame, event: str, parents: str) -> DataFrame:

@@ -587,7 +587,7 @@ def l13_health(spark, d):
 
 @query(f"with heads as (select * from {ME} where seen is not null and event_id not in (select unnest(cast(json(parent_event_ids) as varchar[])) from memory_events where parent_event_ids is not null)) select memory_id, arg_max(event_id, (seen, coalesce(importance, 0), device_id, event_id)) as event_id from heads where memory_id is not null group by memory_id")
 def t9_chain_winners(spark, d):
-    return sync.chain_winners(me(spark, d).where("seen is not null"), "memory_id", "seen", "importance", "device_id", "event_id", "parent_event_ids").select("memory_id", "event_id")
+    return sync.chain_winners(me(spark, d), "memory_id", "seen", "importance", "device_id", "event_id", "parent_event_ids").select("memory_id", "event_id")
 
 
 @query("""with a as (select id, any_value(content) as content, max(importance) as importance from memories group by id), b as (select id, any_value(content) as content, max(importance) as importance from working_memory group by id)
