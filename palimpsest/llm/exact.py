@@ -29,8 +29,8 @@ HISTOGRAM_LETTERS = "etaoinsrlduc0123"
 
 
 def stripped(text: Column) -> Column:
-    """Letters and digits only, in one case (both ways, so that one-way letters such as sharp s agree)."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits only, in lower case, sharp s written out as capitals write it."""
+    return F.replace(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss"))
 
 
 def json_fields(content: Column) -> Column:

@@ -51,7 +51,7 @@ DOCUMENTS = (
 )
 
 PHONE_BEFORE = r"(?:tel|tél|phone|call|text|appeler|au|llama\s+al|al|number\s+is|not|contact|mobile|cell|fon|ruf|fax|ring|dial|reach|or|oder|ou|o)\W*$"
-NOT_PERSONAL = r"(?:isbn|lot\s+number|order|job|hash|ticket|reference|batch|row|version|port|mask|build|invoice|sku|serial|sprint|commit)\W*(?:\w+\W+)?$"
+NOT_PERSONAL = r"\b(?:isbn|lot\s+number|order|job|hash|ticket|reference|batch|row|version|port|mask|build|invoice|sku|serial|sprint|commit)\W*(?:\w+\W+)?$"
 NAME_BEFORE = r"(?:mr|mrs|ms|dr|prof|herr|frau|with|by|for|is|called|met|bitte|an|avec|por|para|contact|from|cc|and|lists?|name|user|appeler|kontakt|gift\s+for|spoke\s+with)\W*$"
 NAME_DECOY_AFTER = r"^\W*(?:board|bank|labels?|are|from|reads)\b"
 
@@ -85,7 +85,7 @@ ID_BEFORE = regex.compile(rf"\b(?:{DOCUMENTS})\b\.?(?:\s+(?:no|nr|num|number|n\.
 _NO = r"\d{1,4}(?:\s?[a-z]\b)?"
 ADDRESS = regex.compile(
     rf"(?<![\w.])(?:\d{{1,4}}[a-z]?{_GAP}(?:(?:[NSEW]\.?|North|South|East|West){_GAP})?(?:[\p{{L}}'’-]+{_GAP}){{1,2}}?(?:{_alt(STREET_AFTER)})\b\.?"
-    rf"|\d{{1,4}}[a-z]?(?:{_S}(?:bis|ter))?,?{_GAP}(?:{_alt(STREET_AFTER_NUMBER)}){_GAP}(?:(?:de|du|des|la|le|les|l['’]|d['’]){_GAP}?){{0,2}}[\p{{L}}'’-]+(?:{_GAP}\p{{Lu}}[\p{{L}}'’-]+)?"
+    rf"|\d{{1,4}}[a-z]?(?:{_S}(?:bis|ter))?,?{_GAP}(?:{_alt(STREET_AFTER_NUMBER)}){_GAP}(?:(?:de|du|des|la|le|les|l['’]|d['’]){_GAP}?){{0,2}}(?:(?:vieux|vieille|grand|grande|petit|petite|belle|saint|sainte|haut|haute){_GAP})?[\p{{L}}'’-]+(?-i:{_S}\p{{Lu}}[\p{{L}}'’-]+)?"
     rf"|(?:{_alt(STREET_BEFORE_NUMBER)}){_GAP}(?:(?:de|del|la|las|los|el){_GAP}){{0,2}}[\p{{L}}'’-]+,?{_GAP}(?:n\.?º{_S}?)?\d{{1,4}}[a-z]?\b"
     rf"|\p{{L}}+(?:{_alt(GERMAN_ENDS)})(?<![aeiou]ring|\b\p{{L}}{{1,2}}ring)\.?{_GAP}\d{{1,4}}[a-z]?\b|(?:{_alt(GERMAN_STARTS)}){_GAP}\p{{L}}+{_GAP}\d{{1,4}}[a-z]?\b)",
     regex.I,
