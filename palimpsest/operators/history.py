@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 def close_superseded(triples: DataFrame, keys: list[str], order: list[str], start: str, end: str, supersede: Column | None = None) -> DataFrame:
     """Fill a null end with the start of the next superseding row of the same keys, in insertion order."""
     closes = F.when(supersede if supersede is not None else F.lit(True), F.col(start))
-    later = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    return triples.withColumn(end, F.coalesce(F.col(end), F.first(closes, ignorenulls=True).over(later)))
+    # Read backwards the frame only grows, so each row costs the same; a frame that shrinks is recomputed per row.
+    later = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    return triples.withColumn(end, F.coalesce(F.col(end), F.last(closes, ignorenulls=True).over(later)))
 
 
 def as_of(df: DataFrame, at, start: str, end: str) -> DataFrame:

@@ -19,7 +19,7 @@ from palimpsest.functions.decay import recency, temporal_boost, veracity_weight
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-MAX_QUERIES = 200_000
+MAX_QUERIES = 100_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -62,11 +62,18 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
 
     Each task scores its rows against all queries with one matrix product and
     keeps k per query, so the shuffle carries k rows per query and task.  The
-    query vectors travel with the tasks; there may be at most ``MAX_QUERIES``.
+    query vectors travel with the tasks, at most about ``MAX_QUERIES`` at a time; a
+    larger set is cut by hash into as many passes as it needs.
     """
-    asked = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding").limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError("too many queries for one pass; split the query set")
+    sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
+    passes = -(-sound.count() // MAX_QUERIES)
+    if passes > 1:
+        every = None
+        for i in range(2 * passes):
+            part = vector_topk(vectors, sound.where(F.pmod(F.xxhash64("id"), F.lit(2 * passes)) == i), k, dim)
+            every = part if every is None else every.unionByName(part)
+        return every
+    asked = sound.toPandas()
     q = np.array(asked.embedding.tolist(), float).reshape(-1, dim)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     names = asked.id.to_numpy()
