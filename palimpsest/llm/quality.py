@@ -63,7 +63,6 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
             "__visible": F.regexp_count(t, F.lit(r"\S")),
             "__lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0),
             "__code": short_lang(F.col(lang)),
-            "__common": F.array(*[F.regexp_count(t, F.lit(common[n])) for n in names]),
             "__letters": F.regexp_count(t, F.lit(r"\p{L}")),
             "__tokens": F.split(F.lower(F.trim(t)), r"\s+"),
         }
@@ -71,6 +70,8 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
     lines, n_lines = F.col("__lines"), F.size("__lines")
     of_lines = lambda test: _share(F.size(F.filter(lines, test)), n_lines)
     known = F.when(F.col("__code").isin(names), F.col("__code"))
+    # The words of every language are only counted where the text does not say its own.
+    df = df.withColumn("__common", F.when(known.isNull(), F.array(*[F.regexp_count(t, F.lit(common[n])) for n in names])))
     most = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("__common", F.array_max("__common")).cast("int"))
     df = df.withColumns(
         {
@@ -81,9 +82,9 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
             "__n_tokens": F.size("__tokens"),
         }
     )
-    own = F.when(F.col("language") == names[0], F.col("__common")[0])
-    for i, n in enumerate(names[1:], 1):
-        own = own.when(F.col("language") == n, F.col("__common")[i])
+    own = F.array_max("__common")
+    for n in names:
+        own = F.when(known == n, F.regexp_count(t, F.lit(common[n]))).otherwise(own)
     celled = F.filter("__cells", lambda c: c >= 1)
     w = F.col("__words")
     df = df.withColumns(
