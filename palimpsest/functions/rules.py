@@ -163,19 +163,29 @@ def memory_type(content: Column) -> Column:
     empty or null text is unknown at 0.
     """
     low = F.lower(content)
-    raised = {t: sum((F.when(F.contains(low, F.lit(b.lower())), 0.05).otherwise(0.0) for b in words), F.lit(0.0)) for t, words in BOOSTERS.items()}
-    options = []
-    for i, (pattern, kind, base) in enumerate(TYPE_RULES):
-        length = F.length(F.regexp_extract(low, "(?i)" + pattern, 0))
-        longer = F.when(length > 20, 0.1).when(length > 10, 0.05).otherwise(0.0)
-        confidence = F.least(F.lit(base) + longer + raised.get(kind, F.lit(0.0)), F.lit(1.0))
-        score = F.when(length > 0, F.round(confidence * (1.0 + 0.1 * TYPES.index(kind)), 9))
-        options.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("type"), confidence.alias("confidence")))
-    best = F.array_max(F.filter(F.array(*options), lambda o: o["score"].isNotNull()))
+    lengths = F.array(*[F.length(F.regexp_extract(low, "(?i)" + pattern, 0)) for pattern, _, _ in TYPE_RULES])
+    kinds = list(BOOSTERS)
+    raised = F.array(*[sum((F.when(F.contains(low, F.lit(b.lower())), 0.05).otherwise(0.0) for b in BOOSTERS[k]), F.lit(0.0)) for k in kinds])
+    rules = F.array(
+        *[
+            F.struct(F.lit(-i).alias("order"), F.lit(kind).alias("type"), F.lit(base).alias("base"), F.lit(kinds.index(kind)).alias("at"), F.lit(1.0 + 0.1 * TYPES.index(kind)).alias("weight"))
+            for i, (_, kind, base) in enumerate(TYPE_RULES)
+        ]
+    )
+
+    def option(r: Column, n: Column, raises: Column) -> Column:
+        longer = F.when(n > 20, 0.1).when(n > 10, 0.05).otherwise(0.0)
+        confidence = F.least(r["base"] + longer + F.get(raises, r["at"]), F.lit(1.0))
+        return F.struct(F.when(n > 0, F.round(confidence * r["weight"], 9)).alias("score"), r["order"].alias("order"), r["type"].alias("type"), confidence.alias("confidence"))
+
+    # The one-element array binds both arrays to a name, so that each pattern runs once.
+    bound = F.array(F.struct(lengths.alias("n"), raised.alias("up")))
+    best = F.transform(bound, lambda b: F.array_max(F.filter(F.zip_with(rules, b["n"], lambda r, n: option(r, n, b["up"])), lambda o: o["score"].isNotNull())))[0]
     short = F.size(F.filter(F.split(F.trim(content), r"\s+"), lambda w: w != "")) < 5
     none = content.isNull() | (F.trim(content) == "")
-    kind = F.when(none, "unknown").when(best.isNotNull(), best["type"]).when(short, "fact").otherwise("context")
-    return F.struct(kind.alias("type"), F.when(none, 0.0).when(best.isNotNull(), best["confidence"]).otherwise(0.3).alias("confidence"))
+    plain = F.struct(F.when(none, "unknown").when(short, "fact").otherwise("context").alias("type"), F.when(none, 0.0).otherwise(0.3).alias("confidence"))
+    pick = lambda b: F.when(~none & b.isNotNull(), F.struct(b["type"].alias("type"), b["confidence"].alias("confidence"))).otherwise(plain)
+    return F.transform(F.array(best), pick)[0]
 
 
 def compact(text: Column) -> Column:

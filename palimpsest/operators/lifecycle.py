@@ -15,7 +15,7 @@ def sleep_groups(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     The member id is an order-free sum of hashes, so a hot group needs no list.
     """
     member = F.sum(F.pmod(F.xxhash64("id"), F.lit(1_000_003)))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.avg("importance").alias("importance"), member.alias("member_hash"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.avg("importance").alias("importance"), F.count("importance").alias("n_importance"), member.alias("member_hash"))
 
 
 def degraded_tier(tier: Column, created_us: Column, ref_us: int) -> Column:

@@ -571,10 +571,10 @@ def l9_degrade(spark, d):
     return em(spark, d).select("id", lifecycle.degraded_tier(F.col("tier"), F.unix_micros("created_at"), REF_US).cast("int").alias("tier"))
 
 
-@query(f"select session_id, source, count(*)::bigint as n, epoch_us(min(created_at)) as first_us, epoch_us(max(created_at)) as last_us, round(avg(importance), 6) as importance from {WM} where created_at < timestamptz '2025-05-01 00:00:00+00' group by session_id, source")
+@query(f"select session_id, source, count(*)::bigint as n, epoch_us(min(created_at)) as first_us, epoch_us(max(created_at)) as last_us, round(avg(importance) * count(importance), 3) as importance from {WM} where created_at < timestamptz '2025-05-01 00:00:00+00' group by session_id, source")
 def l5_l6_sleep_groups(spark, d):
     g = lifecycle.sleep_groups(wm(spark, d).where(F.col("created_at") < F.to_timestamp(F.lit("2025-05-01T00:00:00Z"))), ["session_id", "source"], "created_at")
-    return g.select("session_id", "source", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.round("importance", 6).alias("importance"))
+    return g.select("session_id", "source", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.round(F.col("importance") * F.col("n_importance"), 3).alias("importance"))
 
 
 @query(f"select count(*)::bigint as n_runs, count(*) filter (event_type = 'error')::bigint as n_errors, round(({REF_US} - epoch_us(max(ts) filter (event_type <> 'error'))) / 3.6e9, 3) as hours_since_success, 'stale' as status from events")
