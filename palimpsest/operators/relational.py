@@ -74,3 +74,23 @@ def merge_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max("created_at").alias("created_at"),
         F.count("*").alias("n_copies"),
     )
+
+
+def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1000) -> DataFrame:
+    """group, chunk, members: the keys of every group in order of time (null first), then key, ``size`` of them to a string.
+
+    No group is ordered by one task: rows are counted by hour, rows without a time
+    by the head of their key, and numbered within these from the counts before.
+    """
+    r = rows.select(group, at, key).withColumn("__hour", F.date_trunc("hour", at)).withColumn("__head", F.when(F.col(at).isNull(), F.substring(key, 1, 3)))
+    part = [group, "__hour", "__head"]
+    order = [F.asc_nulls_first("__hour"), F.asc_nulls_first("__head")]
+    sizes = r.groupBy(*part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(c).alias(f"o_{c}") for c in part], before.alias("__before"))
+    local = r.withColumn("__i", F.row_number().over(W.partitionBy(*part).orderBy(F.asc_nulls_first(at), key)) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in part]
+    placed = local.join(offsets, same[0] & same[1] & same[2]).withColumn("__i", F.col("__i") + F.col("__before"))
+    members = F.array_sort(F.collect_list(F.struct("__i", key)))
+    chunks = placed.groupBy(group, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(members.alias("m"))
+    return chunks.select(group, "chunk", F.array_join(F.transform("m", lambda x: x[key]), " | ").alias("members"))
