@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import entity_similarity
+from palimpsest.session import durable
+
 
 def newest(df: DataFrame, order: str, key: str, n: int, skip: int = 0) -> DataFrame:
     """A page of rows, newest first."""
@@ -94,3 +97,44 @@ def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1
     members = F.array_sort(F.collect_list(F.struct("__i", key)))
     chunks = placed.groupBy(group, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(members.alias("m"))
     return chunks.select(group, "chunk", F.array_join(F.transform("m", lambda x: x[key]), " | ").alias("members"))
+
+
+def _shortened(name: Column, n: int) -> Column:
+    """The name and all that is left of it after up to n deletions."""
+    levels = [F.array(name)]
+    for _ in range(n):
+        cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        levels.append(F.array_distinct(F.flatten(F.transform(F.filter(levels[-1], lambda x: F.length(x) > 0), cut))))
+    return F.array_distinct(F.flatten(F.array(*levels)))
+
+
+def similar_names(rows: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
+    """name, other, similarity, n_links: all pairs of normalised names (name < other) whose entity similarity reaches the threshold.
+
+    A name in several spellings also meets itself; n_links counts pairs of
+    spellings.  Candidates are complete: for edits, names share what is left after
+    (1 - threshold) of their own length is deleted (up to 3 deletions; longer names
+    meet all names of a possible length); for the prefix rule, names meet their
+    own prefixes.  Substrings that are no prefix stay below 0.8.
+    """
+    assert threshold >= 0.8
+    n = F.lower(F.trim(name))
+    names = durable(rows.where(F.col(name).isNotNull()).select(name).distinct().groupBy(n.alias("n")).agg(F.count("*").alias("k")).withColumn("l", F.length("n")))
+    # One unit in the ninth digit: 0.2 * 15 must not fall below 3.
+    edits = F.floor((1 - threshold) * F.col("l") + 1e-9).cast("int")
+    keyed = None
+    for e in range(4):
+        part = names.where(edits == e).select("n", F.explode(_shortened(F.col("n"), e)).alias("key"))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    keyed = keyed.select("n", F.xxhash64("key").alias("key"))
+    near = keyed.join(keyed.select(F.col("n").alias("o"), "key"), "key").where("n < o").select("n", "o")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(threshold * F.col("l") - 1e-9).cast("int")), F.col("l"))
+    long = names.where(edits > 3).select(F.col("n").alias("o"), F.explode(lengths).alias("l")).join(names.select("n", "l"), "l").where("n != o").select(F.least("n", "o").alias("n"), F.greatest("n", "o").alias("o"))
+    heads = names.where("l > 1").select(F.col("n").alias("o"), F.explode(F.sequence(F.greatest(F.lit(1), F.floor((threshold - 0.7) / 0.3 * F.col("l") - 1e-9).cast("int")), F.col("l") - 1)).alias("at"))
+    head = heads.select("o", F.substring("o", F.lit(1), F.col("at")).alias("n")).join(names.select("n"), "n").select("n", "o")
+    found = near.unionByName(long).unionByName(head).where(entity_similarity(F.col("n"), F.col("o")) >= threshold).distinct()
+    k = names.select("n", "k")
+    pairs = found.join(k, "n").join(k.select(F.col("n").alias("o"), F.col("k").alias("m")), "o")
+    same = names.where("k > 1").select("n", F.col("n").alias("o"), F.expr("k * (k - 1) div 2").alias("n_links"))
+    linked = pairs.select("n", "o", (F.col("k") * F.col("m")).alias("n_links")).unionByName(same)
+    return linked.select(F.col("n").alias("name"), F.col("o").alias("other"), entity_similarity(F.col("n"), F.col("o")).alias("similarity"), "n_links")

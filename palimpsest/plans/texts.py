@@ -75,6 +75,11 @@ def f18_j18_similar_entities(spark, d):
     return s.join(o, "block").where("subject != other").where(X.entity_similarity(F.col("subject"), F.col("other")) >= 0.8).select("subject", "other")
 
 
+@query()
+def f17_f18_j18_similar_names(spark, d):
+    return relational.similar_names(table(spark, d, "triples"), "subject").withColumn("similarity", F.round("similarity", 9))
+
+
 _INTENT = ", ".join(
     "{'hits': " + " + ".join(f"case when regexp_matches(low, {_q(p)}) then 1 else 0 end" for p in ps) + f", 'ord': {-i}, 'name': '{n}'}}" for i, (n, ps) in enumerate(X.INTENTS.items())
 )

@@ -2,7 +2,12 @@
 
 import datetime
 
+import random
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from palimpsest.functions import text as X
 
 
 def test_ordered_text_of_all_sessions(spark, tmp_path):
@@ -14,3 +19,24 @@ def test_ordered_text_of_all_sessions(spark, tmp_path):
     hot = [r[0] for r in sorted((r for r in rows if r[1] == "sess-main-0001"), key=lambda r: (r[2] is not None, r[2] or at, r[0]))]
     want = {("sess-main-0001", c): " | ".join(hot[c * 1000 : c * 1000 + 1000]) for c in range(3)}
     assert got == want | {(None, 0): "n0 | n1 | n2", ("s1", 0): "one"}
+
+
+def test_similar_names_against_brute_force(spark, tmp_path):
+    rnd = random.Random(5)
+    base = ["place:katefefe", "agent:ann", "her", "device:" + "ab" * 11, "x", "straße nord", "", "é" * 15]
+    names = set(base) | {" Place:Katefefe", "PLACE:KATEFEFE"}
+    for b in base * 40:
+        w = list(b)
+        for _ in range(rnd.randint(0, 5)):
+            at, do = rnd.randint(0, len(w)), rnd.random()
+            w[at : at + (do < 0.6)] = [] if do < 0.3 else [rnd.choice("abe:")]
+        names.add("".join(w)[: rnd.choice([99, 99, 99, 9, 5])])
+    rows = spark.createDataFrame([(n,) for n in names] + [(None,)], "subject string")
+    rows.write.parquet(f"{tmp_path}/triples.parquet")
+    got = {(r.name, r.other, r.similarity, r.n_links) for r in entry.queries()["f17_f18_j18_similar_names"](spark, str(tmp_path)).collect()}
+    raw = rows.where("subject is not null").select(F.lower(F.trim("subject")).alias("n"), F.col("subject").alias("s"))
+    every = raw.crossJoin(raw.select(F.col("n").alias("o"), F.col("s").alias("t"))).where("n < o or n = o and s < t")
+    like = F.round(X.entity_similarity(F.col("n"), F.col("o")), 9)
+    brute = every.where(X.entity_similarity(F.col("n"), F.col("o")) >= 0.8).groupBy("n", "o", like.alias("x")).agg(F.count("*").alias("k"))
+    assert got == {tuple(r) for r in brute.collect()} and len(got) > 300
+    assert ("place:katefefe", "place:katefefe", 1.0, 3) in got
