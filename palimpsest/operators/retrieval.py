@@ -98,6 +98,44 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Dat
     return ranked(near.mapInPandas(block, f"query_id {kind}, id {kind}, score double"), k)
 
 
+def hamming_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """query_id, id, distance, rank: the k rows (id, embedding) whose sign bits differ least from each query's, ties by id, in blocks.
+
+    Rows of another dimension and the query's own row are left out.  Queries are
+    cut into passes as in ``vector_topk``.
+    """
+    sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
+    passes = -(-sound.count() // MAX_QUERIES)
+    if passes > 1:
+        every = None
+        for i in range(2 * passes):
+            part = hamming_topk(vectors, sound.where(F.pmod(F.xxhash64("id"), F.lit(2 * passes)) == i), k, dim)
+            every = part if every is None else every.unionByName(part)
+        return every
+    asked = sound.toPandas()
+    # Signs as 1 and -1: their product is the dimension less twice the distance, exact in single precision.
+    signs = lambda rows: np.where(np.array(rows.tolist(), float).reshape(-1, dim) > 0, 1, -1).astype(np.float32)
+    q, names = signs(asked.embedding), asked.id.to_numpy()
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf) or not len(names):
+                continue
+            v, ids = signs(pdf.embedding), pdf.id.to_numpy()
+            for at in range(0, len(names), 1024):
+                far = ((dim - q[at : at + 1024] @ v.T) / 2).astype(int)
+                far[names[at : at + 1024, None] == ids[None, :]] = dim + 1
+                top = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
+                rows, cols = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
+                good = far[rows, cols] <= dim
+                yield pd.DataFrame({"query_id": names[at + rows[good]], "id": ids[cols[good]], "distance": far[rows[good], cols[good]]})
+
+    kind = dict(vectors.dtypes)["id"]
+    near = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
+    found = near.mapInPandas(block, f"query_id {kind}, id {kind}, distance bigint")
+    return ranked(found.withColumn("near", -F.col("distance").cast("double")), k, score="near").drop("near")
+
+
 def linear_working(rows: DataFrame, query: str, ref_us: int, importance_weight: float = 0.2, temporal_weight: float = 0.0) -> DataFrame:
     """The working-tier blend for one query over (id, content, importance, created_us, veracity).
 

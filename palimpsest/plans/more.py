@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.functions import vectors
 from palimpsest.operators import graph, ingest, relational, retrieval, voices
-from palimpsest.plans.reference import _BM25, EM, REF_US, TR, US, WM, _bm25, _edges, em, tr, wm
+from palimpsest.plans.reference import _BM25, _HAMMING, EM, REF_US, TR, US, WM, _bm25, _edges, _hamming, em, tr, wm
 from palimpsest.sources.tables import table
 
 QUERIES: dict = {}
@@ -68,6 +68,21 @@ def r18_binary_bonus(spark, d):
     return q.join(v, "vec_id").select("query_id", F.round(voices.binary_bonus(h, 64), 9).alias("bonus"))
 
 
+@query(f"{_HAMMING} select query_id, id, round(0.08 * (1 - (exp(6 * distance / 64.0) - 1) / (exp(6 * distance / 64.0) + 1)), 9) as bonus from r where rank <= 10")
+def r18_binary_bonus_hits(spark, d):
+    return _hamming(spark, d, 10).select("query_id", "id", F.round(voices.binary_bonus(F.col("distance"), 64), 9).alias("bonus"))
+
+
+@query(_BM25 + f""", h as (select distinct r.query_id, rank, r.id, content from r join {EM} e on e.id = r.id where rank <= 20 and content is not null),
+w as (select *, list_distinct(list_filter(regexp_split_to_array(lower(trim(content)), '\\s+'), lambda x: x <> '')) as w from h)
+select a.query_id, a.id, b.id as other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) as jaccard from w a join w b on a.query_id = b.query_id and a.id < b.id""")
+def f16_hits_jaccard(spark, d):
+    hits = _bm25(spark, d, 20).join(em(spark, d).where("content is not null").select("id", "content").distinct(), "id")
+    w = hits.select("query_id", "id", X.word_set(F.col("content")).alias("w"))
+    o = w.select("query_id", F.col("id").alias("other"), F.col("w").alias("v"))
+    return w.join(o, "query_id").where("id < other").select("query_id", "id", "other", F.round(X.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
+
+
 @query(_BM25 + f""", h as (select r.query_id, any_value(content) as content, rank from r join {EM} e on e.id = r.id where rank <= 5 group by r.query_id, r.id, rank)
 select query_id, string_agg('- ' || content, chr(10) order by rank) as context from h group by query_id""")
 def r32_context_text(spark, d):

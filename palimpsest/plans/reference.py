@@ -510,6 +510,20 @@ def f14_k4_hamming(spark, d):
     return q.join(v, "vec_id").select("query_id", F.col("vec_id").alias("id"), vectors.hamming(F.col("e"), F.col("embedding")).cast("bigint").alias("distance"))
 
 
+_HAMMING = """with h as (select q.vec_id as query_id, v.vec_id as id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end))::bigint as distance from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by distance, id)::int as rank from h)"""
+
+
+def _hamming(spark, d, k):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.hamming_topk(v, v.where("id % 100 = 0"), k, 64)
+
+
+@query(f"{_HAMMING} select query_id, id, distance, rank from r where rank <= 10")
+def k4_hamming_topk(spark, d):
+    return _hamming(spark, d, 10)
+
+
 @query("select vec_id, list_sum(list_transform(embedding, lambda x: greatest(-127, least(127, round(x::double * 127)::int))))::bigint as total from embeddings")
 def f15_int8(spark, d):
     q = vectors.int8(F.col("embedding").cast("array<double>"))

@@ -40,3 +40,17 @@ def test_similar_names_against_brute_force(spark, tmp_path):
     brute = every.where(X.entity_similarity(F.col("n"), F.col("o")) >= 0.8).groupBy("n", "o", like.alias("x")).agg(F.count("*").alias("k"))
     assert got == {tuple(r) for r in brute.collect()} and len(got) > 300
     assert ("place:katefefe", "place:katefefe", 1.0, 3) in got
+
+
+def test_hamming_search_over_all_rows(spark, tmp_path):
+    rnd = random.Random(6)
+    # A gap after each query's id, and the nearest row far from it.
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(64)]) for i in [0, 100, *range(102, 190)]]
+    rows += [(777, [x * 2 for x in rows[0][1]]), (778, None), (779, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.query_id, r["rank"], r.id, r.distance) for r in entry.queries()["k4_hamming_topk"](spark, str(tmp_path)).collect()]
+    want = []
+    for q, e in rows[:2]:
+        far = sorted((sum((x > 0) != (y > 0) for x, y in zip(e, v)), i) for i, v in rows if i != q and v and len(v) == 64)
+        want += [(q, n + 1, i, f) for n, (f, i) in enumerate(far[:10])]
+    assert sorted(got) == want and (0, 1, 777, 0) in got
