@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.functions.decay import recency, temporal_boost, veracity_weight
+from palimpsest.session import durable
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -207,18 +208,44 @@ def mmr(results: DataFrame, k: int, lam: float = 0.7, similarity=None) -> DataFr
 
 
 def diverse(results: DataFrame, k: int, limit: float = 0.8) -> DataFrame:
-    """The first k results of each query that are not too like a chosen one; at most 4k candidates each."""
-    top = ranked(results, 4 * k)
+    """The first k results of each query that are not too like a chosen one, down the whole ranked list.
+
+    Each round walks a block of 4k results of each query that are not too like any
+    chosen before; the first of a block is always chosen, so there are k rounds at
+    most.  What travels between rounds is the chosen rows, at most k per query.
+    """
+    kinds = dict(results.dtypes)
+    every = durable(results.select("query_id", "id", F.round("score", 9).alias("score"), "content"))
+    fields = f"query_id {kinds['query_id']}, id {kinds['id']}, score double, content string"
+    picked: dict = {}
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = {q: [_words(c) for _, _, c in rows] for q, rows in picked.items()}
+        last = {q: rows[-1][:2] for q, rows in picked.items()}
+        for pdf in batches:
+            keep = []
+            for r in pdf.itertuples():
+                chosen = words.get(r.query_id, [])
+                w = _words(r.content or "")
+                keep.append(len(chosen) < k and (-r.score, r.id) > last.get(r.query_id, (-float("inf"), r.id)) and all(_overlap(w, o) <= limit for o in chosen))
+            yield pdf[keep]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list = []
-        rows = []
+        chosen, rows = [_words(c) for _, _, c in picked.get(pdf.query_id.iloc[0], [])], []
         for row in pdf.sort_values("rank").itertuples():
             w = _words(row.content or "")
-            if len(rows) < k and all(_overlap(w, o) <= limit for o in chosen):
+            if len(chosen) < k and all(_overlap(w, o) <= limit for o in chosen):
                 chosen.append(w)
-                rows.append((row.query_id, row.id, len(rows) + 1))
-        return pd.DataFrame(rows, columns=["query_id", "id", "position"])
-
-    kinds = dict(results.dtypes)
-    return top.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, id {kinds['id']}, position int")
+                rows.append((row.query_id, row.id, row.score, row.content or ""))
+        return pd.DataFrame(rows, columns=["query_id", "id", "score", "content"])
+
+    while True:
+        rest = every.mapInPandas(left, fields) if picked else every
+        new = ranked(rest, 4 * k).groupBy("query_id").applyInPandas(pick, fields).collect()
+        for r in sorted(new, key=lambda r: (-r.score, r.id)):
+            picked.setdefault(r.query_id, []).append((-r.score, r.id, r.content))
+        # The first round chooses each query's first result, so every query is known after it.
+        if not new or all(len(rows) >= k for rows in picked.values()):
+            break
+    out = [(q, i, n + 1) for q, rows in picked.items() for n, (_, i, _) in enumerate(rows)]
+    return every.sparkSession.createDataFrame(out, f"query_id {kinds['query_id']}, id {kinds['id']}, position int")

@@ -88,13 +88,20 @@ def linear_episodic(rows: DataFrame, query: str, ref_us: int, weights: tuple[flo
 
 
 def coverage_rerank(results: DataFrame, query: str, k: int, gain: float = 0.06) -> DataFrame:
-    """Greedy order by score plus 0.06 per query token not yet covered; at most 4k candidates per query."""
-    asked = set(query_tokens(query))
-    top = ranked(results, 4 * k)
+    """Greedy order by score plus 0.06 per query token not yet covered, over all results.
+
+    Of the results of a query that hold the same query tokens the better one always
+    goes first, so the first k of each such set decide.
+    """
+    asked = sorted(set(query_tokens(query)))
+    words = F.split(F.lower(F.coalesce("content", F.lit(""))), r"(?U)[\s\x1c-\x1f]+")
+    held = results.withColumn("__hits", F.array_intersect(F.array(*[F.lit(t) for t in asked]).cast("array<string>"), words))
+    best_first = W.partitionBy("query_id", "__hits").orderBy(F.desc(F.round("score", 9)), "id")
+    top = ranked(held.withColumn("__n", F.row_number().over(best_first)).where(F.col("__n") <= k).drop("__n"))
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
-        hits = [asked & set((c or "").lower().split()) for c in pdf.content]
+        hits = [set(h) for h in pdf["__hits"]]
         seen: set[str] = set()
         left, order = list(range(len(pdf))), []
         while left and len(order) < k:

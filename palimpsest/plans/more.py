@@ -56,7 +56,7 @@ def r13_episodic_recall(spark, d):
 
 @query()
 def k5_coverage(spark, d):
-    hits = _bm25(spark, d, 40).drop("rank").join(em(spark, d).select("id", "content"), "id")
+    hits = _bm25(spark, d).drop("rank").join(em(spark, d).select("id", "content"), "id")
     return voices.coverage_rerank(hits, "vector index office server grocery list monday", 10)
 
 

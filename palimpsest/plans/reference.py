@@ -482,7 +482,7 @@ def k6_mmr(spark, d):
 
 @query()
 def k7_diverse(spark, d):
-    hits = _bm25(spark, d, 40).drop("rank").join(em(spark, d).select("id", "content"), "id")
+    hits = _bm25(spark, d).drop("rank").join(em(spark, d).select("id", "content"), "id")
     return retrieval.diverse(hits, 10)
 
 

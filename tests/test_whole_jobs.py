@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.functions import text as X
+from palimpsest.operators import retrieval, voices
 
 
 def test_ordered_text_of_all_sessions(spark, tmp_path):
@@ -54,3 +55,34 @@ def test_hamming_search_over_all_rows(spark, tmp_path):
         far = sorted((sum((x > 0) != (y > 0) for x, y in zip(e, v)), i) for i, v in rows if i != q and v and len(v) == 64)
         want += [(q, n + 1, i, f) for n, (f, i) in enumerate(far[:10])]
     assert sorted(got) == want and (0, 1, 777, 0) in got
+
+
+def test_diverse_goes_on_below_the_copies(spark):
+    copy = "vector index on the office server is slow again this week"
+    rows = [("q", f"c{i:03d}", 9.0 - i / 1000, copy + " x" * (i % 2)) for i in range(100)] + [("q", f"d{i}", 1.0 - i / 100, f"another thing {i} {i * 7} here") for i in range(30)]
+    rows += [("r", "e", 1.0, None), ("r", "f", 0.5, "one")]
+    got = [tuple(r) for r in retrieval.diverse(spark.createDataFrame(rows, "query_id string, id string, score double, content string"), 10).collect()]
+    want = []
+    for q in "qr":
+        chosen = []
+        for _, i, _, c in [r for r in rows if r[0] == q]:
+            w = set((c or "").split())
+            if len(chosen) < 10 and all(len(w & o) <= 0.8 * len(w | o) for _, o in chosen):
+                chosen.append((i, w))
+        want += [(q, i, n + 1) for n, (i, _) in enumerate(chosen)]
+    assert sorted(got) == sorted(want) and sum(r[0] == "q" for r in got) == 10
+
+
+def test_coverage_looks_at_all_results(spark):
+    rnd = random.Random(7)
+    rows = [("q", f"a{i:03d}", 1.0 - i / 10000, "vector " + "index " * (i % 2)) for i in range(200)]
+    rows += [("q", f"b{i}", 0.9 + rnd.random() / 20, " ".join(rnd.sample(["server", "grocery", "list", "vector", "office"], 3))) for i in range(20)]
+    query = "vector index office server grocery list"
+    got = [r.id for r in voices.coverage_rerank(spark.createDataFrame(rows, "query_id string, id string, score double, content string"), query, 10).orderBy("position").collect()]
+    left, seen, want = sorted(rows, key=lambda r: (-round(r[2], 9), r[1])), set(), []
+    while len(want) < 10:
+        best = max(left, key=lambda r: (r[2] + 0.06 * len((set(r[3].split()) & set(query.split())) - seen), -left.index(r)))
+        left.remove(best)
+        seen |= set(best[3].split())
+        want.append(best[1])
+    assert got == want and any(i.startswith("b") for i in got)
