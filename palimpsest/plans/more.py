@@ -34,7 +34,7 @@ def r27_fact_voice(spark, d):
 @query()
 def r26_graph_voice(spark, d):
     e = _edges(spark, d)
-    seeds = e.where("src like 'agent:d%'").select(F.col("src").alias("node")).distinct()
+    seeds = e.where("src like 'agent:%'").select(F.col("src").alias("node")).distinct()
     reached = graph.reachable(e, seeds, 2, 0.9).select(F.lit("q").alias("query_id"), F.col("node").alias("id"), "hops")
     return voices.graph_voice(reached).withColumn("score", F.round("score", 9))
 
@@ -130,6 +130,11 @@ def g25_confident_facts(spark, d):
     return tr(spark, d).where("confidence >= 0.9 and lower(trim(subject)) like 'project:%'").select("subject", "predicate", "object", "confidence")
 
 
+@query(f"select subject, predicate, object, confidence from {TR} where confidence >= 0.9")
+def g25_confident_facts_all(spark, d):
+    return tr(spark, d).where("confidence >= 0.9").select("subject", "predicate", "object", "confidence")
+
+
 @query("select a.doc_id, b.doc_id as other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) as jaccard from (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) a join (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) b on b.doc_id = a.doc_id + 1")
 def f16_word_jaccard(spark, d):
     t = table(spark, d, "documents").where("text is not null").select("doc_id", X.word_set(F.col("text")).alias("w"))
@@ -149,6 +154,12 @@ def x25_all_memories(spark, d):
     return both.where("id like 'a%'").groupBy("id").agg(F.max("content").alias("content"))
 
 
+@query("select id, max(content) as content from (select id, content from working_memory union all select id, content from memories union all select id, content from episodic_memory) group by id")
+def x25_every_memory(spark, d):
+    one = lambda n: table(spark, d, n).select("id", "content")
+    return one("working_memory").unionByName(one("memories")).unionByName(one("episodic_memory")).groupBy("id").agg(F.max("content").alias("content"))
+
+
 @query("select coalesce(a.id, b.id) as id, coalesce(a.source, b.source) as source from (select id, any_value(source) as source from working_memory group by id) a full join (select id, any_value(source) as source from episodic_memory group by id) b on a.id = b.id")
 def x21_hydrated(spark, d):
     one = lambda n: table(spark, d, n).groupBy("id").agg(F.max("source").alias("source"))

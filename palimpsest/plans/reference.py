@@ -322,6 +322,12 @@ def w8_evolution(spark, d):
     return history.evolution(t, ["subject", "predicate"], "object", "id")
 
 
+@query(f"select subject, predicate, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n_versions from {_TRI} group by subject, predicate")
+def w8_evolution_all(spark, d):
+    t = tr(spark, d).where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    return history.evolution(t, ["subject", "predicate"], "object", "id")
+
+
 @query(f"select event_id from (select event_id, row_number() over (partition by memory_id order by seen desc nulls last, event_id desc) as n from {ME}) where n <= 3")
 def w9_latest_three(spark, d):
     return relational.latest_per_key(me(spark, d), ["memory_id"], [F.desc_nulls_last("seen"), F.desc("event_id")], 3).select("event_id")
@@ -580,6 +586,15 @@ def g18_j17_reachable(spark, d):
     return graph.reachable(e, seeds, 2, 0.9).withColumn("hops", F.col("hops").cast("bigint"))
 
 
+@query(f"""with s as (select distinct lower(trim(subject)) as seed from triples where lower(trim(subject)) like 'agent:%'), h1 as (select distinct seed, dst as node from s join {_BOTH} b on b.src = seed),
+h2 as (select distinct seed, b.dst as node from h1 join {_BOTH} b on b.src = h1.node where b.dst <> seed)
+select seed, node, min(hops)::bigint as hops from (select seed, node, 1 as hops from h1 union all select seed, node, 2 from h2) where node <> seed group by all""")
+def g18_j17_reachable_agents(spark, d):
+    e = _edges(spark, d)
+    seeds = e.where("src like 'agent:%'").select(F.col("src").alias("node")).distinct()
+    return graph.reachable(e, seeds, 2, 0.9).withColumn("hops", F.col("hops").cast("bigint"))
+
+
 @query(f"select src as node, count(*)::bigint as degree, least(count(*) * 0.02, 0.08)::double as graph_bonus from (select distinct src, dst from (select src, dst from {_EDGES} union all select dst, src from {_EDGES})) group by src")
 def r16_g19_degrees(spark, d):
     return graph.degrees(_edges(spark, d))

@@ -86,3 +86,10 @@ def test_coverage_looks_at_all_results(spark):
         seen |= set(best[3].split())
         want.append(best[1])
     assert got == want and any(i.startswith("b") for i in got)
+
+
+def test_every_memory_of_three_tables(spark, tmp_path):
+    for n, ids in {"working_memory": ["a1", "z1"], "memories": ["b1", "z1"], "episodic_memory": ["e1", "z2"]}.items():
+        spark.createDataFrame([(i, f"text {i}") for i in ids], "id string, content string").write.parquet(f"{tmp_path}/{n}.parquet")
+    got = {(r.id, r.content) for r in entry.queries()["x25_every_memory"](spark, str(tmp_path)).collect()}
+    assert got == {(i, f"text {i}") for i in ["a1", "b1", "e1", "z1", "z2"]}
