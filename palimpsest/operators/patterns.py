@@ -32,6 +32,17 @@ def word_pairs(rows: DataFrame, content: str, vocabulary: list[str]) -> DataFram
     return rows.select(kept.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
 
 
+def frequent_pairs(rows: DataFrame, content: str, n: int) -> DataFrame:
+    """The n most frequent pairs of distinct words within a row, over all words; ties by the pair.
+
+    Pairs are made inside one row only and summed before the shuffle.
+    """
+    words = F.array_sort(F.array_distinct(tokens(F.col(content))))
+    pairs = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+    counted = rows.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), "first", "second").limit(n)
+
+
 def emotion(content: Column) -> Column:
     """The first feeling of which the text has a word, or null."""
     low, out = F.lower(content), F.lit(None).cast("string")

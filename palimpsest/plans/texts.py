@@ -154,6 +154,11 @@ def a18_word_pairs(spark, d):
     return patterns.word_pairs(em(spark, d).where("content is not null"), "content", _VOCAB)
 
 
+@query(f"with w as (select row, unnest(list_distinct(t)) as word from (select row_number() over () as row, {_TOKENS} as t from {EM} where content is not null)) select a.word as first, b.word as second, count(*)::bigint as n from w a join w b on a.row = b.row and a.word < b.word group by all order by n desc, first, second limit 50")
+def a18_frequent_pairs(spark, d):
+    return patterns.frequent_pairs(em(spark, d).where("content is not null"), "content", 50)
+
+
 @query(f"with a as (select id, 1 as p from {WM} where contains(lower(content), 'vector index')), b as (select id, 2 as p from {WM} where contains(lower(content), 'grocery list')) select id, min(p)::int as pass from (from a union all from b) group by id order by pass, id limit 200")
 def g5_passes(spark, d):
     w = wm(spark, d)

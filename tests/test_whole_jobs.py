@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.functions import text as X
-from palimpsest.operators import retrieval, voices
+from palimpsest.operators import patterns, retrieval, voices
 
 
 def test_ordered_text_of_all_sessions(spark, tmp_path):
@@ -93,3 +93,10 @@ def test_every_memory_of_three_tables(spark, tmp_path):
         spark.createDataFrame([(i, f"text {i}") for i in ids], "id string, content string").write.parquet(f"{tmp_path}/{n}.parquet")
     got = {(r.id, r.content) for r in entry.queries()["x25_every_memory"](spark, str(tmp_path)).collect()}
     assert got == {(i, f"text {i}") for i in ["a1", "b1", "e1", "z1", "z2"]}
+
+
+def test_pairs_of_all_words(spark):
+    texts = ["zebra quartz violin zebra", "Quartz and zebra", "violin", "vector index", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string").where("content is not null")
+    got = [tuple(r) for r in patterns.frequent_pairs(rows, "content", 3).collect()]
+    assert got == [("quartz", "zebra", 2), ("index", "vector", 1), ("quartz", "violin", 1)]
