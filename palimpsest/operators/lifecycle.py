@@ -10,12 +10,13 @@ from palimpsest.functions.instants import DAY_US
 
 
 def sleep_groups(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Per group: number of rows, first and last time, mean importance and an id of the group's members.
+    """Per group: number of rows, first and last time, mean importance (of decimals, so that the order of adding does not matter) and an id of the group's members.
 
     The member id is an order-free sum of hashes, so a hot group needs no list.
     """
-    member = F.sum(F.pmod(F.xxhash64("id"), F.lit(1_000_003)))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.avg("importance").alias("importance"), F.count("importance").alias("n_importance"), member.alias("member_hash"))
+    member = F.sum(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long"))
+    mean = F.sum(F.col("importance").cast("decimal(18,9)")).cast("double") / F.count("importance")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.when(F.count("importance") > 0, mean).alias("importance"), member.alias("member_hash"))
 
 
 def degraded_tier(tier: Column, created_us: Column, ref_us: int) -> Column:

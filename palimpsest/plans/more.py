@@ -23,12 +23,12 @@ def query(sql: str | None = None):
 
 @query(f"select id, round(exp(-({REF_US} - {US}) / 8.64e10 / 7) * coalesce(importance, 0.5), 6) as score from {WM} where {US} between {REF_US} - {30 * 86_400_000_000} and {REF_US} order by round(exp(-({REF_US} - {US}) / 8.64e10 / 7) * coalesce(importance, 0.5), 9) desc, id limit 20")
 def r28_recent_by_importance(spark, d):
-    return voices.temporal_voice(wm(spark, d), REF_US, days=30).select("id", F.round("score", 6).alias("score"))
+    return voices.temporal_voice(wm(spark, d, "id", "created_at", "importance"), REF_US, days=30).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"select id, confidence as score, row_number() over (order by round(confidence, 9) desc, id) as rank from {TR} where lower(regexp_replace(subject, '^[a-z]+:', '')) in ('demutino', 'hogozope', 'hakugibi') and confidence >= 0.5")
 def r27_fact_voice(spark, d):
-    return voices.fact_voice(tr(spark, d), "What do Demutino, Hogozope and Hakugibi use?").select("id", "score", "rank")
+    return voices.fact_voice(tr(spark, d, "id", "subject", "confidence"), "What do Demutino, Hogozope and Hakugibi use?").select("id", "score", "rank")
 
 
 @query()
@@ -42,21 +42,21 @@ def r26_graph_voice(spark, d):
 @query()
 def r24_polyphonic(spark, d):
     text = _bm25(spark, d, 20).where("query_id = 'q1'").withColumn("query_id", F.lit("q"))
-    recent = voices.temporal_voice(em(spark, d), REF_US, days=365)
+    recent = voices.temporal_voice(em(spark, d, "id", "created_at", "importance"), REF_US, days=365)
     return voices.polyphonic([text, recent], 20).withColumn("score", F.round("score", 9))
 
 
 @query()
 def r13_episodic_recall(spark, d):
     norm = _bm25(spark, d, 100).where("query_id = 'q1'").select("id", (F.col("score") / 20).alias("norm"))
-    rows = em(spark, d).where("content is not null").select("id", "content", "importance", "tier", F.unix_micros("created_at").alias("created_us")).join(norm, "id", "left").withColumn("sim", F.lit(0.0))
+    rows = em(spark, d, "id", "content", "importance", "tier", "created_at").where("content is not null").select("id", "content", "importance", "tier", F.unix_micros("created_at").alias("created_us")).join(norm, "id", "left").withColumn("sim", F.lit(0.0))
     scored = voices.linear_episodic(rows, "vector index on the office server", REF_US)
     return retrieval.ranked(scored.withColumn("query_id", F.lit("q")), 40).select("id", "score", "rank")
 
 
 @query()
 def k5_coverage(spark, d):
-    hits = _bm25(spark, d).drop("rank").join(em(spark, d).select("id", "content"), "id")
+    hits = _bm25(spark, d).drop("rank").join(em(spark, d, "id", "content"), "id")
     return voices.coverage_rerank(hits, "vector index office server grocery list monday", 10)
 
 
@@ -94,13 +94,13 @@ def r32_context_text(spark, d):
 def r33_cache_lookup(spark, d):
     cache = wm(spark, d).select("id", F.col("content").alias("cached_query"), F.unix_micros("created_at").alias("stored_us"))
     hits = voices.cached_answers(cache, "grocery list shared", REF_US, REF_US)
-    return hits.select("id", F.lit("q").alias("matched"), "cache_tier")
+    return hits.select("id", F.lit("q").alias("matched"), "cache_tier").distinct()
 
 
 @query()
 def l1_l2_ingest(spark, d):
     e = ingest.enriched(wm(spark, d))
-    return e.select("id", "trust_tier", "veracity", "memory_type", "event_date", "date_precision", "gist", "emotion", "time_scope", F.array_join("secret_labels", ",").alias("secrets"))
+    return e.select("id", "trust_tier", "veracity", "memory_type", "event_date", "date_precision", "gist", "emotion", "time_scope", F.array_join("secret_labels", ",").alias("secrets")).distinct()
 
 
 @query()
@@ -116,23 +116,23 @@ def g26_fact_ids(spark, d):
 
 @query(f"select source, bool_or(author_type = 'human') as any_human, epoch_us(min(created_at)) as first_us from {WM} group by source")
 def a14_any_and_earliest(spark, d):
-    return wm(spark, d).groupBy("source").agg(F.bool_or(F.col("author_type") == "human").alias("any_human"), F.unix_micros(F.min("created_at")).alias("first_us"))
+    return wm(spark, d, "id", "source", "author_type", "created_at").groupBy("source").agg(F.bool_or(F.col("author_type") == "human").alias("any_human"), F.unix_micros(F.min("created_at")).alias("first_us"))
 
 
 @query(f"select id, least({REF_US}, {US} + 86400000000) as bumped_us from {WM} where created_at is not null")
 def w15_bump(spark, d):
     us = F.unix_micros("created_at")
-    return wm(spark, d).where("created_at is not null").select("id", F.least(F.lit(REF_US), us + 86_400_000_000).alias("bumped_us"))
+    return wm(spark, d, "id", "created_at").where("created_at is not null").select("id", F.least(F.lit(REF_US), us + 86_400_000_000).alias("bumped_us"))
 
 
 @query(f"select subject, predicate, object, confidence from {TR} where confidence >= 0.9 and lower(trim(subject)) like 'project:%'")
 def g25_confident_facts(spark, d):
-    return tr(spark, d).where("confidence >= 0.9 and lower(trim(subject)) like 'project:%'").select("subject", "predicate", "object", "confidence")
+    return tr(spark, d, "id", "subject", "predicate", "object", "confidence").where("confidence >= 0.9 and lower(trim(subject)) like 'project:%'").select("subject", "predicate", "object", "confidence")
 
 
 @query(f"select subject, predicate, object, confidence from {TR} where confidence >= 0.9")
 def g25_confident_facts_all(spark, d):
-    return tr(spark, d).where("confidence >= 0.9").select("subject", "predicate", "object", "confidence")
+    return tr(spark, d, "id", "subject", "predicate", "object", "confidence").where("confidence >= 0.9").select("subject", "predicate", "object", "confidence")
 
 
 @query("select a.doc_id, b.doc_id as other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) as jaccard from (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) a join (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) b on b.doc_id = a.doc_id + 1")

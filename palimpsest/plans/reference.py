@@ -23,22 +23,22 @@ def query(sql: str | None = None):
     return add
 
 
-def wm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "working_memory").distinct()
+def _of(name: str):
+    def read(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+        """The table with only these columns, repeated rows once; without columns the plain table, repeats and all."""
+        t = table(spark, d, name)
+        return t.select(*columns).distinct() if columns else t
 
+    return read
 
-def em(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "episodic_memory").distinct()
 
+wm, em, tr = _of("working_memory"), _of("episodic_memory"), _of("triples")
 
-def tr(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "triples").distinct()
 
-
-def me(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct events with their first arrival."""
+def me(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct events with the named columns and their first arrival."""
     e = table(spark, d, "memory_events")
-    return e.groupBy("event_id", "memory_id", "operation", "device_id", "importance", "parent_event_ids").agg(F.min(F.unix_micros("synced_at")).alias("seen"))
+    return e.groupBy("event_id", *columns).agg(F.min(F.unix_micros("synced_at")).alias("seen"))
 
 
 WM, EM, TR = "(select distinct * from working_memory)", "(select distinct * from episodic_memory)", "(select distinct * from triples)"
@@ -51,18 +51,18 @@ US = "epoch_us(created_at)"
 
 @query(f"select id, {US} as at from {WM} order by created_at desc nulls last, id desc limit 500")
 def s2_newest(spark, d):
-    return relational.newest(wm(spark, d), "created_at", "id", 500).select("id", F.unix_micros("created_at").alias("at"))
+    return relational.newest(wm(spark, d, "id", "created_at"), "created_at", "id", 500).select("id", F.unix_micros("created_at").alias("at"))
 
 
 @query(f"select id from {WM} order by created_at desc nulls last, id desc limit 100 offset 200")
 def s3_page_by_offset(spark, d):
-    return relational.newest(wm(spark, d), "created_at", "id", 100, 200).select("id")
+    return relational.newest(wm(spark, d, "id", "created_at"), "created_at", "id", 100, 200).select("id")
 
 
 @query(f"select id from {WM} where created_at < timestamptz '2025-03-01 00:00:00+00' or (created_at = timestamptz '2025-03-01 00:00:00+00' and id < 'x') order by created_at desc nulls last, id desc limit 100")
 def s4_page_by_key(spark, d):
     at = F.to_timestamp(F.lit("2025-03-01T00:00:00Z"))
-    return relational.page_after(wm(spark, d), "created_at", "id", at, "x", 100).select("id")
+    return relational.page_after(wm(spark, d, "id", "created_at"), "created_at", "id", at, "x", 100).select("id")
 
 
 @query(f"with n as (select *, row_number() over (order by seen nulls first, event_id) as r from {ME} where seen > 1742000000000000 or (seen = 1742000000000000 and event_id > '8')) select event_id, seen, (select count(*) from n) > 1000 as has_more from n where r <= 1000")
@@ -77,32 +77,32 @@ _VALID = "valid_until is null or coalesce(try_cast(valid_until as timestamptz) >
 
 @query(f"select id from {TR} where {_VALID}")
 def op_p1_still_valid(spark, d):
-    return tr(spark, d).where(predicates.still_valid(F.col("valid_until"), 1_704_067_200_000_000)).select("id")
+    return tr(spark, d, "id", "valid_until").where(predicates.still_valid(F.col("valid_until"), 1_704_067_200_000_000)).select("id")
 
 
 @query(f"select id from {WM} where session_id = 'sess-main-0001' or channel_id = 'chan-jogofu'")
 def op_p3_session_scope(spark, d):
-    return wm(spark, d).where(predicates.in_scope(F.col("session_id"), F.lit("session"), "sess-main-0001", F.col("channel_id"), "chan-jogofu")).select("id")
+    return wm(spark, d, "id", "session_id", "channel_id").where(predicates.in_scope(F.col("session_id"), F.lit("session"), "sess-main-0001", F.col("channel_id"), "chan-jogofu")).select("id")
 
 
 @query(f"select id from {WM} where author_type = 'human' and channel_id = 'chan-gizidi'")
 def op_p4_identity(spark, d):
-    return wm(spark, d).where(predicates.equal_to(author_type="human", channel_id="chan-gizidi", author_id=None)).select("id")
+    return wm(spark, d, "id", "author_type", "channel_id", "author_id").where(predicates.equal_to(author_type="human", channel_id="chan-gizidi", author_id=None)).select("id")
 
 
 @query(f"select id from {EM} where timestamp >= '2024-11-01T00:00:00' and timestamp <= '2024-12-31T23:59:59'")
 def op_p5_date_range(spark, d):
-    return em(spark, d).where(predicates.between_dates(F.col("timestamp"), "2024-11-01", "2024-12-31")).select("id")
+    return em(spark, d, "id", "timestamp").where(predicates.between_dates(F.col("timestamp"), "2024-11-01", "2024-12-31")).select("id")
 
 
 @query(f"select id from {WM} where source = 'insight' and veracity = 'stated'")
 def op_p6_p7_source_and_veracity(spark, d):
-    return wm(spark, d).where(predicates.equal_to(source="insight", veracity="stated")).select("id")
+    return wm(spark, d, "id", "source", "veracity").where(predicates.equal_to(source="insight", veracity="stated")).select("id")
 
 
 @query(f"select id from {WM} where source is null or source not in ('conversation', 'honcho_message')")
 def op_p8_dense_sources(spark, d):
-    return wm(spark, d).where(predicates.dense_eligible(F.col("source"))).select("id")
+    return wm(spark, d, "id", "source").where(predicates.dense_eligible(F.col("source"))).select("id")
 
 
 @query("select distinct e.id from episodic_memory e where exists (select 1 from working_memory w where w.session_id = e.session_id and w.source = 'insight')")
@@ -113,42 +113,42 @@ def op_p9_semijoin(spark, d):
 
 @query(f"select id from {WM} where contains(lower(content), 'vector index') or contains(lower(source), 'vector index')")
 def op_p10_substring(spark, d):
-    return wm(spark, d).where(predicates.contains_any([F.col("content"), F.col("source")], "Vector Index")).select("id")
+    return wm(spark, d).where(predicates.contains_any([F.col("content"), F.col("source")], "Vector Index")).select("id").distinct()
 
 
 @query(f"select id from {TR} where lower(subject) = 'agent:demutino' or lower(predicate) = 'prefers'")
 def op_p11_nocase(spark, d):
-    return tr(spark, d).where(predicates.same_nocase(F.col("subject"), "Agent:Demutino") | predicates.same_nocase(F.col("predicate"), "PREFERS")).select("id")
+    return tr(spark, d, "id", "subject", "predicate").where(predicates.same_nocase(F.col("subject"), "Agent:Demutino") | predicates.same_nocase(F.col("predicate"), "PREFERS")).select("id")
 
 
 @query(f"select a.event_id, b.event_id as parent_id from {ME} a join {ME} b on b.memory_id = a.memory_id and list_contains(cast(json(a.parent_event_ids) as varchar[]), b.event_id)")
 def op_p12_json_member(spark, d):
-    e = me(spark, d)
+    e = me(spark, d, "memory_id", "parent_event_ids")
     b = e.select("memory_id", F.col("event_id").alias("parent_id"))
     return e.join(b, "memory_id").where(predicates.json_member(F.col("parent_event_ids"), F.col("parent_id"))).select("event_id", "parent_id")
 
 
 @query(f"select e.id as summary_id, x.w as id from (select id, unnest(string_split(summary_of, ',')) as w from {EM}) x join {EM} e using (id) semi join working_memory on working_memory.id = x.w")
 def op_p13_csv_member(spark, d):
-    links = em(spark, d).select(F.col("id").alias("summary_id"), F.explode(F.split("summary_of", ",")).alias("id"))
+    links = em(spark, d, "id", "summary_of").select(F.col("id").alias("summary_id"), F.explode(F.split("summary_of", ",")).alias("id"))
     return links.join(table(spark, d, "working_memory"), "id", "left_semi").select("summary_id", "id")
 
 
 @query(f"select id from {WM} where created_at < timestamptz '2025-01-01 00:00:00+00' and coalesce(importance < 0.9, true)")
 def op_p14_due_for_sleep(spark, d):
-    w = wm(spark, d)
+    w = wm(spark, d, "id", "importance", "created_at")
     due = predicates.due_for_consolidation(F.col("importance") >= 0.9, F.lit(None).cast("timestamp"), F.unix_micros("created_at"), 1_735_689_600_000_000)
     return w.where(due).select("id")
 
 
 @query(f"select id, left(content, 60) as preview from {EM}")
 def op_p16_preview(spark, d):
-    return em(spark, d).select("id", predicates.preview(F.col("content"), 60).alias("preview"))
+    return em(spark, d).select("id", predicates.preview(F.col("content"), 60).alias("preview")).distinct()
 
 
 @query(f"select id, content, importance from {WM}")
 def op_p18_allowed_columns(spark, d):
-    return predicates.allowed_columns(wm(spark, d), ["id", "content", "importance", "no_such_column"])
+    return predicates.allowed_columns(wm(spark, d), ["id", "content", "importance", "no_such_column"]).distinct()
 
 
 # Joins
@@ -162,17 +162,17 @@ def j1_j2_inner(spark, d):
 
 @query(f"select distinct memory_id from {ME} where memory_id is not null and memory_id not in (select id from working_memory where id is not null)")
 def j4_j5_orphans(spark, d):
-    return relational.missing_from(me(spark, d).where("memory_id is not null").select("memory_id").distinct(), wm(spark, d), "memory_id", "id")
+    return relational.missing_from(table(spark, d, "memory_events").where("memory_id is not null").select("memory_id").distinct(), wm(spark, d), "memory_id", "id")
 
 
 @query(f"with c as (select distinct unnest(string_split(summary_of, ',')) as c from episodic_memory) select id from {WM} where source = 'conversation' and id not in (select c from c where c is not null)")
 def j6_l10_unsummarised(spark, d):
-    return lifecycle.unsummarised(wm(spark, d), em(spark, d), F.col("source") == "conversation").select("id")
+    return lifecycle.unsummarised(wm(spark, d, "id", "source"), em(spark, d), F.col("source") == "conversation").select("id")
 
 
 @query(f"select distinct a.event_id from {ME} a where a.operation = 'UPDATE' and not exists (select 1 from memory_events b where b.memory_id = a.memory_id and b.operation = 'DELETE')")
 def j9_outbox(spark, d):
-    e = me(spark, d)
+    e = me(spark, d, "memory_id", "operation")
     return relational.missing_from(e.where("operation = 'UPDATE' and memory_id is not null").select("event_id", "memory_id"), e.where("operation = 'DELETE'"), "memory_id", "memory_id").select("event_id").distinct()
 
 
@@ -197,7 +197,7 @@ def j12_g21_shared_values(spark, d):
 
 @query(f"select a.memory_id, a.event_id, count(distinct b.event_id)::bigint as n_concurrent from {ME} a join {ME} b on a.memory_id = b.memory_id and abs(a.seen - b.seen) <= 600000000 and a.event_id <> b.event_id group by all")
 def j15_t10_concurrent(spark, d):
-    e = me(spark, d).where("seen is not null")
+    e = me(spark, d, "memory_id").where("seen is not null")
     return sync.concurrent(e, e, "memory_id", "seen", "event_id", 600_000_000)
 
 
@@ -207,12 +207,12 @@ _ISOS = r"valid_from rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and (valid_until is nu
 
 @query(f"select id from {TR} where {_ISO} and valid_from <= '2023-06-15' and (valid_until is null or valid_until > '2023-06-15')")
 def j16_as_of(spark, d):
-    return history.as_of(tr(spark, d).where(_ISOS), "2023-06-15", "valid_from", "valid_until").select("id")
+    return history.as_of(tr(spark, d, "id", "valid_from", "valid_until").where(_ISOS), "2023-06-15", "valid_from", "valid_until").select("id")
 
 
 @query(f"select id, case coalesce(lower(trim(veracity)), '') when 'stated' then 1.0::double when 'inferred' then 0.7::double when 'imported' then 0.6::double when 'tool' then 0.5::double else 0.8::double end as weight from {WM}")
 def j20_f23_trust_weight(spark, d):
-    return wm(spark, d).select("id", decay.veracity_weight(F.col("veracity")).alias("weight"))
+    return wm(spark, d, "id", "veracity").select("id", decay.veracity_weight(F.col("veracity")).alias("weight"))
 
 
 @query("select coalesce(a.session_id, b.session_id) as session_id, a.n as n_working, b.n as n_episodic from (select session_id, count(distinct id)::bigint as n from working_memory group by 1) a full join (select session_id, count(distinct id)::bigint as n from episodic_memory group by 1) b on a.session_id = b.session_id")
@@ -226,22 +226,22 @@ def j21_full_outer(spark, d):
 
 @query(f"select count(*)::bigint as n, count(*) filter (importance >= 0.5)::bigint as n_important, count(distinct session_id)::bigint as n_sessions, epoch_us(max(created_at)) as latest_us from {WM}")
 def a1_a4_a11_counts(spark, d):
-    return wm(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= 0.5).alias("n_important"), F.count_distinct("session_id").alias("n_sessions"), F.unix_micros(F.max("created_at")).alias("latest_us"))
+    return wm(spark, d, "id", "importance", "session_id", "created_at").agg(F.count("*").alias("n"), F.count_if(F.col("importance") >= 0.5).alias("n_important"), F.count_distinct("session_id").alias("n_sessions"), F.unix_micros(F.max("created_at")).alias("latest_us"))
 
 
 @query(f"select source, count(*)::bigint as n from {WM} group by source")
 def a5_by_source(spark, d):
-    return wm(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    return wm(spark, d, "id", "source").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"select session_id, count(*)::bigint as n, epoch_us(min(created_at)) as first_us from {WM} group by session_id")
 def a6_sessions(spark, d):
-    return wm(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.unix_micros(F.min("created_at")).alias("first_us"))
+    return wm(spark, d, "id", "session_id", "created_at").groupBy("session_id").agg(F.count("*").alias("n"), F.unix_micros(F.min("created_at")).alias("first_us"))
 
 
 @query(f"select predicate, object, count(*)::bigint as n, max(id) as last_id from {TR} group by all having count(*) > 1")
 def a7_having(spark, d):
-    return tr(spark, d).groupBy("predicate", "object").agg(F.count("*").alias("n"), F.max("id").alias("last_id")).where("n > 1")
+    return tr(spark, d, "id", "predicate", "object").groupBy("predicate", "object").agg(F.count("*").alias("n"), F.max("id").alias("last_id")).where("n > 1")
 
 
 @query("select min(id) as id, subject, predicate, object from triples group by subject, predicate, object")
@@ -251,7 +251,7 @@ def a8_first_of_duplicates(spark, d):
 
 @query(f"select predicate, round(avg(confidence), 6) as confidence, round(sum(confidence), 4) as total from {TR} group by predicate")
 def a9_a10_averages(spark, d):
-    return tr(spark, d).groupBy("predicate").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.sum("confidence"), 4).alias("total"))
+    return tr(spark, d, "id", "predicate", "confidence").groupBy("predicate").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
 @query("select 'working_memory' as name, count(*)::bigint as n from working_memory union all select 'episodic_memory', count(*) from episodic_memory union all select 'triples', count(*) from triples union all select 'memory_events', count(*) from memory_events")
@@ -267,7 +267,7 @@ def a12_cardinalities(spark, d):
 r as (select *, row_number() over (partition by session_id order by (label = 'unknown')::int, n desc, case label when 'stated' then 1.0 when 'inferred' then 0.7 when 'imported' then 0.6 when 'tool' then 0.5 else 0.8 end, label) as k from c)
 select session_id, label, n from r where k = 1""")
 def a13_majority(spark, d):
-    return facts.majority_label(wm(spark, d), "session_id", "veracity")
+    return facts.majority_label(wm(spark, d, "id", "session_id", "veracity"), "session_id", "veracity")
 
 
 @query("select session_id, string_agg(id, ' | ' order by created_at nulls first, id) as members from (select distinct id, session_id, created_at from episodic_memory where session_id <> 'sess-main-0001') group by session_id")
@@ -288,7 +288,7 @@ _W = "case coalesce(lower(trim(source)), '') when 'stated' then 1.0 when 'inferr
 @query(f"""with m as (select subject, predicate, object, {_W} as w, row_number() over (partition by subject, predicate, object order by id) as n from {TR})
 select subject, predicate, object, count(*)::bigint as mention_count, round(1 - (1 - 0.5 * arg_min(w, n)) * coalesce(product(1 - 0.3 * w) filter (n > 1), 1), 6) as confidence from m group by all""")
 def a16_g22_consolidate(spark, d):
-    m = tr(spark, d).withColumn("veracity", F.col("source"))
+    m = tr(spark, d, "id", "subject", "predicate", "object", "source").withColumn("veracity", F.col("source"))
     return facts.consolidate(m, ["subject", "predicate", "object"], ["id"]).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -304,7 +304,7 @@ _TRI = f"(select id, lower(trim(subject)) as subject, predicate, object, valid_f
 
 @query(f"select id, coalesce(valid_until, lead(valid_from) over (partition by subject, predicate order by id)) as valid_until from {_TRI}")
 def w7_supersession(spark, d):
-    t = tr(spark, d).where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    t = tr(spark, d, "id", "subject", "predicate", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
     return history.close_superseded(t, ["subject", "predicate"], ["id"], "valid_from", "valid_until").select("id", "valid_until")
 
 
@@ -312,50 +312,50 @@ def w7_supersession(spark, d):
 k as (select * from c where n = 1 or object is distinct from before)
 select subject, predicate, object, row_number() over w as version, before as previous, valid_from, lead(valid_from) over w as valid_until from k window w as (partition by subject, predicate order by valid_from, id)""")
 def w5_w6_versions(spark, d):
-    t = tr(spark, d).where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
     return history.versions(t, ["subject", "predicate"], "object", ["valid_from", "id"], "valid_from")
 
 
 @query(f"select subject, predicate, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n_versions from {_TRI} where subject like 'project:%' group by subject, predicate")
 def w8_evolution(spark, d):
-    t = tr(spark, d).where(_ISOS).withColumn("subject", F.lower(F.trim("subject"))).where("subject like 'project:%'")
+    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject"))).where("subject like 'project:%'")
     return history.evolution(t, ["subject", "predicate"], "object", "id")
 
 
 @query(f"select subject, predicate, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n_versions from {_TRI} group by subject, predicate")
 def w8_evolution_all(spark, d):
-    t = tr(spark, d).where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
     return history.evolution(t, ["subject", "predicate"], "object", "id")
 
 
 @query(f"select event_id from (select event_id, row_number() over (partition by memory_id order by seen desc nulls last, event_id desc) as n from {ME}) where n <= 3")
 def w9_latest_three(spark, d):
-    return relational.latest_per_key(me(spark, d), ["memory_id"], [F.desc_nulls_last("seen"), F.desc("event_id")], 3).select("event_id")
+    return relational.latest_per_key(me(spark, d, "memory_id"), ["memory_id"], [F.desc_nulls_last("seen"), F.desc("event_id")], 3).select("event_id")
 
 
 @query(f"select id, session_id from (select *, row_number() over (partition by session_id order by importance desc nulls last, id) as n from {WM}) where n = 1")
 def w10_best_per_topic(spark, d):
-    return relational.latest_per_key(wm(spark, d), ["session_id"], [F.desc_nulls_last("importance"), F.col("id")]).select("id", "session_id")
+    return relational.latest_per_key(wm(spark, d, "id", "session_id", "importance"), ["session_id"], [F.desc_nulls_last("importance"), F.col("id")]).select("id", "session_id")
 
 
 @query(f"select id from (select id, created_at, row_number() over (partition by session_id order by created_at desc nulls last, id desc) as n from {WM}) where n > 20 or {US} < {REF_US} - {180 * 86_400_000_000}")
 def w11_l11_trim(spark, d):
-    return lifecycle.trimmed(wm(spark, d), "session_id", "created_at", 20, REF_US, 180 * 86_400_000_000).select("id")
+    return lifecycle.trimmed(wm(spark, d, "id", "session_id", "created_at"), "session_id", "created_at", 20, REF_US, 180 * 86_400_000_000).select("id")
 
 
 @query(f"select before, after, count(*)::bigint as n from (select source as before, lead(source) over (partition by session_id order by created_at nulls first, id) as after from {WM}) where before is not null and after is not null group by all")
 def w12_transitions(spark, d):
-    return sync.transitions(wm(spark, d), "session_id", ["created_at", "id"], "source")
+    return sync.transitions(wm(spark, d, "id", "session_id", "created_at", "source"), "session_id", ["created_at", "id"], "source")
 
 
 @query(f"select id, used from (select id, sum(length(content)) over (partition by session_id order by id rows unbounded preceding)::bigint as used from {WM}) where used <= 1000")
 def w13_budget(spark, d):
-    return lifecycle.within_budget(wm(spark, d), "session_id", "id", F.length("content"), 1000).select("id", "used")
+    return lifecycle.within_budget(wm(spark, d).select("id", "session_id", F.length("content").alias("size")).distinct(), "session_id", "id", F.col("size"), 1000).select("id", "used")
 
 
 @query(f"select memory_id, arg_max(event_id, (seen, coalesce(importance, 0), device_id, event_id)) as event_id, max(seen) as seen from {ME} where memory_id is not null and seen is not null group by memory_id")
 def w14_t8_winners(spark, d):
-    return sync.winners(me(spark, d).where("seen is not null"), "memory_id", "seen", "importance", "device_id", "event_id")
+    return sync.winners(me(spark, d, "memory_id", "device_id", "importance").where("seen is not null"), "memory_id", "seen", "importance", "device_id", "event_id")
 
 
 # Top k
@@ -363,7 +363,7 @@ def w14_t8_winners(spark, d):
 
 @query(f"select id, importance from {WM} where importance is not null order by importance desc, id limit 50")
 def k1_k10_top(spark, d):
-    return wm(spark, d).where("importance is not null").orderBy(F.desc("importance"), "id").limit(50).select("id", "importance")
+    return wm(spark, d, "id", "importance").where("importance is not null").orderBy(F.desc("importance"), "id").limit(50).select("id", "importance")
 
 
 _NORM = "sqrt(list_sum(list_transform({0}::double[], lambda x: x * x)))"
@@ -381,12 +381,12 @@ def k3_r9_vector_topk(spark, d):
 n as (select *, row_number() over (partition by session_id, band order by importance desc, id) as k from b)
 select id, band, row_number() over (partition by session_id order by band, k) as position from n where k <= case band when 1 then 5 else 3 end""")
 def k9_sandwich(spark, d):
-    return lifecycle.sandwich(wm(spark, d).where("importance is not null"), "session_id", "importance").select("id", "band", "position")
+    return lifecycle.sandwich(wm(spark, d, "id", "session_id", "importance").where("importance is not null"), "session_id", "importance").select("id", "band", "position")
 
 
 @query(f"select id from {WM} where session_id = 'sess-main-0001' or source = 'insight' order by (source <> 'insight')::int, importance desc nulls last, created_at desc nulls last, id limit 100")
 def k8_l12_context(spark, d):
-    w = wm(spark, d).withColumn("scope", F.when(F.col("source") == "insight", "global").otherwise("session"))
+    w = wm(spark, d, "id", "session_id", "source", "importance", "created_at").withColumn("scope", F.when(F.col("source") == "insight", "global").otherwise("session"))
     return lifecycle.context(w, "sess-main-0001", 100).select("id")
 
 
@@ -396,7 +396,7 @@ def k8_l12_context(spark, d):
 @query(f"select id, 'working' as tier, importance from {WM} union all select id, 'episodic', importance from {EM}")
 def u1_tiers(spark, d):
     pick = lambda df, t: df.select("id", F.lit(t).alias("tier"), "importance")
-    return pick(wm(spark, d), "working").unionByName(pick(em(spark, d), "episodic"))
+    return pick(wm(spark, d, "id", "importance"), "working").unionByName(pick(em(spark, d, "id", "importance"), "episodic"))
 
 
 @query("select distinct subject, predicate, object from triples")
@@ -409,7 +409,7 @@ def u5_g14_insert_or_ignore(spark, d):
 @query(f"""select session_id, content, min(id) as id, max(importance) as importance, coalesce(arg_max(veracity, (coalesce(created_at, timestamptz '1900-01-01'), id)) filter (veracity <> 'unknown'), 'unknown') as veracity, count(*)::bigint as n_copies
 from {WM} group by session_id, content""")
 def u8_merge_duplicates(spark, d):
-    return relational.merge_duplicates(wm(spark, d), ["session_id", "content"]).drop("created_at")
+    return relational.merge_duplicates(wm(spark, d, "id", "session_id", "content", "importance", "veracity", "created_at"), ["session_id", "content"]).drop("created_at")
 
 
 @query("""with a as (select id, any_value(content) as content, max(importance) as importance from memories group by id), b as (select id, any_value(content) as content, max(importance) as importance from working_memory group by id)
@@ -446,7 +446,7 @@ r as (select *, row_number() over (partition by query_id order by round(score, 9
 
 
 def _bm25(spark, d, k=None):
-    return retrieval.bm25(em(spark, d).select("id", "content"), ASKED, k)
+    return retrieval.bm25(em(spark, d, "id", "content"), ASKED, k)
 
 
 @query(_BM25 + "select query_id, id, round(score, 6) as score, rank from r where rank <= 20")
@@ -468,39 +468,39 @@ def w1_normalised_scores(spark, d):
 select query_id, id, round(sum(1.0 / (60 + rank)), 9) as score from (select query_id, id, rank from r union all select query_id, id, rank from i) group by all""")
 def r24_w3_fusion(spark, d):
     text = _bm25(spark, d)
-    e = em(spark, d).select("id", F.coalesce("importance", F.lit(0.0)).alias("score"))
+    e = em(spark, d, "id", "importance").select("id", F.coalesce("importance", F.lit(0.0)).alias("score"))
     by_importance = retrieval.ranked(text.select("query_id", "id").join(e, "id").distinct())
     return retrieval.reciprocal_ranks([text, by_importance]).withColumn("score", F.round("score", 9))
 
 
 @query()
 def r13_linear_recall(spark, d):
-    rows = wm(spark, d).select("id", "content", "importance", "veracity", F.unix_micros("created_at").alias("created_us"))
+    rows = wm(spark, d, "id", "content", "importance", "veracity", "created_at").select("id", "content", "importance", "veracity", F.unix_micros("created_at").alias("created_us"))
     scored = retrieval.linear_working(rows, "shared grocery list on the kitchen tablet", REF_US, temporal_weight=0.2)
     return retrieval.ranked(scored.withColumn("query_id", F.lit("q")), 40).select("query_id", "id", "score", "rank")
 
 
 @query()
 def k6_mmr(spark, d):
-    hits = _bm25(spark, d, 20).drop("rank").join(em(spark, d).select("id", "content"), "id")
+    hits = _bm25(spark, d, 20).drop("rank").join(em(spark, d, "id", "content"), "id")
     return retrieval.mmr(hits, 10)
 
 
 @query()
 def k7_diverse(spark, d):
-    hits = _bm25(spark, d).drop("rank").join(em(spark, d).select("id", "content"), "id")
+    hits = _bm25(spark, d).drop("rank").join(em(spark, d, "id", "content"), "id")
     return retrieval.diverse(hits, 10)
 
 
 @query(f"select id, coalesce(round(exp(-({REF_US} - {US}) / 3.6e9 / 168), 9), 0.5) as decay, case when created_at is null then 0 else round(exp(-greatest(0, ({REF_US} - {US}) / 3.6e9) / 24), 9) end as boost from {WM}")
 def f7_f8_decay(spark, d):
     us = F.unix_micros("created_at")
-    return wm(spark, d).select("id", F.round(decay.recency(us, REF_US), 9).alias("decay"), F.round(decay.temporal_boost(us, REF_US), 9).alias("boost"))
+    return wm(spark, d, "id", "created_at").select("id", F.round(decay.recency(us, REF_US), 9).alias("decay"), F.round(decay.temporal_boost(us, REF_US), 9).alias("boost"))
 
 
 @query(f"select id, case when created_at is null then 0.5 else round(exp(-pow(greatest(0, ({REF_US} - {US}) / 3.6e9) / case source when 'fact' then 720 when 'preference' then 4380 when 'insight' then 168 else 168 end, case source when 'fact' then 0.8 when 'preference' then 0.4 else 1.0 end)), 9) end as w from {WM}")
 def r23_weibull(spark, d):
-    return wm(spark, d).select("id", F.round(decay.weibull(F.unix_micros("created_at"), REF_US, F.when(F.col("source").isin("fact", "preference"), F.col("source")).otherwise("general")), 9).alias("w"))
+    return wm(spark, d, "id", "created_at", "source").select("id", F.round(decay.weibull(F.unix_micros("created_at"), REF_US, F.when(F.col("source").isin("fact", "preference"), F.col("source")).otherwise("general")), 9).alias("w"))
 
 
 @query(f"select doc_id, len(t)::bigint as n_tokens, list_aggregate(list_sort(list_distinct(t)), 'string_agg', ' ') as tokens from (select doc_id, {_TOKENS.replace('content', 'text')} as t from documents where text is not null) where len(t) > 0")
@@ -552,7 +552,7 @@ select *, greatest(case when length(low) < 15 and low in ({", ".join(f"'{x}'" fo
 from (select *, lower(trim(content)) as low from {WM} where content is not null)))""")
 def f27_l15_noise(spark, d):
     w = wm(spark, d).where("content is not null")
-    return w.select("id", X.noise_score(F.col("content"), F.col("importance"), F.col("source")).alias("score"))
+    return w.select("id", X.noise_score(F.col("content"), F.col("importance"), F.col("source")).alias("score")).distinct()
 
 
 @query("select id, length(content)::bigint as n, ceil(length(content) / 4.0)::bigint as tokens from (select distinct id, content from episodic_memory)")
@@ -602,13 +602,13 @@ def r16_g19_degrees(spark, d):
 
 @query(f"select id, (case when coalesce(tier, 1) = 1 and {REF_US} - {US} > {30 * 86_400_000_000} then 2 when tier = 2 and {REF_US} - {US} > {180 * 86_400_000_000} then 3 else coalesce(tier, 1) end)::int as tier from {EM}")
 def l9_degrade(spark, d):
-    return em(spark, d).select("id", lifecycle.degraded_tier(F.col("tier"), F.unix_micros("created_at"), REF_US).cast("int").alias("tier"))
+    return em(spark, d, "id", "tier", "created_at").select("id", lifecycle.degraded_tier(F.col("tier"), F.unix_micros("created_at"), REF_US).cast("int").alias("tier"))
 
 
-@query(f"select session_id, source, count(*)::bigint as n, epoch_us(min(created_at)) as first_us, epoch_us(max(created_at)) as last_us, round(avg(importance) * count(importance), 3) as importance from {WM} where created_at < timestamptz '2025-05-01 00:00:00+00' group by session_id, source")
+@query(f"select session_id, source, count(*)::bigint as n, epoch_us(min(created_at)) as first_us, epoch_us(max(created_at)) as last_us, case when count(importance) > 0 then round(sum(importance::decimal(18,9))::double / count(importance), 6) end as importance, sum(('0x' || left(md5(id), 8))::bigint)::bigint as member_hash from {WM} where created_at < timestamptz '2025-05-01 00:00:00+00' group by session_id, source")
 def l5_l6_sleep_groups(spark, d):
-    g = lifecycle.sleep_groups(wm(spark, d).where(F.col("created_at") < F.to_timestamp(F.lit("2025-05-01T00:00:00Z"))), ["session_id", "source"], "created_at")
-    return g.select("session_id", "source", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.round(F.col("importance") * F.col("n_importance"), 3).alias("importance"))
+    g = lifecycle.sleep_groups(wm(spark, d, "id", "session_id", "source", "created_at", "importance").where(F.col("created_at") < F.to_timestamp(F.lit("2025-05-01T00:00:00Z"))), ["session_id", "source"], "created_at")
+    return g.select("session_id", "source", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.round("importance", 6).alias("importance"), "member_hash")
 
 
 @query(f"select count(*)::bigint as n_runs, count(*) filter (event_type = 'error')::bigint as n_errors, round(({REF_US} - epoch_us(max(ts) filter (event_type <> 'error'))) / 3.6e9, 3) as hours_since_success, 'stale' as status from events")
@@ -621,7 +621,7 @@ def l13_health(spark, d):
 
 @query(f"with heads as (select * from {ME} where seen is not null and event_id not in (select unnest(cast(json(parent_event_ids) as varchar[])) from memory_events where parent_event_ids is not null)) select memory_id, arg_max(event_id, (seen, coalesce(importance, 0), device_id, event_id)) as event_id from heads where memory_id is not null group by memory_id")
 def t9_chain_winners(spark, d):
-    return sync.chain_winners(me(spark, d), "memory_id", "seen", "importance", "device_id", "event_id", "parent_event_ids").select("memory_id", "event_id")
+    return sync.chain_winners(me(spark, d, "memory_id", "device_id", "importance", "parent_event_ids"), "memory_id", "seen", "importance", "device_id", "event_id", "parent_event_ids").select("memory_id", "event_id")
 
 
 @query("""with a as (select id, any_value(content) as content, max(importance) as importance from memories group by id), b as (select id, any_value(content) as content, max(importance) as importance from working_memory group by id)
@@ -639,4 +639,4 @@ def t4_delta(spark, d):
 
 @query(f"select event_id from {ME} where operation in ('UPDATE', 'DELETE') order by seen desc nulls last, event_id desc limit 1000")
 def t3_buffer(spark, d):
-    return sync.last_n(me(spark, d), "seen", "event_id", 1000, ["UPDATE", "DELETE"]).select("event_id")
+    return sync.last_n(me(spark, d, "operation"), "seen", "event_id", 1000, ["UPDATE", "DELETE"]).select("event_id")

@@ -40,7 +40,7 @@ from (select id, content, list_max(list_filter([{", ".join(parts)}], lambda o: o
 
 @query(_type_sql())
 def f21_memory_types(spark, d):
-    t = em(spark, d).where("content is not null").select("id", rules.memory_type(F.col("content")).alias("t"))
+    t = em(spark, d).where("content is not null").select("id", rules.memory_type(F.col("content")).alias("t")).distinct()
     return t.select("id", "t.type", F.round("t.confidence", 6).alias("confidence"))
 
 
@@ -55,17 +55,17 @@ def _compact_sql() -> str:
 
 @query(_compact_sql())
 def f24_compact(spark, d):
-    return em(spark, d).where("content is not null").select("id", rules.compact(F.col("content")).alias("compact"))
+    return em(spark, d).where("content is not null").select("id", rules.compact(F.col("content")).alias("compact")).distinct()
 
 
 @query("select id, " + "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(content, {_q(p)}) then '{n}' end" for n, p in X.SECRET_PATTERNS.items()) + f"], lambda x: x is not null), ',') as labels from {WM} where content is not null")
 def f28_secrets(spark, d):
-    return wm(spark, d).where("content is not null").select("id", F.array_join(X.secrets(F.col("content")), ",").alias("labels"))
+    return wm(spark, d).where("content is not null").select("id", F.array_join(X.secrets(F.col("content")), ",").alias("labels")).distinct()
 
 
 @query()
 def f19_x1_entities(spark, d):
-    return em(spark, d).where("content is not null").select("id", F.explode(X.entities(F.col("content"))).alias("entity"))
+    return em(spark, d).where("content is not null").select("id", F.explode(X.entities(F.col("content"))).alias("entity")).distinct()
 
 
 @query("select a.subject, b.subject as other from (select distinct subject from triples where subject like 'place:%') a join (select distinct subject from triples where subject like 'place:%') b on lower(trim(a.subject)) = lower(trim(b.subject)) and a.subject <> b.subject")
@@ -87,7 +87,7 @@ _INTENT = ", ".join(
 
 @query(f"select id, case when best.hits > 0 then best.name else 'general' end as category, case when best.hits > 0 then least(1.0, 0.3 + 0.15 * best.hits)::double else 0.0::double end as confidence from (select id, list_max([{_INTENT}]) as best from (select id, lower(content) as low from {WM} where content is not null))")
 def r21_intents(spark, d):
-    i = wm(spark, d).where("content is not null").select("id", X.intent(F.col("content")).alias("i"))
+    i = wm(spark, d).where("content is not null").select("id", X.intent(F.col("content")).alias("i")).distinct()
     return i.select("id", "i.category", "i.confidence")
 
 
@@ -100,28 +100,28 @@ def f12_weekday_mentions(spark, d):
 @query()
 def f11_named_dates(spark, d):
     w = wm(spark, d).where("content is not null and created_at is not null")
-    found = w.select("id", dates.named_date(F.col("content"), F.to_date("created_at")).alias("n"))
+    found = w.select("id", dates.named_date(F.col("content"), F.to_date("created_at")).alias("n")).distinct()
     return found.where("n.event_date is not null").select("id", "n.event_date", "n.precision")
 
 
 @query("select id, " + "case " + " ".join("when " + " or ".join(f"contains(lower(content), '{w}')" for w in ws) + f" then '{n}'" for n, ws in patterns.EMOTIONS.items()) + f" end as emotion from {EM} where content is not null")
 def g16_emotion(spark, d):
-    return em(spark, d).where("content is not null").select("id", patterns.emotion(F.col("content")).alias("emotion"))
+    return em(spark, d).where("content is not null").select("id", patterns.emotion(F.col("content")).alias("emotion")).distinct()
 
 
 @query(f"select id, case when length(string_split_regex(content, '[.!?]+')[1]) > 10 then left(trim(string_split_regex(content, '[.!?]+')[1]), 100) else trim(left(content, 100)) end as gist from {EM} where content is not null")
 def g16_gist(spark, d):
-    return em(spark, d).where("content is not null").select("id", patterns.gist(F.col("content")).alias("gist"))
+    return em(spark, d).where("content is not null").select("id", patterns.gist(F.col("content")).alias("gist")).distinct()
 
 
 @query()
 def g16_participants(spark, d):
-    return em(spark, d).where("content is not null").select("id", F.array_join(patterns.participants(F.col("content")), ",").alias("participants"))
+    return em(spark, d).where("content is not null").select("id", F.array_join(patterns.participants(F.col("content")), ",").alias("participants")).distinct()
 
 
 @query()
 def g17_statements(spark, d):
-    return em(spark, d).where("content is not null").select("id", F.explode(patterns.statements(F.col("content"))).alias("s")).select("id", "s.subject", "s.predicate", "s.object")
+    return em(spark, d).where("content is not null").select("id", F.explode(patterns.statements(F.col("content"))).alias("s")).select("id", "s.subject", "s.predicate", "s.object").distinct()
 
 
 @query(
@@ -138,12 +138,12 @@ def g17_statements(spark, d):
     + ")"
 )
 def g1_extracted_facts(spark, d):
-    return patterns.extract_facts(wm(spark, d).where("content is not null"), "id", "content")
+    return patterns.extract_facts(wm(spark, d).where("content is not null"), "id", "content").distinct()
 
 
 @query(f"select word, count(*)::bigint as n from (select id, unnest(list_distinct({_TOKENS})) as word from {EM} where content is not null) group by word order by n desc, word limit 50")
 def a17_frequent_words(spark, d):
-    return patterns.frequent_words(em(spark, d).where("content is not null"), "content", 50)
+    return patterns.frequent_words(em(spark, d, "id", "content").where("content is not null"), "content", 50)
 
 
 _VOCAB = ["vector", "index", "grocery", "list", "shared", "calendar", "budget", "tool", "sheet", "travel"]
@@ -151,12 +151,12 @@ _VOCAB = ["vector", "index", "grocery", "list", "shared", "calendar", "budget",
 
 @query(f"with w as (select id, unnest(list_distinct({_TOKENS})) as word from {EM} where content is not null), v as (select * from w where word in ({', '.join(map(repr, _VOCAB))})) select a.word as first, b.word as second, count(*)::bigint as n from v a join v b on a.id = b.id and a.word < b.word group by all")
 def a18_word_pairs(spark, d):
-    return patterns.word_pairs(em(spark, d).where("content is not null"), "content", _VOCAB)
+    return patterns.word_pairs(em(spark, d, "id", "content").where("content is not null"), "content", _VOCAB)
 
 
 @query(f"with w as (select row, unnest(list_distinct(t)) as word from (select row_number() over () as row, {_TOKENS} as t from {EM} where content is not null)) select a.word as first, b.word as second, count(*)::bigint as n from w a join w b on a.row = b.row and a.word < b.word group by all order by n desc, first, second limit 50")
 def a18_frequent_pairs(spark, d):
-    return patterns.frequent_pairs(em(spark, d).where("content is not null"), "content", 50)
+    return patterns.frequent_pairs(em(spark, d, "id", "content").where("content is not null"), "content", 50)
 
 
 @query(f"with a as (select id, 1 as p from {WM} where contains(lower(content), 'vector index')), b as (select id, 2 as p from {WM} where contains(lower(content), 'grocery list')) select id, min(p)::int as pass from (from a union all from b) group by id order by pass, id limit 200")
@@ -181,7 +181,7 @@ def f36_normal_refs(spark, d):
 
 @query(f"select id, content, null::varchar as reason, octet_length(encode(content))::bigint as size from {WM} where content is not null")
 def s14_sanitised(spark, d):
-    return wm(spark, d).where("content is not null").select("id", media.sanitised(F.col("content")).alias("s")).select("id", "s.content", "s.reason", F.col("s.size").cast("bigint").alias("size"))
+    return wm(spark, d).where("content is not null").select("id", media.sanitised(F.col("content")).alias("s")).select("id", "s.content", "s.reason", F.col("s.size").cast("bigint").alias("size")).distinct()
 
 
 @query("select coalesce(id, left(sha256(content), 16)) as id, content, 'flat_import' as source, timestamp, session_id, coalesce(importance, 0.5) as importance, 'human' as author_type from memories where trim(content) <> ''")
@@ -219,17 +219,17 @@ def t14_metrics(spark, d):
 
 @query(f"select id from {WM} where contains(lower(content), '--limit') is false and regexp_matches(lower(content), '\\blimit\\b')")
 def op_p15_flag_collisions(spark, d):
-    return wm(spark, d).where(predicates.flag_collision("what does --limit do", F.col("content"))).select("id")
+    return wm(spark, d).where(predicates.flag_collision("what does --limit do", F.col("content"))).select("id").distinct()
 
 
 @query(f"select id from {TR} where length(object) > 6")
 def op_p20_long_facts(spark, d):
-    return tr(spark, d).where(predicates.long_fact(F.col("object"), 6)).select("id")
+    return tr(spark, d, "id", "object").where(predicates.long_fact(F.col("object"), 6)).select("id")
 
 
 @query(f"select event_id, parent from (select event_id, unnest(cast(json(parent_event_ids) as varchar[])) as parent from {ME} where parent_event_ids is not null)")
 def x11_parents(spark, d):
-    return me(spark, d).select("event_id", F.explode(F.from_json("parent_event_ids", "array<string>")).alias("parent"))
+    return me(spark, d, "parent_event_ids").select("event_id", F.explode(F.from_json("parent_event_ids", "array<string>")).alias("parent"))
 
 
 @query("select event_type, lower(left(hex(encode(event_type)), 8)) as head from events group by event_type")
@@ -257,10 +257,10 @@ def r4_lexical(spark, d):
     asked = "shared calendar of the office server"
     toks = retrieval.query_tokens(asked)
     e = em(spark, d).where("content is not null")
-    return e.select("id", F.round(X.lexical_relevance(toks, X.expanded(X.tokens(F.col("content"))), F.col("content"), asked), 6).alias("relevance")).where("relevance > 0")
+    return e.select("id", F.round(X.lexical_relevance(toks, X.expanded(X.tokens(F.col("content"))), F.col("content"), asked), 6).alias("relevance")).where("relevance > 0").distinct()
 
 
 @query(f"select w1.session_id, w1.id from {WM} w1 where w1.created_at is not null and epoch_us(w1.created_at) >= {REF_US} - {7 * 86_400_000_000} order by w1.created_at desc, w1.id desc limit 20")
 def r28_temporal_voice(spark, d):
-    recent = wm(spark, d).where(F.unix_micros("created_at") >= REF_US - 7 * 86_400_000_000)
+    recent = wm(spark, d, "id", "session_id", "created_at").where(F.unix_micros("created_at") >= REF_US - 7 * 86_400_000_000)
     return relational.newest(recent, "created_at", "id", 20).select("session_id", "id")

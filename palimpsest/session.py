@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "palimpsest", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution and UTC; sizes are left to the cluster unless given."""
+def build_session(app: str = "palimpsest", master: str | None = None, shuffle_partitions: int | None = None, checkpoints: str | None = None) -> SparkSession:
+    """A session with adaptive execution and UTC; sizes are left to the cluster unless given.  ``checkpoints`` names a folder that all executors share."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -24,19 +25,25 @@ def build_session(app: str = "palimpsest", master: str | None = None, shuffle_pa
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     return builder.getOrCreate()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none (tests).
+    On a cluster that names none this is an error: a machine's own folder would be
+    lost with the machine.  Within one local JVM a folder beside the warehouse serves.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="palimpsest-checkpoint-")
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
