@@ -3,7 +3,7 @@
 ``with_candidates`` adds every valid reading of a text as an array of
 ``struct<prior double, fmt string, us long>``.  A reading's ``prior`` says how
 far it departs from what the row's clock declares: 0 for the declared reading,
-``RULED_OUT`` for one that the declaration rejects, ``SOFT`` for one of several
+``RULED_OUT`` for one that the declaration rejects, ``SOFT`` for a second one
 where nothing is declared.  ``with_instant`` keeps only the declared reading.
 
 Rules: an offset, zone or epoch number means what it says; other text is wall
@@ -24,7 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULED_OUT = 1e6
-SOFT = 0.5
+# More than a change of format, less than a jump back: only an order of events that it mends speaks for the second reading.
+SOFT = 1.5
+# Eight digits that form a date would be seconds of the year 1970: more than one jump back has to speak for it.
+SOFT_EPOCH = 3.0
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -193,22 +196,23 @@ def with_candidates(df: DataFrame, text: str, zone: Column, locale: Column, out:
     """Add ``out``, all valid readings of column ``text``.
 
     ``zone`` and ``locale`` are what the row's clock declares.  With ``infer`` a
-    null locale declares nothing, so both orders stay open (``SOFT``); otherwise
-    a null locale is one that is not en-US, i.e. day first.
+    null locale declares nothing: month first, and eight digits as epoch seconds,
+    stay open beside day first and the date, at ``SOFT`` and ``SOFT_EPOCH``.  Otherwise a null locale
+    is one that is not en-US, i.e. day first.
     """
     df, made = _parsed(df.withColumn("__open", locale.isNull() if infer else F.lit(False)), text, zone, locale, True)
     yearlast = F.col("__kind") == "yearlast"
     order = lambda first: F.when(first, "month/day").otherwise("day/month")
     fmt = F.when(yearlast, order(F.col("__month_first"))).when(F.col("__kind") == "epoch", F.concat(F.lit("epoch"), F.col("__width").cast("string"))).otherwise(F.col("__kind"))
     alt = order(~F.col("__month_first"))
-    soft = F.when(F.col("__open") & yearlast & F.col("__us_alt").isNotNull(), SOFT)
+    other = F.when(F.col("__open"), F.lit(SOFT)).otherwise(F.lit(RULED_OUT))
     reading = lambda prior, name, us: F.struct(prior.cast("double").alias("prior"), name.alias("fmt"), us.alias("us"))
     every = F.array(
-        reading(F.coalesce(soft, F.lit(0.0)), fmt, F.col("__us")),
+        reading(F.lit(0.0), fmt, F.col("__us")),
         reading(F.lit(RULED_OUT), fmt, F.col("__us_later")),
-        reading(F.coalesce(soft, F.when(F.col("__open"), 0.0), F.lit(RULED_OUT)), alt, F.col("__us_alt")),
+        reading(other, alt, F.col("__us_alt")),
         reading(F.lit(2 * RULED_OUT), alt, F.col("__us_alt_later")),
-        reading(F.lit(RULED_OUT), F.lit("epoch8"), F.when(F.col("__kind") == "compact", F.col("__epoch"))),
+        reading(F.when(F.col("__open"), F.lit(SOFT_EPOCH)).otherwise(F.lit(RULED_OUT)), F.lit("epoch8"), F.when(F.col("__kind") == "compact", F.col("__epoch"))),
     )
     single = F.coalesce("__us_later", "__us_alt", F.when(F.col("__kind") == "compact", F.col("__epoch"))).isNull() & F.col("__us").isNotNull()
     value = F.when(single, F.array(reading(F.lit(0.0), fmt, F.col("__us")))).otherwise(F.filter(every, lambda x: x["us"].isNotNull()))

@@ -55,24 +55,24 @@ def period_statistics(state: DataFrame) -> DataFrame:
     The median of an even number of values is the mean of the middle two.  A period
     without values has null statistics.
     """
-    valued = state.where("value is not null").withColumn("n_final", F.col("n_first") + F.col("n_late"))
+    known = F.col("value").isNotNull()
+    counted = state.withColumn("n_final", F.col("n_first") + F.col("n_late"))
+    # A null value comes first and adds nothing to the ranks.
     order = W.partitionBy("key", "period_start_us").orderBy("value")
     whole = W.partitionBy("key", "period_start_us")
     aggs: list[Column] = []
     for name in ("first", "final"):
-        n = f"n_{name}"
-        valued = valued.withColumns({f"up_{name}": F.sum(n).over(order), f"all_{name}": F.sum(n).over(whole)})
-        has = F.col(n) > 0
+        n = F.when(known, F.col(f"n_{name}")).otherwise(0)
+        counted = counted.withColumns({f"up_{name}": F.sum(n).over(order), f"all_{name}": F.sum(n).over(whole)})
+        has = known & (F.col(f"n_{name}") > 0)
         # The value at rank r is the first whose cumulative count reaches r.
         at = lambda r, name=name, has=has: F.min(F.when(has & (F.col(f"up_{name}") >= r), F.col("value")))
         low, high = F.expr(f"(all_{name} + 1) div 2"), F.expr(f"all_{name} div 2 + 1")
         aggs += [
-            F.count_if(has).alias(f"n_values_{name}"),
+            F.when(F.count("value") > 0, F.count_if(has)).alias(f"n_values_{name}"),
             F.min(F.when(has, F.col("value"))).alias(f"min_{name}"),
             F.max(F.when(has, F.col("value"))).alias(f"max_{name}"),
             ((at(low) + at(high)) / 2).alias(f"median_{name}"),
         ]
-    stats = valued.groupBy("key", "period_start_us").agg(*aggs)
-    counts = period_counts(state)
-    stats = stats.select(F.col("key").alias("s_key"), F.col("period_start_us").alias("s_period"), *[c for c in stats.columns if c not in ("key", "period_start_us")])
-    return counts.join(stats, counts.key.eqNullSafe(F.col("s_key")) & (counts.period_start_us == F.col("s_period")), "left").drop("s_key", "s_period")
+    sums = [F.sum(n).alias(n) for n in ("n_first", "n_final", "n_dropped")]
+    return counted.groupBy("key", "period_start_us").agg(*sums, *aggs)

@@ -7,15 +7,18 @@ priors that no path can outweigh; where nothing is declared (``infer``) the
 path decides.
 
 The path is split so that no source is one task: a source's order is cut into
-blocks of ``block_us`` of arrival time.  A block is solved for every pair of its
-first and last reading (a handful), a block of a source then is one small row,
-and one pass over those rows fixes the pairs.  Records with one reading leave
-for the result before any Python; beside the undecided ones only their direct
-neighbours and the blocks' ends enter it.
+blocks of arrival time, of a day or as much less as keeps the fullest day's
+blocks at ``BLOCK_ROWS`` on average.  Records that never arrived come first, in
+the order of a hash of their key, cut into as many blocks as they need.  A block
+is solved for every pair of its first and last reading (a handful), a block of a
+source then is one small row, and one pass over those rows fixes the pairs: one
+source has as many of them as its span has blocks, not as it has records.
+Records with one reading leave for the result before any Python; beside the
+undecided ones only their direct neighbours and the blocks' ends enter it.
 
 Nulls, empty texts and texts without a date give no instant and take no part in
-the path.  Records with a null arrival come first, ties are broken by id.
-Repeated ids count once (the copy that arrived first, then the smallest text).
+the path.  Ties are broken by id.  Repeated ids count once (the copy that arrived
+first, then the smallest text).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.instants import CANDIDATES, DAY_US, with_candidates
+from palimpsest.functions.instants import CANDIDATES, DAY_US, RULED_OUT, with_candidates
 from palimpsest.session import durable
 
 SWITCH = 1.0
@@ -35,6 +38,8 @@ BACKWARD = 2.0
 # Readings closer than this are not a jump back: clocks disagree by seconds.
 TOLERANCE_US = 60_000_000
 
+BLOCK_ROWS = 500_000
+
 SOLVED = "source string, block bigint, key string, us array<bigint>, heads array<struct<fmt:string,us:bigint>>, tails array<struct<fmt:string,us:bigint>>, cost array<double>"
 
 
@@ -131,8 +136,8 @@ def _choose_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf.source, "block": pdf.block, "pair": pairs[::-1]})
 
 
-def normalise_timestamps(records: DataFrame, zone: Column, locale: Column, keep: list[str], block_us: int = DAY_US, infer: bool = False) -> DataFrame:
-    """One instant per record: columns key, the ``keep`` ones, us (null: none).
+def normalise_timestamps(records: DataFrame, zone: Column, locale: Column, keep: list[str], block_us: int = DAY_US, infer: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One instant per record: columns key, the ``keep`` ones, us (null: none), by_path (several readings that nothing declared were open).
 
     ``records`` has key (unique), source, text, arrived_us and the ``keep``
     columns.  ``source`` orders the records of one writer; ``arrived_us`` is when a
@@ -144,19 +149,28 @@ def normalise_timestamps(records: DataFrame, zone: Column, locale: Column, keep:
         "key",
         *keep,
         F.coalesce("source", F.lit("")).alias("__source"),
-        F.expr(f"coalesce(arrived_us, 0) div {block_us}").alias("__block"),
         F.col("arrived_us").alias("__arrived"),
         n.alias("__n"),
         F.when(n > 1, F.col("candidates")).alias("__several"),
         F.when(n == 1, F.col("candidates")[0]["fmt"]).alias("__fmt"),
         F.when(n == 1, F.col("candidates")[0]["us"]).alias("__us"),
+        (F.size(F.filter("candidates", lambda x: x["prior"] < RULED_OUT)) > 1).alias("by_path"),
     )
-    # Read three times below; without the cut each of them would parse all texts again.
+    # Read several times below; without the cut each of them would parse all texts again.
     read = durable(read)
+    steps = F.count_if(F.col("__n") > 0)
+    by_day = read.groupBy("__source", F.expr(f"__arrived div {block_us}").alias("day"))
+    fullest = by_day.agg(steps.alias("n")).agg(F.max(F.when(F.col("day").isNotNull(), F.col("n"))).alias("dated"), F.max(F.when(F.col("day").isNull(), F.col("n"))).alias("undated")).first()
+    width = max(1, block_us // -(-max(1, fullest["dated"] or 0) // block_rows))
+    parts = -(-max(1, fullest["undated"] or 0) // block_rows)
+    # Never arrived: by hash, in blocks before all others.
+    hashed = F.pmod(F.xxhash64("key"), F.lit(2**32))
+    read = read.withColumn("__place", F.when(F.col("__arrived").isNull(), hashed).otherwise(F.col("__arrived")))
+    read = read.withColumn("__block", F.when(F.col("__arrived").isNull(), F.expr(f"(__place * {parts}) div {2**32} - {parts} - 1000000000000000")).otherwise(F.expr(f"__place div {width}")))
     # A text without a reading is no step of the path.
-    order = W.partitionBy("__source", "__block").orderBy(F.col("__arrived").asc_nulls_first(), "key")
+    order = W.partitionBy("__source", "__block").orderBy("__place", "key")
     n = F.col("__n")
-    flagged = read.where(n > 0).drop(*keep).withColumns({"__before": F.lag(n).over(order), "__after": F.lead(n).over(order)})
+    flagged = read.where(n > 0).drop(*keep, "by_path").withColumns({"__before": F.lag(n).over(order), "__after": F.lead(n).over(order)})
     end = F.col("__before").isNull() | F.col("__after").isNull()
     one = F.array(F.struct(F.lit(0.0).alias("prior"), F.col("__fmt").alias("fmt"), F.col("__us").alias("us"))).cast(CANDIDATES)
     kept = flagged.where((n > 1) | end | (F.col("__before") > 1) | (F.col("__after") > 1)).select(
@@ -166,5 +180,5 @@ def normalise_timestamps(records: DataFrame, zone: Column, locale: Column, keep:
     solved = durable(kept.mapInPandas(_solve_partition, SOLVED))
     blocks = solved.where(F.col("key").isNull()).groupBy("source").applyInPandas(_choose_pairs, "source string, block bigint, pair int")
     chosen = solved.where(F.col("key").isNotNull()).join(blocks, ["source", "block"]).select("key", F.col("us")[F.col("pair")].alias("us"))
-    single = read.where(n <= 1).select("key", *keep, F.col("__us").alias("us"))
-    return single.unionByName(read.where(n > 1).select("key", *keep).join(chosen, "key"))
+    single = read.where(n <= 1).select("key", *keep, F.col("__us").alias("us"), "by_path")
+    return single.unionByName(read.where(n > 1).select("key", *keep, "by_path").join(chosen, "key"))

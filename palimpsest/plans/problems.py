@@ -35,22 +35,21 @@ def _events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return with_instant(t, "timestamp", F.col("__zone"), F.col("__locale"), "instant_us").drop("__zone", "__locale", "timestamp")
 
 
-def _arrivals(spark: SparkSession, d: str, value: str | None = None) -> DataFrame:
-    """Distinct events: key, event_us, arrived_us, value."""
-    e = _events(spark, d, "synced_at", *([value] if value else []))
-    v = F.min(F.col(value)) if value else F.lit(None).cast("double")
-    e = e.groupBy("event_id", "device_id", "instant_us").agg(F.min(F.unix_micros("synced_at")).alias("arrived_us"), v.alias("value"))
-    return e.select(F.col("device_id").alias("key"), F.col("instant_us").alias("event_us"), "arrived_us", "value")
+def _value_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The value-count state of importance per device and hour, over distinct events."""
+    e = _events(spark, d, "synced_at", "importance")
+    e = e.groupBy("event_id", "device_id", "instant_us").agg(F.min(F.unix_micros("synced_at")).alias("arrived_us"), F.min("importance").alias("value"))
+    return count_state(e.select(F.col("device_id").alias("key"), F.col("instant_us").alias("event_us"), "arrived_us", "value"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = period_counts(count_state(_arrivals(spark, d)))
-    return counts.where("n_final > n_first or n_dropped > 0").withColumnRenamed("key", "device_id")
+    """The counts of the same state that the medians, distinct counts and extremes come from."""
+    return period_counts(_value_counts(spark, d)).where("n_final > n_first or n_dropped > 0").withColumnRenamed("key", "device_id")
 
 
 def p2_corrected_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Of importance per device and hour: distinct values, extremes and median, as published and as corrected."""
-    return period_statistics(count_state(_arrivals(spark, d, "importance"))).withColumnRenamed("key", "device_id")
+    return period_statistics(_value_counts(spark, d)).withColumnRenamed("key", "device_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +61,12 @@ def p5_present_state(spark: SparkSession, d: str) -> DataFrame:
     return present_state(_events(spark, d, "memory_id", "operation", "payload"))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _instants(spark: SparkSession, d: str) -> DataFrame:
+    """record_table, record_id, canonical, us, by_path of every record of the three tables, by the path over all readings.
+
+    Where the clock declares its zone and locale their reading stands; records
+    without a clock, and triples, declare nothing, so all their readings stay open.
+    """
     spark = tuned(spark)
     parts = [
         ("working_memory", "id", "timestamp", "created_at", "channel_id"),
@@ -82,8 +86,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         F.col("v.text").alias("text"), F.col("v.at").alias("arrived_us"), F.col("v.clock").alias("clock"), F.coalesce(F.col("v.text").rlike(CANONICAL), F.lit(False)).alias("canonical"),
     )
     one = with_clock(one, table(spark, d, "clocks"), "clock")
-    done = normalise_timestamps(one, F.col("__zone"), F.col("__locale"), ["record_table", "record_id", "canonical"])
-    return done.where("not canonical and us is not null").select("record_table", "record_id", F.col("us").alias("utc_us"))
+    return normalise_timestamps(one, F.col("__zone"), F.col("__locale"), ["record_table", "record_id", "canonical"], infer=True)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _instants(spark, d).where("not canonical and us is not null").select("record_table", "record_id", F.col("us").alias("utc_us"))
+
+
+def p6_path_share(spark: SparkSession, d: str) -> DataFrame:
+    """Per table the records that state an instant, and those of them whose reading only the path decides."""
+    return _instants(spark, d).where("us is not null").groupBy("record_table").agg(F.count("*").alias("n"), F.count_if("by_path").alias("n_by_path"))
 
 
 def duck_instant(relation: str) -> str:
@@ -187,4 +199,5 @@ QUERIES = {
     "p5_found": (p5_found, _P5),
     "p5_present_state": (p5_present_state, _P5_STATE),
     "p6_found": (p6_found, _P6),
+    "p6_path_share": (p6_path_share, None),
 }
