@@ -2,20 +2,25 @@
 
 Every document gets a rate, 1 tilted exponentially by its tokens, capped at its
 source's repeats: the rates closest to 1 in entropy that meet each source's share
-of tokens.  The convex dual has one multiplier per source; safeguarded Newton
-steps run on sums over (source, tokens) counts, aggregated in Spark.  Rates
-become copies per (source, tokens) group, longest texts first, with the tokens
-still due carried on, so that totals end within a short text of the target; a
-group's documents get equal copies, the rest goes to the first by hashed rank.
+of tokens.  The convex dual has one multiplier per source, and each multiplier's
+constraint holds tokens of its own source only, so safeguarded Newton iterations
+run source by source on the executors, over the counts per (source, tokens).
+Rates become copies per (source, tokens) group, longest texts first, with the
+tokens still due carried on, so that totals end within a short text of the
+target; a group's documents get equal copies, the rest goes to the first by
+hashed rank.
 
 The total is the largest for which every source can reach its share within its
-repeats, but no more than all tokens.  Documents of a null or unlisted source,
+repeats, but no more than all tokens.  With ``nearest`` the total is all tokens
+instead: a source whose repeats do not suffice gives all it can, and the others
+fill up in proportion to their shares.  Documents of a null or unlisted source,
 and those without tokens, are not used.  A listed source without tokens cannot
 reach any share: it is left out and the other shares are scaled to one.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,79 +29,92 @@ from pyspark.sql import functions as F
 from palimpsest.llm.tokens import with_rank
 from palimpsest.session import durable
 
-STEPS = 40
-TOLERANCE = 1e-7
+STEPS = 60
+TOLERANCE = 1e-9
 MAX_SOURCES = 10_000
 
 
-def solve_tilts(groups: DataFrame, wanted: dict[str, tuple[float, int]], scale: float) -> dict[str, float]:
-    """Multiplier per source for wanted (tokens, repeats); ``groups`` has source, tokens, n."""
-    low, high = dict.fromkeys(wanted, -60.0), dict.fromkeys(wanted, 60.0)
-    tilt = dict.fromkeys(wanted, 0.0)
-    open_sources = set(wanted)
+def solve_tilt(tokens: np.ndarray, n: np.ndarray, target: float, cap: float, scale: float) -> float:
+    """The multiplier for which the tilted, capped rates of one source add up to ``target`` tokens; Newton steps within a bracket."""
+    mass, x = n * tokens, tokens / scale
+    low, high, tilt = -60.0, 60.0, 0.0
     for _ in range(STEPS):
-        if not open_sources:
+        raw = np.exp(np.minimum(tilt * x, 50.0))
+        gap = float((mass * np.minimum(raw, cap)).sum()) - target
+        if abs(gap) <= TOLERANCE * target:
             break
-        lam, cap = _choose({s: tilt[s] for s in wanted}), _choose({s: float(r) for s, (_, r) in wanted.items()})
-        raw = F.exp(F.least(lam * F.col("tokens") / scale, F.lit(50.0)))
-        mass = F.col("n") * F.col("tokens")
-        sums = groups.groupBy("source").agg(F.sum(mass * F.least(raw, cap)).alias("f"), F.sum(F.when(raw < cap, mass * raw * F.col("tokens") / scale).otherwise(0.0)).alias("g"))
-        for r in sums.collect():
-            s, (target, _) = r["source"], wanted[r["source"]]
-            if s not in open_sources:
-                continue
-            gap = r["f"] - target
-            if abs(gap) <= TOLERANCE * target:
-                open_sources.discard(s)
-                continue
-            low[s], high[s] = (low[s], tilt[s]) if gap > 0 else (tilt[s], high[s])
-            new = tilt[s] - gap / r["g"] if r["g"] > 0 else low[s]
-            tilt[s] = new if low[s] < new < high[s] else (low[s] + high[s]) / 2
+        low, high = (low, tilt) if gap > 0 else (tilt, high)
+        slope = float((mass * raw * x)[raw < cap].sum())
+        new = tilt - gap / slope if slope > 0 else low
+        tilt = new if low < new < high else (low + high) / 2
     return tilt
 
 
-def _choose(values: dict[str, float]):
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), F.col("source"))
-
-
-def round_rates(pdf: pd.DataFrame) -> pd.DataFrame:
+def copies_of(tokens: np.ndarray, n: np.ndarray, rate: np.ndarray, cap: float) -> list[int]:
     """Whole copies per group of one source, longest first, with the tokens still due carried to the shorter ones."""
-    pdf = pdf.sort_values("tokens", ascending=False)
-    copies, due = [], 0.0
-    for tokens, n, rate, cap in zip(pdf.tokens, pdf.n, pdf.rate, pdf.cap):
-        due += float(tokens) * n * rate
-        k = int(min(max(round(due / tokens), 0), n * cap))
-        copies.append(k)
-        due -= float(tokens) * k
-    return pd.DataFrame({"source": pdf.source, "tokens": pdf.tokens, "n": pdf.n, "copies": copies})
-
-
-def mix(items: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uses: key, source, tokens, uses; report: source, target_share, actual_share, documents, uses, tokens, max_repeats).
-
-    ``items`` has key, source, tokens; ``targets`` has source, target_share, max_repeats (a small table, at most ``MAX_SOURCES``).
+    out, due = [0] * len(tokens), 0.0
+    for i in np.argsort(-tokens, kind="stable"):
+        due += float(tokens[i]) * n[i] * rate[i]
+        out[i] = int(min(max(round(due / tokens[i]), 0), n[i] * cap))
+        due -= float(tokens[i]) * out[i]
+    return out
+
+
+def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
+    target, cap, scale = (float(pdf[c].iloc[0]) for c in ("target", "cap", "scale"))
+    tokens, n = pdf.tokens.to_numpy(float), pdf.n.to_numpy(float)
+    rate = np.minimum(np.exp(np.minimum(solve_tilt(tokens, n, target, cap, scale) * tokens / scale, 50.0)), cap)
+    return pd.DataFrame({"source": pdf.source, "tokens": pdf.tokens, "n": pdf.n, "copies": copies_of(tokens, n, rate, cap)})
+
+
+def fill_up(total: float, most: dict[str, float], shares: dict[str, float]) -> dict[str, float]:
+    """Tokens per source: in proportion to the shares, where a source's most is reached the others take the rest."""
+    out: dict[str, float] = {}
+    left = dict(shares)
+    while left:
+        rest = total - sum(out.values())
+        weight = sum(left.values())
+        full = {s for s, w in left.items() if rest * w / weight >= most[s]}
+        if not full:
+            return out | {s: rest * w / weight for s, w in left.items()}
+        out |= {s: most[s] for s in full}
+        left = {s: w for s, w in left.items() if s not in full}
+    return out
+
+
+def mix(items: DataFrame, targets: DataFrame, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(uses: key, source, tokens, uses; report: source, target_share, actual_share, documents, uses, tokens, most, max_repeats).
+
+    ``items`` has key, source, tokens; ``targets`` has source, target_share,
+    max_repeats.  More than ``MAX_SOURCES`` targets, or two for one source, are an error.
     """
-    rows = targets.where("source is not null").limit(MAX_SOURCES).collect()
-    items = durable(items.where("tokens > 0 and source is not null").join(F.broadcast(targets.select("source").distinct().limit(MAX_SOURCES)), "source", "left_semi"))
+    spark = items.sparkSession
+    rows = targets.where("source is not null").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES or len({r["source"] for r in rows}) < len(rows):
+        raise ValueError(f"at most {MAX_SOURCES} targets, and one for each source")
+    listed = spark.createDataFrame([(r["source"],) for r in rows], "source string")
+    items = durable(items.where("tokens > 0 and source is not null").join(F.broadcast(listed), "source", "left_semi"))
     groups = durable(items.groupBy("source", "tokens").agg(F.count("*").alias("n")))
-    have = {r["source"]: r["t"] for r in groups.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t")).collect()}
-    shares = {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows if have.get(r["source"]) and r["target_share"] > 0 and r["max_repeats"] > 0}
-    whole = sum(s for s, _ in shares.values())
-    shares = {s: (w / whole, m) for s, (w, m) in shares.items()}
+    sums = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t"), F.sum("n").alias("n"), F.max("n").alias("largest")).collect()
+    have = {r["source"]: r["t"] for r in sums}
+    given = {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows if have.get(r["source"]) and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
+    whole = sum(w for w, _ in given.values())
+    shares = {s: w / whole for s, (w, _) in given.items()}
     if not shares:
         empty = items.limit(0).select("key", "source", "tokens", F.lit(0).cast("long").alias("uses"))
         return empty, _report(empty, targets)
-    total = min(sum(have.values()), *(m * have[s] / w for s, (w, m) in shares.items()))
-    scale = sum(have.values()) / groups.agg(F.sum("n")).first()[0]
-    wanted = {s: (w * total, m) for s, (w, m) in shares.items()}
-    tilt = solve_tilts(groups.where(F.col("source").isin(list(shares))), wanted, scale)
-    rate = F.least(F.exp(F.least(_choose(tilt) * F.col("tokens") / scale, F.lit(50.0))), _choose({s: float(m) for s, (_, m) in shares.items()}))
-    planned = groups.where(F.col("source").isin(list(shares))).withColumn("rate", rate).withColumn("cap", _choose({s: float(m) for s, (_, m) in shares.items()}))
+    most = {s: float(m * have[s]) for s, (_, m) in given.items()}
+    if nearest:
+        wanted = fill_up(float(sum(have[s] for s in shares)), most, shares)
+    else:
+        total = min(sum(have.values()), *(most[s] / w for s, w in shares.items()))
+        wanted = {s: w * total for s, w in shares.items()}
+    scale = sum(have.values()) / sum(r["n"] for r in sums)
+    asked = spark.createDataFrame([(s, float(t), float(given[s][1]), float(scale)) for s, t in wanted.items()], "source string, target double, cap double, scale double")
     # One row per source and length, so a source is as long as its longest text at most, however many documents it has.
-    planned = planned.groupBy("source").applyInPandas(round_rates, "source string, tokens bigint, n bigint, copies bigint")
-    ranked = with_rank(items, ["source", "tokens"], F.xxhash64("key"))
-    uses = ranked.join(planned, ["source", "tokens"]).withColumn("uses", F.expr("copies div n + int(rank < copies % n)")).where("uses > 0")
+    planned = groups.join(F.broadcast(asked), "source").groupBy("source").applyInPandas(_plan_source, "source string, tokens bigint, n bigint, copies bigint")
+    ranked = with_rank(items, ["source", "tokens"], F.xxhash64("key"), largest=max(r["largest"] for r in sums))
+    uses = ranked.join(planned.where("copies > 0"), ["source", "tokens"]).withColumn("uses", F.expr("copies div n + int(rank < copies % n)")).where("uses > 0")
     uses = durable(uses.select("key", "source", "tokens", "uses"))
     return uses, _report(uses, targets)
 

@@ -9,8 +9,9 @@
    at a time.
 
 All of it works on the histogram, which has at most ``capacity`` rows however
-many items there are; the plan is ranges of ranks per length, and items take
-their place by rank.  Null texts and texts without tokens need no container.
+many items there are.  The plan is one row per length with its ranges of ranks in
+order; an item meets that one row and finds its range by binary search.  Null
+texts and texts without tokens need no container.
 """
 
 from __future__ import annotations
@@ -139,10 +140,21 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     histograms: dict[int, dict[int, int]] = {s: {} for s, _ in capacities}
     for r in counted:
         histograms[r["spec_id"]][r["tokens"]] = r["count"]
-    rows = [(s, *x) for s, c in capacities for x in plan_containers(histograms[s], c)[0]]
-    schema = "spec_id int, tokens bigint, lo bigint, hi bigint, base bigint, per bigint"
-    plan = spark.createDataFrame([tuple(map(int, r)) for r in rows], schema)
-    ranked = with_rank(pieces, ["spec_id", "tokens"], F.struct("key", "piece"))
+    rows = [row for s, c in capacities for row in _by_length(s, plan_containers(histograms[s], c)[0])]
+    plan = spark.createDataFrame(rows, "spec_id int, tokens bigint, lo array<bigint>, base array<bigint>, per array<bigint>")
+    ranked = with_rank(pieces, ["spec_id", "tokens"], F.struct("key", "piece"), largest=max((r["count"] for r in counted), default=0))
     # The plan is made of fills over at most sum(capacities) lengths: bounded, whatever the number of items.
-    placed = ranked.join(F.broadcast(plan), ["spec_id", "tokens"]).where("rank >= lo and rank < hi")
-    return placed.select("spec_id", "key", "piece", "tokens", F.expr("base + (rank - lo) div per").alias("container"))
+    placed = ranked.join(F.broadcast(plan), ["spec_id", "tokens"])
+    longest = max((len(r[2]) for r in rows), default=1)
+    # The last range that starts at or before the rank: steps of falling powers of two.
+    jumps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, (longest - 1).bit_length())))])
+    placed = placed.withColumn("at", F.aggregate(jumps, F.lit(0), lambda at, j: F.when(F.get("lo", at + j) <= F.col("rank"), at + j).otherwise(at)))
+    return placed.select("spec_id", "key", "piece", "tokens", F.expr("get(base, at) + (rank - get(lo, at)) div get(per, at)").alias("container"))
+
+
+def _by_length(spec: int, plan: list[tuple[int, int, int, int, int]]) -> list[tuple]:
+    """One row per length: its ranges' first ranks, first containers and items per container, in order of rank."""
+    by: dict[int, list] = defaultdict(list)
+    for length, lo, _, base, per in plan:
+        by[length].append((int(lo), int(base), int(per)))
+    return [(int(spec), int(length), *map(list, zip(*sorted(ranges)))) for length, ranges in by.items()]

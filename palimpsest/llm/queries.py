@@ -54,8 +54,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(items, specs).withColumnRenamed("key", "doc_id")
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mix(token_counts(_table(spark, d, "documents"), "doc_id", "text", ["source"]), _table(spark, d, "source_targets"))
+def p7_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must hold, per capacity: all documents with tokens, no container over its capacity, no piece twice, none split without need, no container number left out, little space left over."""
+    placed = p7_containers(spark, d).join(F.broadcast(_table(spark, d, "pack_specs").select("spec_id", "capacity_tokens")), "spec_id")
+    by_doc = placed.groupBy("spec_id", "capacity_tokens", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.count_distinct("piece").alias("k"))
+    docs = by_doc.groupBy("spec_id").agg(F.count("*").alias("n_documents"), F.count_if(F.expr("n != k")).alias("n_repeated"), F.count_if(F.expr("n > (t + capacity_tokens - 1) div capacity_tokens")).alias("n_split_needlessly"))
+    held = placed.groupBy("spec_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("t"))
+    fill = held.groupBy("spec_id").agg(F.count_if(F.expr("t > capacity_tokens")).alias("n_overfull"), (F.max("container") + 1 - F.count("*")).alias("n_left_out"), (F.sum("t") >= 0.95 * F.sum("capacity_tokens")).alias("well_filled"))
+    return docs.join(fill, "spec_id")
+
+
+def _mixed(spark: SparkSession, d: str, nearest: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mix(token_counts(_table(spark, d, "documents"), "doc_id", "text", ["source"]), _table(spark, d, "source_targets"), nearest)
 
 
 def p8_uses(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +78,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What every mix must hold, per source: no use beyond the repeats, and the share met."""
+    s = _mixed(spark, d)[1]
+    return s.select("source", "target_share", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005).alias("share_met"))
+
+
+def p8_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The second reading: as many tokens as there are, with the nearest shares that the repeats allow."""
+    return _mixed(spark, d, nearest=True)[1]
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Every document's statistics, outlierness with its contributions, and class."""
     return classify(*[_table(spark, d, n) for n in ("documents", "quality_samples", "common_words")])
@@ -113,8 +134,11 @@ QUERIES = {
     "p4_found": (p4_found, None),
     "p4_masked": (p4_masked, None),
     "p7_containers": (p7_containers, None),
+    "p7_properties": (p7_properties, "select spec_id, count(*)::bigint as n_documents, 0::bigint as n_repeated, 0::bigint as n_split_needlessly, 0::bigint as n_overfull, 0::bigint as n_left_out, true as well_filled from pack_specs, documents where length(text) > 0 group by spec_id"),
     "p8_uses": (p8_uses, None),
     "p8_shares": (p8_shares, None),
+    "p8_properties": (p8_properties, "select source, target_share, true as within_repeats, true as share_met from source_targets"),
+    "p8_shares_of_all": (p8_shares_of_all, None),
     "p9_found": (p9_found, None),
     "p9_statistics": (p9_statistics, None),
 }

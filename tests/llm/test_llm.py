@@ -75,6 +75,46 @@ def _rank_ok(rows, groups):
 def test_rank_is_a_numbering(spark):
     df = spark.range(2000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k")).unionByName(spark.range(500).select(F.lit(0).alias("g"), F.lit(7).alias("k")))
     assert _rank_ok(tokens.with_rank(df, ["g"], F.col("k")).collect(), ["g"])
+    assert _rank_ok(tokens.with_rank(df, ["g"], F.col("k"), per_bucket=100).collect(), ["g"])
+
+
+def test_tokens_of_awkward_texts(spark):
+    texts = [None, "", "a <|endoftext|> b", " " * 20_000, "x" * 100_000, "Ünï çödé\n\n" * 50, "don't stop 12345"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("tokens", F.lit("clash"))
+    quick = {r.key: r.tokens for r in tokens.token_counts(df, "i", "t").collect()}
+    assert quick == {r.key: r.tokens for r in tokens.token_counts(df, "i", "t", path="/opt/tokenizers/byte_bpe_50k.json").collect()}
+    assert quick[0] == quick[1] == 0 and quick[3] > 0
+
+
+def test_placement_meets_one_row(spark):
+    """Join rows an item stay one, however many ranges the plan has for its length."""
+    rng = np.random.default_rng(3)
+    histogram = dict(zip(*np.unique(rng.lognormal(4.5, 1.2, 200_000).astype(int).clip(1, 512), return_counts=True)))
+    rows = packing._by_length(1, packing.plan_containers(histogram, 512)[0])
+    assert len(rows) == len(histogram) and max(len(r[2]) for r in rows) > 8
+    for _, length, lo, _, _ in rows:
+        assert lo == sorted(set(lo)) and lo[0] == 0
+
+
+def test_mixing_refuses_too_many_targets(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a", 5)], "key long, source string, tokens long")
+    twice = spark.createDataFrame([("a", 0.5, 1), ("a", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.mix(items, twice)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mix(items, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], twice.schema))
+
+
+def test_mixing_of_all_tokens(spark):
+    items = spark.createDataFrame([(i, "big" if i % 10 else "small", 10 + i % 7) for i in range(1000)], "key long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r for r in mixing.mix(items, targets, nearest=True)[1].collect()}
+    have = items.groupBy("source").agg(F.sum("tokens").alias("t")).collect()
+    have = {r.source: r.t for r in have}
+    # The small source gives all it can, the big one the rest.
+    assert shares["small"].tokens == 3 * have["small"]
+    assert shares["big"].tokens + shares["small"].tokens == pytest.approx(sum(have.values()), abs=20)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
