@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from palimpsest.session import durable, tuned
 
 MAX_SAMPLES = 20_000
+MAX_WORDS = 20_000
 CLASSES = ["prose", "list", "table", "junk"]
 STATISTICS = [
     "word_count", "word_length", "symbol_ratio", "digit_ratio", "line_end_share", "common_share", "line_words", "marker_share", "cell_share", "cell_regular", "gap_share",
@@ -49,72 +50,77 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def _without(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, "")
+
+
 def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "text", lang: str = "lang") -> DataFrame:
-    """Add ``s_`` columns for STATISTICS and ``language``.  ``words`` are the common words by language (a small fixed table)."""
+    """Add ``s_`` columns for STATISTICS and ``language``.  ``words`` are the common words by language (a small fixed table).
+
+    Characters of a class are counted by the length that is left without them, so a
+    pattern is met once a run and not once a character; words are split once, and
+    counts over words and lines are taken from those arrays.
+    """
     names = sorted(words)
-    common = {n: r"(?iU)\b(?:" + "|".join(sorted(map(_quote, words[n]), key=len, reverse=True)) + r")\b" for n in names}
     t = F.col(text)
     df = docs.where(F.regexp_like(t, F.lit(r"\S")))
     df = df.withColumns(
         {
-            "__words": F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")),
-            "__alnum": F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")),
-            "__digits": F.regexp_count(t, F.lit(r"\p{N}")),
-            "__visible": F.regexp_count(t, F.lit(r"\S")),
+            "__low": F.lower(t),
+            "__alnum": _without(t, r"[^\p{L}\p{N}]+"),
+            "__visible": F.length(_without(t, r"\s+")),
             "__lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0),
             "__code": short_lang(F.col(lang)),
-            "__letters": F.regexp_count(t, F.lit(r"\p{L}")),
-            "__tokens": F.split(F.lower(F.trim(t)), r"\s+"),
         }
     )
-    lines, n_lines = F.col("__lines"), F.size("__lines")
-    of_lines = lambda test: _share(F.size(F.filter(lines, test)), n_lines)
-    known = F.when(F.col("__code").isin(names), F.col("__code"))
-    # The words of every language are only counted where the text does not say its own.
-    df = df.withColumn("__common", F.when(known.isNull(), F.array(*[F.regexp_count(t, F.lit(common[n])) for n in names])))
-    most = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("__common", F.array_max("__common")).cast("int"))
     df = df.withColumns(
         {
-            "language": F.coalesce(known, most),
-            "__cells": F.transform(lines, lambda x: F.regexp_count(F.trim(x), F.lit(_CELLS))),
-            "__lengths": F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[\p{L}\p{N}]+"))),
-            "__distinct": F.size(F.array_distinct("__tokens")),
-            "__n_tokens": F.size("__tokens"),
+            "__letters": _without(F.col("__alnum"), r"\p{N}+"),
+            "__list": F.filter(F.split("__low", r"[^\p{L}\p{N}]+"), lambda x: x != ""),
+            "__tokens": F.split(F.trim("__low"), r"\s+"),
+            "__cells": F.transform("__lines", lambda x: F.regexp_count(F.trim(x), F.lit(_CELLS))),
         }
     )
+    lines, n_lines = F.col("__lines"), F.size("__lines")
+    of_lines = lambda test: _share(F.size(F.filter(lines, test)), n_lines)
+    known = F.when(F.col("__code").isin(names), F.col("__code"))
+    held = lambda n: F.size(F.filter("__list", lambda x: x.isin([w.lower() for w in words[n]])))
+    # The words of every language are only counted where the text does not say its own.
+    df = df.withColumn("__common", F.when(known.isNull(), F.array(*[held(n) for n in names]).cast("array<int>")))
+    most = F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.array_position("__common", F.array_max("__common")).cast("int") - 1)
     own = F.array_max("__common")
     for n in names:
-        own = F.when(known == n, F.regexp_count(t, F.lit(common[n]))).otherwise(own)
+        own = F.when(known == n, held(n)).otherwise(own)
+    n_letters, n_alnum = F.length("__letters"), F.length("__alnum")
     celled = F.filter("__cells", lambda c: c >= 1)
-    w = F.col("__words")
+    w = F.size("__list")
+    vowels = "aeiouyäöüáéíóúàèùâêîôûœ"
     df = df.withColumns(
         {
+            "language": F.coalesce(known, most, F.lit("")),
             "s_word_count": F.log1p(w.cast("double")),
-            "s_word_length": F.least(_share(F.col("__alnum"), w), F.lit(30.0)),
-            "s_symbol_ratio": 1 - _share(F.col("__alnum"), F.col("__visible")),
-            "s_digit_ratio": _share(F.col("__digits"), F.col("__visible")),
+            "s_word_length": F.least(_share(n_alnum, w), F.lit(30.0)),
+            "s_symbol_ratio": 1 - _share(n_alnum, F.col("__visible")),
+            "s_digit_ratio": _share(n_alnum - n_letters, F.col("__visible")),
             "s_line_end_share": of_lines(lambda x: x.rlike(_END)),
             "s_common_share": _share(own, w),
             "s_line_words": F.log1p(_share(w, n_lines)),
             "s_marker_share": of_lines(lambda x: x.rlike(_MARKER)),
             "s_cell_share": _share(F.size(celled), n_lines),
             "s_cell_regular": F.when(F.size(celled) >= 2, _share(F.size(F.filter(celled, lambda c: c == F.array_max(celled))), n_lines)).otherwise(0.0),
-            "s_gap_share": of_lines(lambda x: F.trim(x).rlike(r"\S(?: {2,}|\t|\|)\S?|</t[dh]>")),
-            "s_sentence_rate": F.least(_share(F.regexp_count(t, F.lit(r"\p{L}[.!?…][\"'”»)]*(?:\s|$)")) * 12, w), F.lit(3.0)),
-            "s_vowel_share": _share(F.regexp_count(F.lower(t), F.lit(r"[aeiouyäöüáéíóúàèùâêîôûœ]")), F.col("__letters")),
+            "s_gap_share": of_lines(lambda x: F.trim(x).rlike(r"(?<=\S)(?: {2,}|\t|\|)|</t[dh]>")),
+            "s_sentence_rate": F.least(_share(F.regexp_count(t, F.lit(r"(?<=\p{L})[.!?…][\"'”»)]*(?:\s|$)")) * 12, w), F.lit(3.0)),
+            "s_vowel_share": _share(n_letters - F.length(F.translate(F.lower("__letters"), vowels, "")), n_letters),
             "s_longest_token": F.log1p(F.array_max(F.transform("__tokens", lambda x: F.length(x))).cast("double")),
-            "s_repeat_share": 1 - _share(F.col("__distinct"), F.col("__n_tokens")),
+            "s_repeat_share": 1 - _share(F.size(F.array_distinct("__tokens")), F.size("__tokens")),
             "s_odd_letters": _share(F.regexp_count(t, F.lit(r"[\x{FFFD}ÃÂâï½¿€™œ‰©°]")), F.col("__visible")),
-            "s_upper_share": _share(F.regexp_count(t, F.lit(r"\p{Lu}")), F.col("__letters")),
-            "s_short_line_share": _share(F.size(F.filter("__lengths", lambda n: n <= 4)), n_lines),
-            "s_separator_rate": F.least(_share(F.regexp_count(t, F.lit(r"[;,]")) * 5, w), F.lit(5.0)),
+            "s_upper_share": _share(n_letters - F.length(_without(F.col("__letters"), r"\p{Lu}+")), n_letters),
+            # A fifth word ends the search.
+            "s_short_line_share": of_lines(lambda x: ~x.rlike(r"^[^\p{L}\p{N}]*(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){4}[\p{L}\p{N}]")),
+            "s_separator_rate": F.least(_share((F.length(t) * 2 - F.length(F.replace(t, F.lit(","), F.lit(""))) - F.length(F.replace(t, F.lit(";"), F.lit("")))) * 5, w), F.lit(5.0)),
         }
     )
-    return df.drop("__words", "__alnum", "__digits", "__visible", "__lines", "__code", "__common", "__letters", "__tokens", "__cells", "__lengths", "__distinct", "__n_tokens")
-
-
-def _quote(word: str) -> str:
-    return "".join("\\" + c if not c.isalnum() else c for c in word)
+    return df.drop("__low", "__alnum", "__visible", "__lines", "__code", "__common", "__letters", "__list", "__tokens", "__cells")
 
 
 Model = dict[str, tuple[np.ndarray, np.ndarray]]
@@ -184,15 +190,15 @@ def chi2_limit(k: int) -> float:
     return k * (1 - 2 / (9 * k) + CHI2_Z * (2 / (9 * k)) ** 0.5) ** 3
 
 
-def fit_prose(stats: DataFrame, labelled_prose: DataFrame) -> Model:
+def fit_prose(stats: DataFrame, labelled_prose: DataFrame, languages: set[str]) -> Model:
     """Concentration steps over all documents, started from labelled prose."""
-    start = _moments(labelled_prose)
+    start = _moments(labelled_prose) or _moments(stats)
+    if not start:
+        return {}
     n_all = sum(n for n, _, _ in start.values())
     pooled = sum(n * c for n, _, c in start.values()) / n_all
     overall = sum(n * m for n, m, _ in start.values()) / n_all
-    # A language code has two letters, so there are few.
-    languages = {r[0] for r in stats.select("language").distinct().limit(1000).collect()} | set(start)
-    moments: Moments = {lang: start.get(lang, (0.0, overall, pooled)) for lang in languages}
+    moments: Moments = {lang: start.get(lang, (0.0, overall, pooled)) for lang in languages | set(start)}
     # The few labelled rows spread less than prose at large: start wide.
     widen = 4.0
     for _ in range(CONCENTRATION_STEPS):
@@ -248,13 +254,18 @@ def classify(docs: DataFrame, samples: DataFrame, common_words: DataFrame, key:
     """key, language, the statistics, outlierness (squared distance), contributions (they add up to it) and text_class."""
     tuned(docs.sparkSession)
     words: dict[str, list[str]] = {}
-    for r in common_words.where("lang is not null and word is not null").limit(MAX_SAMPLES).collect():
+    common = common_words.where("lang is not null and word is not null").limit(MAX_WORDS + 1).collect()
+    if len(common) > MAX_WORDS:
+        raise ValueError(f"at most {MAX_WORDS} common words")
+    for r in common:
         words.setdefault(r["lang"].strip().lower()[:2], []).append(r["word"])
     stats = durable(with_statistics(docs.select(F.col(key).alias("__key"), "text", "lang"), words).drop("text", "lang"))
     labelled = durable(with_statistics(samples.where(F.col("text_class").isin(CLASSES)).limit(MAX_SAMPLES), words).drop("text", "lang"))
-    model = fit_prose(stats, labelled.where("text_class = 'prose'"))
-    known = labelled.where(F.col("language").isin(list(model))).toPandas()
-    weights = fit_classes(deviations(known, model), list(known.text_class))
+    # A text's language is one of the common words' or, where they name none, empty.
+    model = fit_prose(stats, labelled.where("text_class = 'prose'"), set(words) | {""})
+    known = labelled.toPandas()
+    # Without any text there is nothing to score, without labels all is prose.
+    weights = fit_classes(deviations(known, model), list(known.text_class)) if model and len(known) else np.eye(2 * len(STATISTICS) + 2, len(CLASSES))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
