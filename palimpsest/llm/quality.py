@@ -66,18 +66,17 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
     df = docs.where(F.regexp_like(t, F.lit(r"\S")))
     df = df.withColumns(
         {
-            "__low": F.lower(t),
-            "__alnum": _without(t, r"[^\p{L}\p{N}]+"),
-            "__visible": F.length(_without(t, r"\s+")),
+            "__list": F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), ""),
+            "__tokens": F.split(F.trim(F.lower(t)), r"\s+"),
             "__lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0),
             "__code": short_lang(F.col(lang)),
         }
     )
     df = df.withColumns(
         {
-            "__letters": _without(F.col("__alnum"), r"\p{N}+"),
-            "__list": F.filter(F.split("__low", r"[^\p{L}\p{N}]+"), lambda x: x != ""),
-            "__tokens": F.split(F.trim("__low"), r"\s+"),
+            # Words and tokens joined again are the text without what stood between them.
+            "__alnum": F.array_join("__list", ""),
+            "__visible": F.length(F.array_join("__tokens", "")),
             "__cells": F.transform("__lines", lambda x: F.regexp_count(F.trim(x), F.lit(_CELLS))),
         }
     )
@@ -86,6 +85,7 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
     known = F.when(F.col("__code").isin(names), F.col("__code"))
     held = lambda n: F.size(F.filter("__list", lambda x: x.isin([w.lower() for w in words[n]])))
     # The words of every language are only counted where the text does not say its own.
+    df = df.withColumn("__letters", _without(F.col("__alnum"), r"\p{N}+"))
     df = df.withColumn("__common", F.when(known.isNull(), F.array(*[held(n) for n in names]).cast("array<int>")))
     most = F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.array_position("__common", F.array_max("__common")).cast("int") - 1)
     own = F.array_max("__common")
@@ -110,17 +110,17 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
             "s_cell_regular": F.when(F.size(celled) >= 2, _share(F.size(F.filter(celled, lambda c: c == F.array_max(celled))), n_lines)).otherwise(0.0),
             "s_gap_share": of_lines(lambda x: F.trim(x).rlike(r"(?<=\S)(?: {2,}|\t|\|)|</t[dh]>")),
             "s_sentence_rate": F.least(_share(F.regexp_count(t, F.lit(r"(?<=\p{L})[.!?…][\"'”»)]*(?:\s|$)")) * 12, w), F.lit(3.0)),
-            "s_vowel_share": _share(n_letters - F.length(F.translate(F.lower("__letters"), vowels, "")), n_letters),
+            "s_vowel_share": _share(n_letters - F.length(F.translate("__letters", vowels, "")), n_letters),
             "s_longest_token": F.log1p(F.array_max(F.transform("__tokens", lambda x: F.length(x))).cast("double")),
             "s_repeat_share": 1 - _share(F.size(F.array_distinct("__tokens")), F.size("__tokens")),
             "s_odd_letters": _share(F.regexp_count(t, F.lit(r"[\x{FFFD}ÃÂâï½¿€™œ‰©°]")), F.col("__visible")),
-            "s_upper_share": _share(n_letters - F.length(_without(F.col("__letters"), r"\p{Lu}+")), n_letters),
+            "s_upper_share": _share(F.length(_without(t, r"[^\p{Lu}]+")), n_letters),
             # A fifth word ends the search.
             "s_short_line_share": of_lines(lambda x: ~x.rlike(r"^[^\p{L}\p{N}]*(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){4}[\p{L}\p{N}]")),
             "s_separator_rate": F.least(_share((F.length(t) * 2 - F.length(F.replace(t, F.lit(","), F.lit(""))) - F.length(F.replace(t, F.lit(";"), F.lit("")))) * 5, w), F.lit(5.0)),
         }
     )
-    return df.drop("__low", "__alnum", "__visible", "__lines", "__code", "__common", "__letters", "__list", "__tokens", "__cells")
+    return df.drop("__alnum", "__visible", "__lines", "__code", "__common", "__letters", "__list", "__tokens", "__cells")
 
 
 Model = dict[str, tuple[np.ndarray, np.ndarray]]
