@@ -155,6 +155,26 @@ SEPARATORS = [
 ]
 
 
+# How types rank, which are consolidated, how fast they fade.
+PRIORITY = {"instruction": 10, "commitment": 9, "error": 8, "goal": 7, "decision": 6, "preference": 5, "fact": 4, "relationship": 4, "learning": 3, "observation": 3, "event": 2, "context": 2, "artifact": 1, "unknown": 0}
+CONSOLIDATED = ["fact", "preference", "decision", "goal", "learning", "observation", "relationship", "instruction"]
+DECAY = {
+    "context": 0.9, "event": 0.7, "observation": 0.5, "learning": 0.3, "preference": 0.2, "fact": 0.1, "relationship": 0.1, "instruction": 0.05, "error": 0.05, "decision": 0.3, "commitment": 0.5, "goal": 0.4, "artifact": 0.1, "unknown": 0.5,
+}
+
+
+def _looked_up(table: dict, key: Column, default) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(default))
+
+
+def priority(kind: Column) -> Column:
+    return _looked_up(PRIORITY, kind, 0)
+
+
+def decay_rate(kind: Column) -> Column:
+    return _looked_up(DECAY, kind, 0.3)
+
+
 def memory_type(content: Column) -> Column:
     """struct(type, confidence): each rule that matches scores its confidence times 1 + 0.1 * the type's position; the best wins, of equals the first.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.instants import DAY_US
+from palimpsest.functions.language import key_sentences
 
 
 def sleep_groups(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -26,6 +27,17 @@ def degraded_tier(tier: Column, created_us: Column, ref_us: int) -> Column:
     return F.when((t == 1) & (age > 30 * DAY_US), 2).when((t == 2) & (age > 180 * DAY_US), 3).otherwise(t)
 
 
+def degrade(rows: DataFrame, ref_us: int, first: int = 100, second: int = 50, size: int = 800) -> DataFrame:
+    """id, tier and content of the rows that move down a tier: the oldest ``first`` of tier 1 and ``second`` of tier 2 that are due.
+
+    Tier 2 keeps ``size`` characters, tier 3 the key sentences.
+    """
+    due = rows.withColumn("to", degraded_tier(F.col("tier"), F.unix_micros("created_at"), ref_us)).where(F.col("to") > F.coalesce("tier", F.lit(1)))
+    oldest = lambda to, n: due.where(F.col("to") == to).orderBy("created_at", "id").limit(n)
+    shorter = F.when(F.col("to") == 2, F.substring("content", 1, size)).otherwise(key_sentences(F.col("content")))
+    return oldest(2, first).unionByName(oldest(3, second)).select("id", F.col("to").alias("tier"), shorter.alias("content"))
+
+
 def trimmed(rows: DataFrame, session: str, at: str, keep: int, ref_us: int, ttl_us: int) -> DataFrame:
     """Ids to trim: beyond the newest ``keep`` of their session, or older than the time to live."""
     n = F.row_number().over(W.partitionBy(session).orderBy(F.desc(at), F.desc("id")))
