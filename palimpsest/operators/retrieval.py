@@ -20,7 +20,7 @@ from palimpsest.session import durable
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-MAX_QUERIES = 100_000
+MAX_QUERY_BYTES = 64_000_000
 
 
 def query_tokens(query: str) -> list[str]:
@@ -33,13 +33,15 @@ def query_tokens(query: str) -> list[str]:
 def bm25(docs: DataFrame, queries: dict[str, str], k: int | None = None) -> DataFrame:
     """query_id, id, score, rank for documents (id, content); higher is better, ties by id.
 
-    Only the queries' own terms are exploded, so the postings are as small as the answer.
+    Only the queries' own terms are exploded, so the postings are as small as the
+    answer.  Repeated rows count once: they are told apart by id, length and hits,
+    so no text is shuffled, and texts are read and cut into words once.
     """
     wanted = {q: query_tokens(t) for q, t in queries.items()}
     terms = sorted({t for ts in wanted.values() for t in ts})
     tokened = docs.where("content is not null").select("id", X.tokens(F.col("content")).alias("t"))
     hits = F.filter("t", lambda x: F.array_contains(F.array(*[F.lit(t) for t in terms]), x))
-    sized = tokened.select("id", F.size("t").alias("dl"), hits.alias("h"))
+    sized = durable(tokened.select("id", F.size("t").alias("dl"), hits.alias("h")).distinct())
     whole = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
     n, avg = whole["n"], whole["avg"] or 1.0
     postings = sized.where(F.size("h") > 0).select("id", "dl", F.explode("h").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -58,45 +60,62 @@ def ranked(scored: DataFrame, k: int | None = None, query: str = "query_id", sco
     return r.where(F.col("rank") <= k) if k else r
 
 
+def _in_passes(search, vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame | None:
+    """The union of searches over hashed parts of the queries where all would exceed ``MAX_QUERY_BYTES``; None where they fit."""
+    sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
+    passes = -(-sound.count() * dim * 8 // MAX_QUERY_BYTES)
+    if passes <= 1:
+        return None
+    every = None
+    # Twice as many parts as needed, since hashed parts differ in size.
+    for i in range(2 * passes):
+        part = search(vectors, sound.where(F.pmod(F.xxhash64("id"), F.lit(2 * passes)) == i), k, dim)
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """query_id, id, score, rank: exact cosine of a stated query set against all rows (id, embedding), in blocks.
 
     Each task scores its rows against all queries with one matrix product and
     keeps k per query, so the shuffle carries k rows per query and task.  The
-    query vectors travel with the tasks, at most about ``MAX_QUERIES`` at a time; a
-    larger set is cut by hash into as many passes as it needs.
+    query vectors are broadcast, at most ``MAX_QUERY_BYTES`` at a time; a larger set
+    is cut by hash into as many passes over the rows as it needs.
     """
+    passes = _in_passes(vector_topk, vectors, queries, k, dim)
+    return passes if passes is not None else _topk(vectors, queries, k, dim, True)
+
+
+def product_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """As ``vector_topk`` by the plain product, e.g. of quantised vectors."""
+    passes = _in_passes(product_topk, vectors, queries, k, dim)
+    return passes if passes is not None else _topk(vectors, queries, k, dim, False)
+
+
+def _topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, unit: bool) -> DataFrame:
     sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
-    passes = -(-sound.count() // MAX_QUERIES)
-    if passes > 1:
-        every = None
-        for i in range(2 * passes):
-            part = vector_topk(vectors, sound.where(F.pmod(F.xxhash64("id"), F.lit(2 * passes)) == i), k, dim)
-            every = part if every is None else every.unionByName(part)
-        return every
     asked = sound.toPandas()
-    q = np.array(asked.embedding.tolist(), float).reshape(-1, dim)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    names = asked.id.to_numpy()
+    scaled = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300) if unit else a
+    shared = vectors.sparkSession.sparkContext.broadcast((scaled(np.array(asked.embedding.tolist(), float).reshape(-1, dim)), asked.id.to_numpy()))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names = shared.value
         for pdf in batches:
             if not len(pdf) or not len(names):
                 continue
-            v = np.array(pdf.embedding.tolist(), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            v = scaled(np.array(pdf.embedding.tolist(), float))
             ids = pdf.id.to_numpy()
             for at in range(0, len(names), 1024):
                 s = np.round(q[at : at + 1024] @ v.T, 9)
-                s[names[at : at + 1024, None] == ids[None, :]] = -2
+                s[names[at : at + 1024, None] == ids[None, :]] = -np.inf
                 top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 rows, cols = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
-                good = s[rows, cols] > -2
+                good = s[rows, cols] > -np.inf
                 yield pd.DataFrame({"query_id": names[at + rows[good]], "id": ids[cols[good]], "score": s[rows[good], cols[good]]})
 
-    kind = dict(vectors.dtypes)["id"]
+    kind, asked_kind = dict(vectors.dtypes)["id"], dict(queries.dtypes)["id"]
     near = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
-    return ranked(near.mapInPandas(block, f"query_id {kind}, id {kind}, score double"), k)
+    return ranked(near.mapInPandas(block, f"query_id {asked_kind}, id {kind}, score double"), k)
 
 
 def hamming_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
@@ -105,14 +124,10 @@ def hamming_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Da
     Rows of another dimension and the query's own row are left out.  Queries are
     cut into passes as in ``vector_topk``.
     """
+    passes = _in_passes(hamming_topk, vectors, queries, k, dim)
+    if passes is not None:
+        return passes
     sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
-    passes = -(-sound.count() // MAX_QUERIES)
-    if passes > 1:
-        every = None
-        for i in range(2 * passes):
-            part = hamming_topk(vectors, sound.where(F.pmod(F.xxhash64("id"), F.lit(2 * passes)) == i), k, dim)
-            every = part if every is None else every.unionByName(part)
-        return every
     asked = sound.toPandas()
     # Signs as 1 and -1: their product is the dimension less twice the distance, exact in single precision.
     signs = lambda rows: np.where(np.array(rows.tolist(), float).reshape(-1, dim) > 0, 1, -1).astype(np.float32)
@@ -186,9 +201,14 @@ def _overlap(a: set[str], b: set[str]) -> float:
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def mmr(results: DataFrame, k: int, lam: float = 0.7, similarity=None) -> DataFrame:
-    """query_id, id, position by maximal marginal relevance over (query_id, id, score, content); at most 2k candidates each."""
-    top = ranked(results, 2 * k)
+def mmr(results: DataFrame, k: int, lam: float = 0.7, similarity=None, pool: int | None = None) -> DataFrame:
+    """query_id, id, position by maximal marginal relevance over (query_id, id, score, content).
+
+    All results of a query are candidates, or its ``pool`` best.  Of results with the
+    same words only the k best can be chosen, so no more of them enter a task.
+    """
+    same = W.partitionBy("query_id", F.lower(F.trim(F.coalesce("content", F.lit(""))))).orderBy(F.desc(F.round("score", 9)), "id")
+    top = ranked(results.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k).drop("__n"), pool)
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import language as L
 from palimpsest.functions import text as X
+from palimpsest.functions import vectors as V
 from palimpsest.functions.decay import recency
 from palimpsest.operators.retrieval import query_tokens, ranked, reciprocal_ranks
 
@@ -124,6 +126,33 @@ def cached_answers(cache: DataFrame, query: str, at_us: int, ttl_us: int = 3_600
     return cache.where(F.col("stored_us") > at_us - ttl_us).withColumn("cache_tier", tier).where("cache_tier is not null")
 
 
+def cache_tiers(cache: DataFrame, asked: DataFrame, ttl_us: int) -> DataFrame:
+    """Cached questions (id, content, stored_us, embedding) not older than the time to live that answer one asked (of the same columns), each with its tier.
+
+    1: equal keys; 2: cosine of 0.88; 3: cosine of 0.78 and a word overlap of
+    0.15; 4: 70 % of the asked words, two at least.
+    """
+    q = asked.select(F.col("content").alias("q_content"), F.col("stored_us").alias("q_us"), F.col("embedding").alias("q_vector"))
+    # One row.
+    both = cache.join(F.broadcast(q), (F.col("stored_us") > F.col("q_us") - ttl_us) & (F.col("stored_us") <= F.col("q_us")))
+    words, wanted = X.word_set(F.col("content")), X.word_set(F.col("q_content"))
+    shared, cos = F.size(F.array_intersect(words, wanted)), F.round(V.cosine(F.col("embedding"), F.col("q_vector")), 9)
+    tier = (
+        F.when(L.question_key(F.col("content")) == L.question_key(F.col("q_content")), 1)
+        .when(cos >= 0.88, 2)
+        .when((cos >= 0.78) & (X.jaccard(words, wanted) >= 0.15), 3)
+        .when((shared >= 2) & (shared >= 0.7 * F.size(wanted)), 4)
+    )
+    return both.withColumn("cache_tier", tier).where("cache_tier is not null")
+
+
+def cache_statistics(asked: DataFrame, ttl_us: int, size: int) -> DataFrame:
+    """n_asked, n_hits (the same key was asked within the time to live), hit_rate and n_kept (keys that a cache of ``size`` holds) of questions (id, key, at)."""
+    before = F.lag("at").over(W.partitionBy("key").orderBy("at", "id"))
+    hit = asked.withColumn("__b", before).agg(F.count("*").alias("n_asked"), F.count_if(F.col("at") - F.col("__b") <= ttl_us).alias("n_hits"), F.least(F.count_distinct("key"), F.lit(size)).cast("bigint").alias("n_kept"))
+    return hit.select("n_asked", "n_hits", F.round(F.try_divide(F.col("n_hits"), F.col("n_asked")), 6).alias("hit_rate"), "n_kept")
+
+
 def formatted(rows: DataFrame, query: str, position: str, content: str) -> DataFrame:
     """One text per query: '- content' lines in order.  Meant for the final few rows of a query."""
     items = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(content))))

@@ -446,7 +446,7 @@ r as (select *, row_number() over (partition by query_id order by round(score, 9
 
 
 def _bm25(spark, d, k=None):
-    return retrieval.bm25(em(spark, d, "id", "content"), ASKED, k)
+    return retrieval.bm25(em(spark, d), ASKED, k)
 
 
 @query(_BM25 + "select query_id, id, round(score, 6) as score, rank from r where rank <= 20")
