@@ -30,6 +30,11 @@ def contradictions(facts: DataFrame, subject: str, predicate: str, obj: str, con
     return agg.where("n > 1").select(subject, predicate, F.col(f"b.{obj}").alias("winner"), F.col(f"b.{confidence}").alias("winner_confidence"), (F.col("n") - 1).alias("n_rivals"))
 
 
+def statistics(facts: DataFrame, subject: str, confidence: str, confident: float = 0.8) -> DataFrame:
+    """One row: facts, subjects, mean confidence and confident facts."""
+    return facts.agg(F.count("*").alias("n_facts"), F.count_distinct(subject).alias("n_subjects"), F.round(F.avg(confidence), 6).alias("mean_confidence"), F.count_if(F.col(confidence) >= confident).alias("n_confident"))
+
+
 def superseded_facts(facts: DataFrame, subject: str, predicate: str, obj: str, least_mentions: int = 3) -> DataFrame:
     """Facts with a rival of the same subject and predicate that has enough mentions and more confidence."""
     w = W.partitionBy(subject, predicate)

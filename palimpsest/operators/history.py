@@ -27,6 +27,12 @@ def versions(df: DataFrame, keys: list[str], value: str, order: list[str], at: s
     return changed.select(*keys, F.col(value), F.row_number().over(w).alias("version"), F.col("__before").alias("previous"), F.col(at).alias("valid_from"), F.lead(at).over(w).alias("valid_until"))
 
 
+def split_predicates(triples: DataFrame, many: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(triples that stay, rows that become annotations) by whether a predicate may have many values at once."""
+    moved = F.coalesce(F.col("predicate").isin(many), F.lit(False))
+    return triples.where(~moved), triples.where(moved)
+
+
 def evolution(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """'a -> b -> c' per key from change points, with their number."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value))))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.instants import DAY_US
 from palimpsest.functions.language import key_sentences
+from palimpsest.functions.rules import compact
+from palimpsest.operators.relational import ordered_chunks
 
 
 def sleep_groups(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -44,6 +46,39 @@ def trimmed(rows: DataFrame, session: str, at: str, keep: int, ref_us: int, ttl_
     return rows.withColumn("__n", n).where((F.col("__n") > keep) | (F.unix_micros(at) < ref_us - ttl_us)).drop("__n")
 
 
+def due(rows: DataFrame, episodic: DataFrame, before_us: int, held_from: float = 0.9) -> DataFrame:
+    """Rows (id, importance, created_at, ...) to consolidate: made before a time, not held back by their importance, and in no summary (``summary_of``) yet."""
+    covered = episodic.select(F.explode(F.split("summary_of", ",")).alias("__c")).where("__c != ''").distinct()
+    old = rows.where((F.unix_micros("created_at") < before_us) & F.coalesce(F.col("importance") < held_from, F.lit(True)))
+    return old.join(covered, F.col("id") == F.col("__c"), "left_anti")
+
+
+def summaries(rows: DataFrame, groups: list[str], at: str, key: str, text: str, size: int) -> DataFrame:
+    """groups, chunk, n, summary, members: ``size`` rows a summary, in order of time, their texts joined in the compact encoding.
+
+    No group is ordered by one task (``relational.ordered_chunks``).
+    """
+    grouped = rows.withColumn("__g", F.struct(*groups))
+    chunks = ordered_chunks(grouped, "__g", at, key, size, [text])
+    return chunks.select(*[F.col(f"__g.{g}").alias(g) for g in groups], "chunk", F.size("rows").cast("bigint").alias("n"), compact(F.array_join(F.transform("rows", lambda x: x[text]), " | ")).alias("summary"), F.array_join(F.transform("rows", lambda x: x[key]), ",").alias("members"))
+
+
+def contaminated(rows: DataFrame, least: float, n: int) -> DataFrame:
+    """Rows (id, veracity, importance) of labels other than stated, from an importance on, the most important first."""
+    label = F.coalesce(F.lower(F.trim("veracity")), F.lit("unknown"))
+    return rows.where((label != "stated") & (F.col("importance") >= least)).orderBy(F.desc("importance"), "id").limit(n)
+
+
+def cleaned(scored: DataFrame, archive_from: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, archived) rows by their noise score."""
+    return scored.where(F.col("score") < archive_from), scored.where(F.col("score") >= archive_from)
+
+
+def restored(kept: DataFrame, archived: DataFrame) -> DataFrame:
+    """Archived rows back among the others."""
+    return kept.unionByName(archived)
+
+
 def unsummarised(working: DataFrame, episodic: DataFrame, consolidated: Column) -> DataFrame:
     """Rows claimed as consolidated that no summary covers."""
     covered = episodic.select(F.explode(F.split("summary_of", ",")).alias("__c")).where("__c != ''").distinct()

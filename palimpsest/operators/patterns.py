@@ -99,6 +99,45 @@ def _found(content: Column, name: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), lambda v, i: F.struct(F.lit(name).alias("fact_type"), v.alias("value"), (i + 1).cast("long").alias("position")))
 
 
+# Words of order and of denial.
+ORDER_WORDS = r"\b(first|then|next|after|before|until|later|finally)\b"
+DENIALS = r"\b(never|not|cannot|nobody|nothing|don't|won't)\b"
+
+
+def passes(question: str) -> list[str]:
+    """Patterns to search by, the surest first: the question's numbers, its names, words of the same meaning as its own, its last word."""
+    import re
+
+    from palimpsest.functions.language import QUESTION_STOPS, canonical_words, concepts
+
+    numbers = re.findall(r"\b\d+\b", question)
+    names = [w for w in re.findall(r"\b[A-Z][a-z]+\b", question) if w.lower() not in QUESTION_STOPS]
+    heads, groups = canonical_words(), concepts()
+    words = [w for w in question.lower().split() if w not in QUESTION_STOPS]
+    alike = [s for w in words if w in heads for s in groups[heads[w]] if s != w]
+    word = lambda ws: rf"\b({'|'.join(dict.fromkeys(map(re.escape, ws)))})\b"
+    return [p for p in (word(numbers) if numbers else "", word(names) if names else "", word(alike) if alike else "", re.escape(words[-1]) if words else "") if p]
+
+
+def timeline(days: DataFrame, prefix: str, n: int) -> DataFrame:
+    """Dated rows (id, day) whose day begins so, the latest first."""
+    return days.where(F.startswith("day", F.lit(prefix))).orderBy(F.desc("day"), "id").limit(n)
+
+
+def negations(rows: DataFrame, words: list[str]) -> DataFrame:
+    """Rows that deny something and name all the words."""
+    low = F.lower("content")
+    out = rows.where(low.rlike(DENIALS))
+    for w in words:
+        out = out.where(F.contains(low, F.lit(w)))
+    return out
+
+
+def of_entities(facts: DataFrame, names: list[str]) -> DataFrame:
+    """Facts whose subject, without its kind, is one of the names."""
+    return facts.where(F.regexp_replace(F.lower(F.trim("subject")), "^[a-z]+:", "").isin([n.lower() for n in names]))
+
+
 def best_pass(passes: list[DataFrame], key: str, n: int) -> DataFrame:
     """Rows of several search passes: each row once, by its earliest pass, then key."""
     every = None

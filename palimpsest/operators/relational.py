@@ -52,6 +52,16 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, update: list[str])
     return both.select(F.coalesce(key, "__k").alias(key), *[F.coalesce(f"__{c}", c).alias(c) for c in update], *rest, action.alias("action"))
 
 
+def beyond_first(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
+    """Rows of equal keys but the first; counted before anything is joined, so a key's rows are never brought together."""
+    named = [c.alias(f"__k{i}") for i, c in enumerate(keys)]
+    first = rows.groupBy(*named).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    on = keys[0] == F.col("__k0")
+    for i, c in enumerate(keys[1:], 1):
+        on = on & (c == F.col(f"__k{i}"))
+    return rows.join(first, on).where(F.col(order) > F.col("__first")).select(*rows.columns)
+
+
 def missing_from(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """Rows of ``df`` without a partner: orphans, rows to back-fill, unacknowledged rows."""
     return df.join(other.select(F.col(other_key).alias("__o")).distinct(), F.col(key) == F.col("__o"), "left_anti")
@@ -79,13 +89,14 @@ def merge_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1000) -> DataFrame:
-    """group, chunk, members: the keys of every group in order of time (null first), then key, ``size`` of them to a string.
+def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1000, keep: list[str] | None = None) -> DataFrame:
+    """group, chunk, rows: every group's rows in order of time (null first), then key, ``size`` of them to an array of key and the ``keep`` columns.
 
     No group is ordered by one task: rows are counted by hour, rows without a time
     by the head of their key, and numbered within these from the counts before.
     """
-    r = rows.select(group, at, key).withColumn("__hour", F.date_trunc("hour", at)).withColumn("__head", F.when(F.col(at).isNull(), F.substring(key, 1, 3)))
+    keep = keep or []
+    r = rows.select(group, at, key, *keep).withColumn("__hour", F.date_trunc("hour", at)).withColumn("__head", F.when(F.col(at).isNull(), F.substring(key, 1, 3)))
     part = [group, "__hour", "__head"]
     order = [F.asc_nulls_first("__hour"), F.asc_nulls_first("__head")]
     sizes = r.groupBy(*part).agg(F.count("*").alias("__n"))
@@ -94,9 +105,8 @@ def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1
     local = r.withColumn("__i", F.row_number().over(W.partitionBy(*part).orderBy(F.asc_nulls_first(at), key)) - 1)
     same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in part]
     placed = local.join(offsets, same[0] & same[1] & same[2]).withColumn("__i", F.col("__i") + F.col("__before"))
-    members = F.array_sort(F.collect_list(F.struct("__i", key)))
-    chunks = placed.groupBy(group, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(members.alias("m"))
-    return chunks.select(group, "chunk", F.array_join(F.transform("m", lambda x: x[key]), " | ").alias("members"))
+    members = F.array_sort(F.collect_list(F.struct("__i", key, *keep)))
+    return placed.groupBy(group, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(members.alias("rows"))
 
 
 def _shortened(name: Column, n: int) -> Column:

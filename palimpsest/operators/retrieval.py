@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.functions import vectors as V
 from palimpsest.functions.decay import recency, temporal_boost, veracity_weight
 from palimpsest.session import durable
 
@@ -92,6 +93,15 @@ def product_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Da
     return passes if passes is not None else _topk(vectors, queries, k, dim, False)
 
 
+def weighted_topk(vectors: DataFrame, asked: DataFrame, weight: str, k: int, dim: int) -> DataFrame:
+    """id, score: the k rows of greatest cosine times weight for one asked vector; no row is passed over for its cosine alone."""
+    one = asked.select(F.col("embedding").alias("__q"), F.col("id").alias("__i"))
+    # One row.
+    both = vectors.where(F.size("embedding") == dim).join(F.broadcast(one), F.col("id") != F.col("__i"))
+    scored = both.select("id", (F.round(V.cosine(F.col("embedding"), F.col("__q")), 9) * F.col(weight)).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+
+
 def _topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, unit: bool) -> DataFrame:
     sound = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
     asked = sound.toPandas()

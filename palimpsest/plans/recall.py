@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from palimpsest.functions.decay import weibull
 from palimpsest.operators import recall as R
 from palimpsest.operators import relational, retrieval, voices
 from palimpsest.plans.reference import _TOKENS, EM, REF_US, US, WM, em, tr, wm
-from palimpsest.plans.words import _HEADS, _list
+from palimpsest.plans.words import _HEADS, _list, duck
 from palimpsest.session import durable
 from palimpsest.sources.tables import table
 
@@ -22,8 +20,7 @@ QUERIES: dict = {}
 
 
 def query(sql: str | None = None):
-    # "at" is a word of the SQL itself.
-    sql = sql and re.sub(r"(?<!')\bat\b(?!')", "at_us", re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql))
+    sql = duck(sql)
 
     def add(f):
         QUERIES[f.__name__] = (f, sql)

@@ -279,7 +279,8 @@ def a15_ordered_text(spark, d):
 
 @query("select session_id, k as chunk, string_agg(id, ' | ' order by created_at nulls first, id) as members from (select *, (row_number() over (partition by session_id order by created_at nulls first, id) - 1) // 1000 as k from (select distinct id, session_id, created_at from episodic_memory)) group by session_id, k")
 def a15_ordered_text_all(spark, d):
-    return relational.ordered_chunks(table(spark, d, "episodic_memory").select("id", "session_id", "created_at").distinct(), "session_id", "created_at", "id")
+    chunks = relational.ordered_chunks(em(spark, d, "id", "session_id", "created_at"), "session_id", "created_at", "id")
+    return chunks.select("session_id", "chunk", F.array_join(F.transform("rows", lambda x: x["id"]), " | ").alias("members"))
 
 
 _W = "case coalesce(lower(trim(source)), '') when 'stated' then 1.0 when 'inferred' then 0.7 when 'imported' then 0.6 when 'tool' then 0.5 else 0.8 end"

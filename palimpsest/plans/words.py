@@ -18,8 +18,17 @@ from palimpsest.sources.tables import table
 QUERIES: dict = {}
 
 
+def duck(sql: str | None) -> str | None:
+    """Short lambdas spelled out, and a name for the column "at", which is a word of the SQL itself; quoted text stays."""
+    if sql is None:
+        return None
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    parts[::2] = [re.sub(r"\bat\b", "at_us", re.sub(r"\b([a-z]) -> ", r"lambda \1: ", p)) for p in parts[::2]]
+    return "".join(parts)
+
+
 def query(sql: str | None = None):
-    sql = sql and re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
+    sql = duck(sql)
 
     def add(f):
         QUERIES[f.__name__] = (f, sql)
