@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import entropy
@@ -24,6 +24,22 @@ def asset_id(kind: Column, value: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lower(F.trim(kind)), normal_ref(kind, value)), 256), 1, 24)
 
 
+def upserted(assets: DataFrame) -> DataFrame:
+    """Assets (kind, ref, mime, at) once per identity: asset_id, ref in its normal form, the last known type and time."""
+    seen = assets.withColumns({"asset_id": asset_id(F.col("kind"), F.col("ref")), "normal": normal_ref(F.col("kind"), F.col("ref"))})
+    return seen.groupBy("asset_id").agg(F.min("normal").alias("ref"), F.max_by("mime", F.when(F.col("mime").isNotNull(), F.col("at"))).alias("mime"), F.max("at").alias("at"))
+
+
+def guarded(moments: DataFrame, assets: DataFrame) -> DataFrame:
+    """Moments whose asset exists."""
+    return moments.join(assets.select("asset_id"), "asset_id", "left_semi")
+
+
+def orphans(moments: DataFrame, assets: DataFrame) -> DataFrame:
+    """Moments whose asset does not exist."""
+    return moments.join(assets.select("asset_id"), "asset_id", "left_anti")
+
+
 def span_key(kind: Column, start: Column, end: Column, box: Column | None = None, speaker: Column | None = None) -> Column:
     """v1:kind:payload[:spk=speaker]; an open time ends in 'na', an open page range is one page, a box has six decimals."""
     k = F.lower(F.trim(kind))

@@ -75,6 +75,23 @@ def _in_passes(search, vectors: DataFrame, queries: DataFrame, k: int, dim: int)
     return every
 
 
+def over_fetch(k: int, times: int, least: int) -> int:
+    """How many candidates to look at for k results."""
+    return max(times * k, least)
+
+
+def relative_distance(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, distance, ...) with ``sim``, 1 - distance over the batch's largest; 1 where all distances are 0."""
+    far = F.max("distance").over(W.partitionBy("query_id"))
+    return hits.withColumn("sim", F.when(far == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("distance") / far)))
+
+
+def position_scores(hits: DataFrame) -> DataFrame:
+    """Ranked hits (query_id, rank, ...) with ``position_score``, 1 for the first, less by 1/n a place."""
+    n = F.count("*").over(W.partitionBy("query_id"))
+    return hits.withColumn("position_score", 1 - (F.col("rank") - 1) / n)
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """query_id, id, score, rank: exact cosine of a stated query set against all rows (id, embedding), in blocks.
 

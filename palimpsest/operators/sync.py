@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,57 @@ def concurrent(local: DataFrame, remote: DataFrame, key: str, at_us: str, event:
     return hits.groupBy(F.col("k").alias(key), F.col("e").alias(event)).agg(F.count_distinct("f").alias("n_concurrent"))
 
 
+def proposals(events: DataFrame, key: str, at_us: str, window_us: int = 5_000_000) -> DataFrame:
+    """Merge proposals: per key the events (event_id, operation, importance, device_id) that another one follows or precedes within the window, the winner, and how to merge.
+
+    Neighbours in time decide, so no pairs are made.  Equal operations merge by
+    themselves, others are for a person to decide.
+    """
+    w = W.partitionBy(key).orderBy(at_us, "event_id")
+    near = lambda other: F.coalesce(F.abs(other - F.col(at_us)) <= window_us, F.lit(False))
+    meeting = events.where(F.col(key).isNotNull() & F.col(at_us).isNotNull()).withColumn("__near", near(F.lag(at_us).over(w)) | near(F.lead(at_us).over(w))).where("__near")
+    best = F.max(F.struct(F.col(at_us), F.coalesce("importance", F.lit(0.0)), "device_id", "event_id"))["event_id"]
+    how = F.when(F.count_distinct("operation") == 1, "automatic").otherwise("manual")
+    return meeting.groupBy(key).agg(F.count("*").alias("n_events"), best.alias("winner"), how.alias("merge"))
+
+
+def acknowledged(events: DataFrame, acks: DataFrame) -> DataFrame:
+    """Events (event_id, ...) with the remote of every acknowledgement (remote, event_id)."""
+    return events.join(acks.select("remote", "event_id").distinct(), "event_id")
+
+
+def outbox(events: DataFrame, remotes: list[str], acks: DataFrame) -> DataFrame:
+    """Events that a remote has not acknowledged, with that remote."""
+    every = events.withColumn("remote", F.explode(F.array(*[F.lit(r) for r in remotes])))
+    return every.join(acks.select("remote", "event_id").distinct(), ["remote", "event_id"], "left_anti")
+
+
+def push_outcomes(events: DataFrame, skew_us: int = 300_000_000) -> DataFrame:
+    """Events (event_id, memory_id, operation, instant_us, arrived_us; one row per event) with ``outcome``: accepted, or why not."""
+    known = F.col("operation").isin("CREATE", "UPDATE", "DELETE", "CONSOLIDATE")
+    outcome = (
+        F.when(F.col("memory_id").isNull(), "no memory").when(~F.coalesce(known, F.lit(False)), "unknown operation").when(F.col("instant_us").isNull(), "no instant")
+        .when(F.col("instant_us") > F.col("arrived_us") + skew_us, "from the future").otherwise("accepted")
+    )
+    return events.withColumn("outcome", outcome)
+
+
+def encoded_cursor(at_us: Column, event: Column) -> Column:
+    return F.to_json(F.struct(at_us.alias("timestamp"), event.alias("event_id")))
+
+
+def decoded_cursor(cursor: Column) -> Column:
+    """struct(timestamp, event_id); a plain number is a timestamp of the older form, with an empty event."""
+    read = F.from_json(cursor, "timestamp bigint, event_id string")
+    plain = cursor.try_cast("bigint")
+    return F.struct(F.coalesce(plain, read["timestamp"]).alias("timestamp"), F.when(plain.isNotNull(), "").otherwise(read["event_id"]).alias("event_id"))
+
+
+def envelope(rows: DataFrame, name: str, row_no: str, at: str) -> DataFrame:
+    """One row for a delta: the table, how many rows, and the checkpoint that follows it."""
+    return rows.agg(F.count("*").alias("n"), F.max(row_no).alias("last_row"), F.unix_micros(F.max(at)).alias("last_us")).select(F.lit(name).alias("name"), "n", "last_row", "last_us")
+
+
 def delta(rows: DataFrame, row_no: str, at: str, last_row: int, last_at) -> DataFrame:
     """Rows added or touched since a checkpoint."""
     return rows.where((F.col(row_no) > last_row) | (F.col(at) > F.lit(last_at)))

@@ -189,9 +189,9 @@ def s11a_flat_import(spark, d):
     return files.normalise(table(spark, d, "memories").drop("source", "created_at"), "flat").select("id", "content", "source", "timestamp", "session_id", "importance", "author_type")
 
 
-@query("select count(*)::bigint as n_rows from documents")
+@query("select count(*)::bigint as n_rows, sum(('0x' || left(md5(concat_ws(chr(31), coalesce(doc_id::varchar, chr(0)), coalesce(text, chr(0)), coalesce(lang, chr(0)), coalesce(source, chr(0)), coalesce(n_chars::varchar, chr(0)), coalesce(session_id, chr(0)), coalesce(epoch_us(created_at)::varchar, chr(0)))), 8))::bigint)::bigint as checksum from documents")
 def s12_fingerprint(spark, d):
-    return files.fingerprint(table(spark, d, "documents")).select("n_rows")
+    return files.fingerprint(table(spark, d, "documents"))
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*)::bigint as n from events group by all")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,6 +48,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, for files that a query writes and reads again."""
+    durable(spark.range(1))
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/files-{uuid.uuid4().hex}"
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Set the runtime options that the wide text expressions need, unless the user chose others.
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.language import mime_of
+
 MEMORY = "id string, content string, source string, timestamp string, session_id string, importance double, metadata map<string,string>, author_id string, author_type string, channel_id string"
 
 
@@ -16,8 +18,16 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def import_json(spark: SparkSession, path: str, schema: str = MEMORY) -> DataFrame:
-    """Rows of a declared schema; unreadable documents are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Rows of a declared schema and ``unreadable``, the text of a document that has not this schema (null for the others): nothing is dropped unseen."""
+    return spark.read.schema(f"{schema}, unreadable string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
+
+
+def import_outcomes(imported: DataFrame, current: DataFrame) -> DataFrame:
+    """outcome and its number: unreadable, without content, already there, or imported."""
+    known = current.select(F.col("id").alias("__k")).distinct()
+    seen = imported.join(known, F.col("id") == F.col("__k"), "left")
+    outcome = F.when(F.col("unreadable").isNotNull(), "unreadable").when(F.trim(F.coalesce("content", F.lit(""))) == "", "without content").when(F.col("__k").isNotNull(), "already there").otherwise("imported")
+    return seen.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 # Foreign formats: where each target column comes from, first non-empty first; then author and importance rules.
@@ -27,6 +37,7 @@ FORMATS: dict[str, dict] = {
     "graph": {"content": ["fact", "summary", "content"], "timestamp": ["valid_at", "created_at"], "channel_id": ["group_id"], "session_id": ["session_id"], "author": [("user_id", "human")]},
     "nodes": {"content": ["text", "description", "content"], "timestamp": ["created_at", "updated_at"], "channel_id": ["dataset"], "session_id": ["document_id"], "author": [("user_id", "human")]},
     "peers": {"content": ["content", "observation"], "timestamp": ["created_at"], "channel_id": ["workspace_id"], "session_id": ["session_id"], "author": [("peer_id", "human")]},
+    "recollections": {"content": ["text", "summary"], "timestamp": ["occurred_at", "mentioned_at"], "channel_id": ["bank_id"], "session_id": ["document_id"], "author": [("agent_id", "agent")]},
     "notes": {"content": ["memory", "chunk", "content"], "timestamp": ["createdAt", "created_at"], "channel_id": ["containerTag"], "session_id": ["documentId"], "author": [("userId", "human")]},
 }
 
@@ -59,8 +70,9 @@ def normalise(df: DataFrame, fmt: str) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: count and order-free checksum of all rows, to verify a snapshot."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.count("*").alias("n_rows"), F.sum(F.pmod(row, F.lit(1_000_000_007))).alias("checksum"))
+    text = lambda c, kind: F.coalesce((F.unix_micros(c) if kind == "timestamp" else F.col(c)).cast("string"), F.lit("\x00"))
+    row = F.md5(F.concat_ws("\x1f", *[text(c, kind) for c, kind in df.dtypes]))
+    return df.agg(F.count("*").alias("n_rows"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 
 def snapshot(df: DataFrame, root: str, name: str) -> str:
@@ -80,3 +92,58 @@ def bank_path(root: str, bank: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", bank):
         raise ValueError(f"not a bank name: {bank!r}")
     return f"{root}/{bank}"
+
+
+BANK_NAME = r"^[A-Za-z0-9_-]{1,64}$"
+
+
+def banks(spark: SparkSession, root: str) -> DataFrame:
+    """bank and n_rows of every bank under a folder."""
+    return spark.read.parquet(root).groupBy(F.col("bank").cast("string").alias("bank")).agg(F.count("*").alias("n_rows"))
+
+
+def write_banks(df: DataFrame, root: str) -> None:
+    """Rows into the bank that their column ``bank`` names; rows of an unfit name are refused."""
+    df.where(F.col("bank").rlike(BANK_NAME)).write.mode("append").partitionBy("bank").parquet(root)
+
+
+def listed(spark: SparkSession, root: str) -> list[str]:
+    """Names under a folder, by way of the session's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def rotated(spark: SparkSession, root: str, keep: int = 10) -> list[str]:
+    """Snapshots left after all but the last ``keep`` by name were removed."""
+    names = listed(spark, root)
+    for name in names[: max(0, len(names) - keep)]:
+        removed(spark, f"{root}/{name}")
+    return names[-keep:] if keep else []
+
+
+def blobs(sanitised: DataFrame, raw: str, digest: str) -> DataFrame:
+    """The sink of content by its hash: sha256, bytes, size, each once."""
+    kept = sanitised.where(F.col(digest).isNotNull()).select(F.col(digest).alias("sha256"), F.col(raw).alias("bytes"))
+    return kept.groupBy("sha256").agg(F.first("bytes").alias("bytes")).withColumn("size", F.octet_length("bytes"))
+
+
+def resolve_blob(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """Refs (id, ref) to size and type of what they name in a blob store; an unknown ref has neither."""
+    digest = F.regexp_extract("ref", "^blob://sha256/([0-9a-f]{64})$", 1)
+    return refs.join(store, digest == F.col("sha256"), "left").select("id", "size", mime_of(F.col("bytes")).alias("mime"))
+
+
+def resolve_file(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and type of files, from their first bytes."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select("path", F.col("length").alias("size"), mime_of(F.col("content")).alias("mime"))
+
+
+# By the scheme of a reference.
+RESOLVERS = {"blob": resolve_blob, "file": resolve_file}
