@@ -22,6 +22,26 @@ def _group(text: Column, pattern: str, n: int) -> Column:
     return F.when(g != "", g)
 
 
+def weekday_date(text: Column, reference: Column) -> Column:
+    """The date of the first weekday that a text names: last, this or next one, else the most recent of a full name."""
+    return _weekdays(F.lower(F.trim(text)), reference)
+
+
+def _weekdays(low: Column, reference: Column) -> Column:
+    day_no = lambda name: F.array_position(F.array(*[F.lit(d[:3]) for d in DAY_NAMES]), F.substring(name, 1, 3)).cast("int") - 1
+    today = F.weekday(reference)
+    back = lambda day: F.date_sub(reference, F.pmod(today - day, F.lit(7)))
+    relative = rf"\b(last|this|next)\s+({_DAYS})\b"
+    which, day = _group(low, relative, 1), day_no(_group(low, relative, 2))
+    ahead = F.pmod(day - today, F.lit(7))
+    found = (
+        F.when(which == "this", back(day))
+        .when(which == "last", F.date_sub(reference, F.when(F.pmod(today - day, F.lit(7)) == 0, 7).otherwise(F.pmod(today - day, F.lit(7)))))
+        .when(which == "next", F.date_add(reference, F.when(ahead == 0, 7).otherwise(ahead)))
+    )
+    return F.coalesce(found, back(day_no(_group(low, rf"\b({'|'.join(DAY_NAMES)})\b", 1))))
+
+
 def named_date(text: Column, reference: Column) -> Column:
     """struct(event_date, precision) of the first rule that applies, else null fields.
 
@@ -40,18 +60,6 @@ def named_date(text: Column, reference: Column) -> Column:
     month = rf"\b({_MONTHS})\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?\b"
     number = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTH_NAMES]), F.substring(_group(low, month, 1), 1, 3)).cast("int")
     month_date = _safe_date(F.coalesce(_group(low, month, 3).try_cast("int"), F.year(reference)), number, _group(low, month, 2).try_cast("int"))
-    day_no = lambda name: F.array_position(F.array(*[F.lit(d[:3]) for d in DAY_NAMES]), F.substring(name, 1, 3)).cast("int") - 1
-    today = F.weekday(reference)
-    back = lambda day: F.date_sub(reference, F.pmod(today - day, F.lit(7)))
-    relative = rf"\b(last|this|next)\s+({_DAYS})\b"
-    which, day = _group(low, relative, 1), day_no(_group(low, relative, 2))
-    ahead = F.pmod(day - today, F.lit(7))
-    relative_date = (
-        F.when(which == "this", back(day))
-        .when(which == "last", F.date_sub(reference, F.when(F.pmod(today - day, F.lit(7)) == 0, 7).otherwise(F.pmod(today - day, F.lit(7)))))
-        .when(which == "next", F.date_add(reference, F.when(ahead == 0, 7).otherwise(ahead)))
-    )
-    bare = day_no(_group(low, rf"\b({'|'.join(DAY_NAMES)})\b", 1))
     unit = r"\b(this|last|next)\s+(week|month|year)\b"
     q, u = _group(low, unit, 1), _group(low, unit, 2)
     sign = F.when(q == "this", 0).when(q == "last", -1).otherwise(1)
@@ -59,6 +67,6 @@ def named_date(text: Column, reference: Column) -> Column:
     unit_date = F.when(sign == 0, reference).otherwise(unit_date)
     has = lambda w: low.rlike(rf"\b{w}\b")
     days = F.coalesce(
-        iso_date, slash_date, month_date, F.when(has("today"), reference), F.when(has("yesterday"), F.date_sub(reference, 1)), F.when(has("tomorrow"), F.date_add(reference, 1)), relative_date, back(bare)
+        iso_date, slash_date, month_date, F.when(has("today"), reference), F.when(has("yesterday"), F.date_sub(reference, 1)), F.when(has("tomorrow"), F.date_add(reference, 1)), _weekdays(low, reference)
     )
     return F.struct(F.coalesce(days, F.when(u.isNotNull(), unit_date)).alias("event_date"), F.when(days.isNotNull(), "day").when(u.isNotNull(), u).alias("precision"))

@@ -46,7 +46,8 @@ def span_key(kind: Column, start: Column, end: Column, box: Column | None = None
     s, e = start.cast("string"), end.cast("string")
     boxed = F.array_join(F.transform(box, lambda x: F.format_string("%.6f", x.cast("double"))), ",") if box is not None else F.lit(None).cast("string")
     payload = F.when(k == "time", F.concat_ws("-", s, F.coalesce(e, F.lit("na")))).when(k == "page", F.concat_ws("-", s, F.coalesce(e, s))).when(k == "char", F.concat_ws("-", s, e)).when(k == "box", boxed)
-    key = F.concat_ws(":", F.lit("v1"), k, payload)
+    # A whole asset has no payload; an unknown kind, or one without its numbers, has no key.
+    key = F.when(k == "whole", F.lit("v1:whole")).when(payload.isNotNull() & (payload != ""), F.concat_ws(":", F.lit("v1"), k, payload))
     if speaker is None:
         return key
     slug = F.regexp_replace(F.lower(F.trim(speaker)), r"[^a-z0-9]+", "-")

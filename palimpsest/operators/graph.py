@@ -32,6 +32,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("graph_bonus", F.least(F.col("degree") * 0.02, F.lit(0.08)))
 
 
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row for edges (src, dst) from gists to facts: how many of each."""
+    return edges.agg(F.count_distinct("src").alias("n_gists"), F.count_distinct("dst").alias("n_facts"), F.count("*").alias("n_edges"))
+
+
 def shared_values(notes: DataFrame, key: str, value: str, per_value: int = 5) -> DataFrame:
     """Edges of weight 0.8 from each row to the first ``per_value`` others with the same value."""
     lead = notes.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()

@@ -33,6 +33,24 @@ def split_predicates(triples: DataFrame, many: list[str]) -> tuple[DataFrame, Da
     return triples.where(~moved), triples.where(moved)
 
 
+def evolution_chunks(df: DataFrame, keys: list[str], value: str, order: str, size: int = 1000, span: int = 100_000) -> DataFrame:
+    """keys, chunk, evolution, n: every key's values in order of a whole number, ``size`` of them to an 'a -> b -> c'.
+
+    Rows are counted by ``span`` of the order and numbered within these from the counts before, so no key is ordered by one task.
+    """
+    r = df.select(*keys, order, value).withColumn("__part", F.floor(F.col(order) / span))
+    sizes = r.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("__part").alias("o_part"), before.alias("__before"))
+    local = r.withColumn("__i", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(order, value)) - 1)
+    on = F.col("__part").eqNullSafe(F.col("o_part"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    placed = local.join(offsets, on).withColumn("__i", F.col("__i") + F.col("__before"))
+    ordered = F.array_sort(F.collect_list(F.struct("__i", value)))
+    return placed.groupBy(*keys, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(F.array_join(F.transform(ordered, lambda x: x[value]), " -> ").alias("evolution"), F.count("*").alias("n"))
+
+
 def evolution(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """'a -> b -> c' per key from change points, with their number."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value))))

@@ -53,6 +53,13 @@ def due(rows: DataFrame, episodic: DataFrame, before_us: int, held_from: float =
     return old.join(covered, F.col("id") == F.col("__c"), "left_anti")
 
 
+def consolidation_counts(rows: DataFrame, episodic: DataFrame) -> DataFrame:
+    """state (done or open) and its number of rows (id) by whether a summary covers them."""
+    covered = episodic.select(F.explode(F.split("summary_of", ",")).alias("__c")).distinct()
+    state = F.when(F.col("__c").isNull(), "open").otherwise("done")
+    return rows.join(covered, F.col("id") == F.col("__c"), "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
 def summaries(rows: DataFrame, groups: list[str], at: str, key: str, text: str, size: int) -> DataFrame:
     """groups, chunk, n, summary, members: ``size`` rows a summary, in order of time, their texts joined in the compact encoding.
 

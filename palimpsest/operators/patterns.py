@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens
+from palimpsest.operators.sync import transitions
 
 # Words of feeling and of time scope.
 EMOTIONS = {
@@ -67,24 +68,40 @@ def gist(content: Column) -> Column:
     return F.when(F.length(first) > 10, F.substring(F.trim(first), 1, 100)).otherwise(F.trim(F.substring(content, 1, 100)))
 
 
+def names(content: Column) -> Column:
+    # Fixed value: how a name is written.
+    return F.regexp_extract_all(content, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"), 1)
+
+
+def location(content: Column) -> Column:
+    """The first place that a text names by its kind, or null."""
+    found = F.regexp_extract(F.lower(content), r"\b(office|home|work|school|hospital|store|restaurant|building|room)\b", 1)
+    return F.when(found != "", found)
+
+
+# Pronouns; verbs of plain statements; first words that make no subject.
+PRONOUNS = r"(?i)\b(I|you|we|they|he|she|it|me|us|them|him|her)\b"
+VERBS = [("is", "is"), ("has", "has"), ("uses", "uses"), ("works_at", "works (?:at|for)")]
+NO_SUBJECTS = "i you he she it we they this that these those there here what who which my your his her their our its".split()
+
+
 def participants(content: Column) -> Column:
     """Up to five names and pronouns, in order of the alphabet."""
-    names = F.regexp_extract_all(content, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"), 1)
-    pronouns = F.regexp_extract_all(content, F.lit(r"(?i)\b(I|you|we|they|he|she|it|me|us|them|him|her)\b"), 1)
-    return F.slice(F.array_sort(F.array_distinct(F.concat(names, pronouns))), 1, 5)
+    pronouns = F.regexp_extract_all(content, F.lit(PRONOUNS), 1)
+    return F.slice(F.array_sort(F.array_distinct(F.concat(names(content), pronouns))), 1, 5)
 
 
 def statements(content: Column) -> Column:
     """(subject, predicate, object) of sentences with is, has, uses or works at; at most five."""
-    kinds = [("is", r"is"), ("has", r"has"), ("uses", r"uses"), ("works_at", r"works (?:at|for)")]
     one = lambda name, verb: F.transform(
         F.regexp_extract_all(content, F.lit(rf"\b[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+)* {verb} (?:a |an |the )?[a-zA-Z0-9]+"), 0),
         lambda s: F.struct(
             F.regexp_extract(s, rf"^(.+?) {verb} ", 1).alias("subject"), F.lit(name).alias("predicate"), F.regexp_extract(s, rf" {verb} (?:a |an |the )?([a-zA-Z0-9]+)$", 1).alias("object")
         ),
     )
-    found = F.flatten(F.array(*[one(n, v) for n, v in kinds]))
-    return F.slice(F.filter(found, lambda f: (F.length(f["subject"]) > 2) & (F.length(f["object"]) > 2)), 1, 5)
+    found = F.flatten(F.array(*[one(n, v) for n, v in VERBS]))
+    sound = lambda f: (F.length(f["subject"]) > 2) & (F.length(f["object"]) > 2) & ~F.lower(F.split(f["subject"], " ")[0]).isin(NO_SUBJECTS)
+    return F.slice(F.filter(found, sound), 1, 5)
 
 
 def extract_facts(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -138,6 +155,21 @@ def of_entities(facts: DataFrame, names: list[str]) -> DataFrame:
     return facts.where(F.regexp_replace(F.lower(F.trim("subject")), "^[a-z]+:", "").isin([n.lower() for n in names]))
 
 
+def confidences(rows: DataFrame) -> DataFrame:
+    """kind, value, n, confidence: the three most frequent hours and two weekdays by their share of rows (id, session_id, source, created_at), the three most frequent neighbours of sources by theirs of all neighbours."""
+    dated = rows.where("created_at is not null").select("id", "created_at").distinct()
+    total = dated.agg(F.count("*").alias("total"))
+
+    def best(kind: str, value: Column, n: int) -> DataFrame:
+        counted = dated.groupBy(value.alias("v")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "v").limit(n)
+        return counted.select(F.lit(kind).alias("kind"), F.col("v").cast("string").alias("value"), "n", F.round(F.col("n") / F.col("total"), 6).alias("confidence"))
+
+    known = rows.where("source is not null").agg((F.count("*") - 1).alias("total"))
+    pairs = transitions(rows, "session_id", ["created_at", "id"], "source").crossJoin(F.broadcast(known)).orderBy(F.desc("n"), "before", "after").limit(3)
+    told = pairs.select(F.lit("sequence").alias("kind"), F.concat_ws(" > ", "before", "after").alias("value"), "n", F.round(F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(2), F.col("total"))), 6).alias("confidence"))
+    return best("hour", F.hour("created_at"), 3).unionByName(best("weekday", F.weekday("created_at"), 2)).unionByName(told)
+
+
 def best_pass(passes: list[DataFrame], key: str, n: int) -> DataFrame:
     """Rows of several search passes: each row once, by its earliest pass, then key."""
     every = None

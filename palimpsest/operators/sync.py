@@ -30,12 +30,18 @@ def chain_winners(events: DataFrame, key: str, at: str, importance: str, device:
 
 
 def concurrent(local: DataFrame, remote: DataFrame, key: str, at_us: str, event: str, window_us: int = 5_000_000) -> DataFrame:
-    """Per local event the number of remote events of the same key within the window, by bucketed equi-join."""
-    bucket = lambda c: F.expr(f"{c} div {window_us}")
-    left = local.select(F.col(key).alias("k"), F.col(at_us).alias("t"), F.col(event).alias("e")).withColumn("b", F.explode(F.array(bucket("t") - 1, bucket("t"), bucket("t") + 1)))
-    right = remote.select(F.col(key).alias("k"), F.col(at_us).alias("u"), F.col(event).alias("f")).withColumn("b", bucket("u"))
-    hits = left.join(right, ["k", "b"]).where((F.abs(F.col("t") - F.col("u")) <= window_us) & (F.col("e") != F.col("f")))
-    return hits.groupBy(F.col("k").alias(key), F.col("e").alias(event)).agg(F.count_distinct("f").alias("n_concurrent"))
+    """Per local event the number of remote events (one row each) of the same key within the window, the event itself left out; events without any are left out.
+
+    Counted over each key's order of time by a range of the window, so no pairs are
+    made: what a busy key costs grows with its rows.
+    """
+    one = lambda df, is_local: df.select(F.col(key).alias("k"), F.col(at_us).alias("t"), F.col(event).alias("e"), F.lit(is_local).alias("local"))
+    both = one(local, 1).unionByName(one(remote, 0)).where("k is not null and t is not null")
+    w = W.partitionBy("k").orderBy("t").rangeBetween(-window_us, window_us)
+    counted = both.withColumn("n", F.sum(1 - F.col("local")).over(w)).where("local = 1")
+    itself = remote.select(F.col(key).alias("rk"), F.col(event).alias("re"), F.lit(1).alias("own")).distinct()
+    hits = counted.join(itself, (F.col("k") == F.col("rk")) & (F.col("e") == F.col("re")), "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    return hits.where("n > 0").select(F.col("k").alias(key), F.col("e").alias(event), F.col("n").alias("n_concurrent"))
 
 
 def proposals(events: DataFrame, key: str, at_us: str, window_us: int = 5_000_000) -> DataFrame:

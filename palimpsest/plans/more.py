@@ -60,14 +60,6 @@ def k5_coverage(spark, d):
     return voices.coverage_rerank(hits, "vector index office server grocery list monday", 10)
 
 
-@query("select q.vec_id as query_id, round(0.08 * (1 - (exp(6 * h / 64.0) - 1) / (exp(6 * h / 64.0) + 1)), 9) as bonus from (select q.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end)) as h from embeddings q join embeddings v on v.vec_id = q.vec_id + 1) q")
-def r18_binary_bonus(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), (F.col("vec_id") + 1).alias("vec_id"))
-    h = vectors.hamming(F.col("e"), F.col("embedding"))
-    return q.join(v, "vec_id").select("query_id", F.round(voices.binary_bonus(h, 64), 9).alias("bonus"))
-
-
 @query(f"{_HAMMING} select query_id, id, round(0.08 * (1 - (exp(6 * distance / 64.0) - 1) / (exp(6 * distance / 64.0) + 1)), 9) as bonus from r where rank <= 10")
 def r18_binary_bonus_hits(spark, d):
     return _hamming(spark, d, 10).select("query_id", "id", F.round(voices.binary_bonus(F.col("distance"), 64), 9).alias("bonus"))
@@ -90,13 +82,6 @@ def r32_context_text(spark, d):
     return voices.formatted(hits, "query_id", "rank", "content")
 
 
-@query(f"select id, 'q' as matched, (case when lower(trim(content)) = lower('x') then 1 else 2 end)::int as cache_tier from {WM} where len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(trim(content)), '\\s+'), lambda w: w <> '')), ['grocery', 'list', 'shared'])) >= 3 and {US} > 0")
-def r33_cache_lookup(spark, d):
-    cache = wm(spark, d).select("id", F.col("content").alias("cached_query"), F.unix_micros("created_at").alias("stored_us"))
-    hits = voices.cached_answers(cache, "grocery list shared", REF_US, REF_US)
-    return hits.select("id", F.lit("q").alias("matched"), "cache_tier").distinct()
-
-
 @query()
 def l1_l2_ingest(spark, d):
     e = ingest.enriched(wm(spark, d))
@@ -125,35 +110,17 @@ def w15_bump(spark, d):
     return wm(spark, d, "id", "created_at").where("created_at is not null").select("id", F.least(F.lit(REF_US), us + 86_400_000_000).alias("bumped_us"))
 
 
-@query(f"select subject, predicate, object, confidence from {TR} where confidence >= 0.9 and lower(trim(subject)) like 'project:%'")
-def g25_confident_facts(spark, d):
-    return tr(spark, d, "id", "subject", "predicate", "object", "confidence").where("confidence >= 0.9 and lower(trim(subject)) like 'project:%'").select("subject", "predicate", "object", "confidence")
-
-
 @query(f"select subject, predicate, object, confidence from {TR} where confidence >= 0.9")
 def g25_confident_facts_all(spark, d):
     return tr(spark, d, "id", "subject", "predicate", "object", "confidence").where("confidence >= 0.9").select("subject", "predicate", "object", "confidence")
 
 
-@query("select a.doc_id, b.doc_id as other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) as jaccard from (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) a join (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) as w from documents where text is not null) b on b.doc_id = a.doc_id + 1")
-def f16_word_jaccard(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", X.word_set(F.col("text")).alias("w"))
-    o = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("w").alias("v"))
-    return t.join(o, "doc_id").select("doc_id", "other", F.round(X.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
-
-
 @query("select id, event_id from (select distinct id from working_memory) w join (select memory_id, max(event_id) as event_id from memory_events group by 1) e on e.memory_id = w.id")
 def j10_acknowledged(spark, d):
     e = table(spark, d, "memory_events").groupBy(F.col("memory_id").alias("id")).agg(F.max("event_id").alias("event_id"))
     return wm(spark, d).select("id").distinct().join(e, "id")
 
 
-@query("select id, content from (select id, any_value(content) as content from (select id, content from working_memory union all select id, content from memories) group by id) where id like 'a%'")
-def x25_all_memories(spark, d):
-    both = table(spark, d, "working_memory").select("id", "content").unionByName(table(spark, d, "memories").select("id", "content"))
-    return both.where("id like 'a%'").groupBy("id").agg(F.max("content").alias("content"))
-
-
 @query("select id, max(content) as content from (select id, content from working_memory union all select id, content from memories union all select id, content from episodic_memory) group by id")
 def x25_every_memory(spark, d):
     one = lambda n: table(spark, d, n).select("id", "content")

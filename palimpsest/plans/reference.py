@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import decay, predicates, vectors
 from palimpsest.functions import text as X
+from palimpsest.functions.instants import with_instant
 from palimpsest.operators import facts, graph, history, lifecycle, relational, retrieval, sync
+from palimpsest.plans.problems import duck_instant
+from palimpsest.session import tuned
 from palimpsest.sources.tables import table
 
 REF = "2025-06-01 00:00:00"
@@ -134,10 +137,12 @@ def op_p13_csv_member(spark, d):
     return links.join(table(spark, d, "working_memory"), "id", "left_semi").select("summary_id", "id")
 
 
-@query(f"select id from {WM} where created_at < timestamptz '2025-01-01 00:00:00+00' and coalesce(importance < 0.9, true)")
+@query(f"select w.id from (select distinct id, importance, created_at from working_memory) w left join (select c, max(created_at) as done_at from (select unnest(string_split(summary_of, ',')) as c, created_at from episodic_memory) group by c) e on e.c = w.id where done_at is null and w.created_at < timestamptz '2025-01-01 00:00:00+00' and coalesce(importance < 0.9, true)")
 def op_p14_due_for_sleep(spark, d):
-    w = wm(spark, d, "id", "importance", "created_at")
-    due = predicates.due_for_consolidation(F.col("importance") >= 0.9, F.lit(None).cast("timestamp"), F.unix_micros("created_at"), 1_735_689_600_000_000)
+    """Rows that are old enough, in no summary yet (the latest summary's time stands for the mark) and not pinned, as the most important are."""
+    done = em(spark, d, "summary_of", "created_at").select(F.explode(F.split("summary_of", ",")).alias("c"), "created_at").groupBy("c").agg(F.max("created_at").alias("consolidated_at"))
+    w = wm(spark, d, "id", "importance", "created_at").join(done, F.col("id") == F.col("c"), "left")
+    due = predicates.due_for_consolidation(F.col("importance") >= 0.9, F.col("consolidated_at"), F.unix_micros("created_at"), 1_735_689_600_000_000)
     return w.where(due).select("id")
 
 
@@ -185,14 +190,14 @@ def j11_contradictions(spark, d):
     return facts.contradictions(t, "subject", "predicate", "object", "confidence")
 
 
-_SV = "(select distinct subject, object from triples where predicate = 'prefers' and subject is not null and object is not null)"
+_SV = "(select distinct subject, object from triples where subject is not null and object is not null)"
 
 
 @query(f"""with l as (select *, row_number() over (partition by object order by subject) as n from {_SV}),
 p as (select a.subject as src, b.subject as dst, row_number() over (partition by a.subject, a.object order by b.n) as r from {_SV} a join l b using (object) where b.n <= 6 and a.subject <> b.subject)
 select distinct src, dst from p where r <= 5""")
 def j12_g21_shared_values(spark, d):
-    return graph.shared_values(tr(spark, d).where("predicate = 'prefers'"), "subject", "object").select("src", "dst")
+    return graph.shared_values(tr(spark, d, "subject", "object"), "subject", "object").select("src", "dst")
 
 
 @query(f"select a.memory_id, a.event_id, count(distinct b.event_id)::bigint as n_concurrent from {ME} a join {ME} b on a.memory_id = b.memory_id and abs(a.seen - b.seen) <= 600000000 and a.event_id <> b.event_id group by all")
@@ -201,13 +206,24 @@ def j15_t10_concurrent(spark, d):
     return sync.concurrent(e, e, "memory_id", "seen", "event_id", 600_000_000)
 
 
-_ISO = "regexp_matches(valid_from, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and (valid_until is null or regexp_matches(valid_until, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'))"
-_ISOS = r"valid_from rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and (valid_until is null or valid_until rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"
+_FROM = duck_instant("select id, subject, predicate, object, valid_until, valid_from as t, 'UTC' as zone, null::varchar as locale from triples")
+_UNTIL = duck_instant("select id, valid_until as t, 'UTC' as zone, null::varchar as locale from triples")
+# Triples whose start states an instant; an end that states none, or none at all, is open.
+_TRI = f"(select distinct f.id, lower(trim(subject)) as subject, predicate, object, f.us as valid_from, u.us as valid_until from ({_FROM}) f join (select id, any_value(us) as us from ({_UNTIL}) group by id) u using (id) where f.us is not null)"
+JUNE_US = 1_686_787_200_000_000
 
 
-@query(f"select id from {TR} where {_ISO} and valid_from <= '2023-06-15' and (valid_until is null or valid_until > '2023-06-15')")
+def _dated(spark, d, *columns: str):
+    """Triples with their instants in place of the texts, whatever form these have."""
+    t = tr(tuned(spark), d, "id", "valid_from", "valid_until", *columns)
+    utc, undeclared = F.lit("UTC"), F.lit(None).cast("string")
+    t = with_instant(with_instant(t, "valid_from", utc, undeclared, "start_us"), "valid_until", utc, undeclared, "end_us").where("start_us is not null")
+    return t.drop("valid_from", "valid_until").withColumnsRenamed({"start_us": "valid_from", "end_us": "valid_until"})
+
+
+@query(f"select id from {_TRI} where valid_from <= {JUNE_US} and (valid_until is null or valid_until > {JUNE_US})")
 def j16_as_of(spark, d):
-    return history.as_of(tr(spark, d, "id", "valid_from", "valid_until").where(_ISOS), "2023-06-15", "valid_from", "valid_until").select("id")
+    return history.as_of(_dated(spark, d), JUNE_US, "valid_from", "valid_until").select("id")
 
 
 @query(f"select id, case coalesce(lower(trim(veracity)), '') when 'stated' then 1.0::double when 'inferred' then 0.7::double when 'imported' then 0.6::double when 'tool' then 0.5::double else 0.8::double end as weight from {WM}")
@@ -270,13 +286,6 @@ def a13_majority(spark, d):
     return facts.majority_label(wm(spark, d, "id", "session_id", "veracity"), "session_id", "veracity")
 
 
-@query("select session_id, string_agg(id, ' | ' order by created_at nulls first, id) as members from (select distinct id, session_id, created_at from episodic_memory where session_id <> 'sess-main-0001') group by session_id")
-def a15_ordered_text(spark, d):
-    e = table(spark, d, "episodic_memory").where("session_id != 'sess-main-0001'").select("id", "session_id", "created_at").distinct()
-    members = F.array_sort(F.collect_list(F.struct("created_at", "id")))
-    return e.groupBy("session_id").agg(F.array_join(F.transform(members, lambda x: x["id"]), " | ").alias("members"))
-
-
 @query("select session_id, k as chunk, string_agg(id, ' | ' order by created_at nulls first, id) as members from (select *, (row_number() over (partition by session_id order by created_at nulls first, id) - 1) // 1000 as k from (select distinct id, session_id, created_at from episodic_memory)) group by session_id, k")
 def a15_ordered_text_all(spark, d):
     chunks = relational.ordered_chunks(em(spark, d, "id", "session_id", "created_at"), "session_id", "created_at", "id")
@@ -300,12 +309,9 @@ def a17_f39_weekdays(spark, d):
 
 # Windows
 
-_TRI = f"(select id, lower(trim(subject)) as subject, predicate, object, valid_from, valid_until from {TR} where {_ISO})"
-
-
 @query(f"select id, coalesce(valid_until, lead(valid_from) over (partition by subject, predicate order by id)) as valid_until from {_TRI}")
 def w7_supersession(spark, d):
-    t = tr(spark, d, "id", "subject", "predicate", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    t = _dated(spark, d, "subject", "predicate").withColumn("subject", F.lower(F.trim("subject")))
     return history.close_superseded(t, ["subject", "predicate"], ["id"], "valid_from", "valid_until").select("id", "valid_until")
 
 
@@ -313,20 +319,15 @@ def w7_supersession(spark, d):
 k as (select * from c where n = 1 or object is distinct from before)
 select subject, predicate, object, row_number() over w as version, before as previous, valid_from, lead(valid_from) over w as valid_until from k window w as (partition by subject, predicate order by valid_from, id)""")
 def w5_w6_versions(spark, d):
-    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
+    t = _dated(spark, d, "subject", "predicate", "object").withColumn("subject", F.lower(F.trim("subject")))
     return history.versions(t, ["subject", "predicate"], "object", ["valid_from", "id"], "valid_from")
 
 
-@query(f"select subject, predicate, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n_versions from {_TRI} where subject like 'project:%' group by subject, predicate")
-def w8_evolution(spark, d):
-    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject"))).where("subject like 'project:%'")
-    return history.evolution(t, ["subject", "predicate"], "object", "id")
-
-
-@query(f"select subject, predicate, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n_versions from {_TRI} group by subject, predicate")
+@query("select subject, predicate, k as chunk, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n from (select *, (row_number() over (partition by subject, predicate order by id) - 1) // 1000 as k from (select distinct id, lower(trim(subject)) as subject, predicate, object from triples where object is not null)) group by subject, predicate, k")
 def w8_evolution_all(spark, d):
-    t = tr(spark, d, "id", "subject", "predicate", "object", "valid_from", "valid_until").where(_ISOS).withColumn("subject", F.lower(F.trim("subject")))
-    return history.evolution(t, ["subject", "predicate"], "object", "id")
+    """How every slot's value changed, a thousand values to a text, so that a slot of many is not one row."""
+    t = tr(spark, d, "id", "subject", "predicate", "object").where("object is not null").withColumn("subject", F.lower(F.trim("subject")))
+    return history.evolution_chunks(t, ["subject", "predicate"], "object", "id")
 
 
 @query(f"select event_id from (select event_id, row_number() over (partition by memory_id order by seen desc nulls last, event_id desc) as n from {ME}) where n <= 3")
@@ -510,13 +511,6 @@ def f1_tokens(spark, d):
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
 
 
-@query("select q.vec_id as query_id, v.vec_id as id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end))::bigint as distance from embeddings q join embeddings v on v.vec_id = q.vec_id + 1")
-def f14_k4_hamming(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), (F.col("vec_id") + 1).alias("vec_id"))
-    return q.join(v, "vec_id").select("query_id", F.col("vec_id").alias("id"), vectors.hamming(F.col("e"), F.col("embedding")).cast("bigint").alias("distance"))
-
-
 _HAMMING = """with h as (select q.vec_id as query_id, v.vec_id as id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end))::bigint as distance from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by distance, id)::int as rank from h)"""
 
@@ -537,13 +531,6 @@ def f15_int8(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.aggregate(q, F.lit(0), lambda s, x: s + x).cast("bigint").alias("total"))
 
 
-@query("select a.subject, b.subject as other, levenshtein(lower(trim(a.subject)), lower(trim(b.subject)))::bigint as edits from (select distinct subject from triples where subject like 'device:%') a join (select distinct subject from triples where subject like 'device:%') b on substr(a.subject, 1, 10) = substr(b.subject, 1, 10) and a.subject < b.subject")
-def f17_levenshtein(spark, d):
-    s = table(spark, d, "triples").where("subject like 'device:%'").select("subject").distinct().withColumn("block", F.substring("subject", 1, 10))
-    o = s.select("block", F.col("subject").alias("other"))
-    return s.join(o, "block").where("subject < other").select("subject", "other", F.levenshtein(F.lower(F.trim("subject")), F.lower(F.trim("other"))).cast("bigint").alias("edits"))
-
-
 _HAS = lambda items: " or ".join(f"contains(low, '{x}')" for x in items)
 
 
@@ -578,15 +565,6 @@ def _edges(spark, d):
 _BOTH = f"(select distinct src, dst from (select src, dst, weight from {_EDGES} union all select dst, src, weight from {_EDGES}) where weight >= 0.9)"
 
 
-@query(f"""with s as (select distinct lower(trim(subject)) as seed from triples where lower(trim(subject)) like 'agent:d%'), h1 as (select distinct seed, dst as node from s join {_BOTH} b on b.src = seed),
-h2 as (select distinct seed, b.dst as node from h1 join {_BOTH} b on b.src = h1.node where b.dst <> seed)
-select seed, node, min(hops)::bigint as hops from (select seed, node, 1 as hops from h1 union all select seed, node, 2 from h2) where node <> seed group by all""")
-def g18_j17_reachable(spark, d):
-    e = _edges(spark, d)
-    seeds = e.where("src like 'agent:d%'").select(F.col("src").alias("node")).distinct()
-    return graph.reachable(e, seeds, 2, 0.9).withColumn("hops", F.col("hops").cast("bigint"))
-
-
 @query(f"""with s as (select distinct lower(trim(subject)) as seed from triples where lower(trim(subject)) like 'agent:%'), h1 as (select distinct seed, dst as node from s join {_BOTH} b on b.src = seed),
 h2 as (select distinct seed, b.dst as node from h1 join {_BOTH} b on b.src = h1.node where b.dst <> seed)
 select seed, node, min(hops)::bigint as hops from (select seed, node, 1 as hops from h1 union all select seed, node, 2 from h2) where node <> seed group by all""")
@@ -612,7 +590,7 @@ def l5_l6_sleep_groups(spark, d):
     return g.select("session_id", "source", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.round("importance", 6).alias("importance"), "member_hash")
 
 
-@query(f"select count(*)::bigint as n_runs, count(*) filter (event_type = 'error')::bigint as n_errors, round(({REF_US} - epoch_us(max(ts) filter (event_type <> 'error'))) / 3.6e9, 3) as hours_since_success, 'stale' as status from events")
+@query(f"select count(*)::bigint as n_runs, count(*) filter (event_type = 'error')::bigint as n_errors, round(({REF_US} - epoch_us(max(ts) filter (event_type <> 'error'))) / 3.6e9, 3) as hours_since_success, case when max(ts) filter (event_type <> 'error') is null then 'never' when ({REF_US} - epoch_us(max(ts) filter (event_type <> 'error'))) / 3.6e9 > 24 then 'stale' when count(*) filter (event_type = 'error') > 0 then 'degraded' else 'healthy' end as status from events")
 def l13_health(spark, d):
     return lifecycle.health(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.col("event_type") == "error", REF_US)
 

@@ -68,13 +68,6 @@ def f19_x1_entities(spark, d):
     return em(spark, d).where("content is not null").select("id", F.explode(X.entities(F.col("content"))).alias("entity")).distinct()
 
 
-@query("select a.subject, b.subject as other from (select distinct subject from triples where subject like 'place:%') a join (select distinct subject from triples where subject like 'place:%') b on lower(trim(a.subject)) = lower(trim(b.subject)) and a.subject <> b.subject")
-def f18_j18_similar_entities(spark, d):
-    s = table(spark, d, "triples").where("subject like 'place:%'").select("subject").distinct().withColumn("block", F.lower(F.trim("subject")))
-    o = s.select("block", F.col("subject").alias("other"))
-    return s.join(o, "block").where("subject != other").where(X.entity_similarity(F.col("subject"), F.col("other")) >= 0.8).select("subject", "other")
-
-
 @query()
 def f17_f18_j18_similar_names(spark, d):
     return relational.similar_names(table(spark, d, "triples"), "subject").withColumn("similarity", F.round("similarity", 9))
@@ -91,12 +84,6 @@ def r21_intents(spark, d):
     return i.select("id", "i.category", "i.confidence")
 
 
-@query("select doc_id, case when regexp_matches(lower(text), '\\b(wednesday)\\b') then 'wednesday' end as day from documents where text is not null and regexp_matches(lower(text), '\\bwednesday\\b')")
-def f12_weekday_mentions(spark, d):
-    t = table(spark, d, "documents").where("text is not null").where(F.lower("text").rlike(r"\bwednesday\b"))
-    return t.select("doc_id", F.regexp_extract(F.lower("text"), r"\b(wednesday)\b", 1).alias("day"))
-
-
 @query()
 def f11_named_dates(spark, d):
     w = wm(spark, d).where("content is not null and created_at is not null")
@@ -149,11 +136,6 @@ def a17_frequent_words(spark, d):
 _VOCAB = ["vector", "index", "grocery", "list", "shared", "calendar", "budget", "tool", "sheet", "travel"]
 
 
-@query(f"with w as (select id, unnest(list_distinct({_TOKENS})) as word from {EM} where content is not null), v as (select * from w where word in ({', '.join(map(repr, _VOCAB))})) select a.word as first, b.word as second, count(*)::bigint as n from v a join v b on a.id = b.id and a.word < b.word group by all")
-def a18_word_pairs(spark, d):
-    return patterns.word_pairs(em(spark, d, "id", "content").where("content is not null"), "content", _VOCAB)
-
-
 @query(f"with w as (select row, unnest(list_distinct(t)) as word from (select row_number() over () as row, {_TOKENS} as t from {EM} where content is not null)) select a.word as first, b.word as second, count(*)::bigint as n from w a join w b on a.row = b.row and a.word < b.word group by all order by n desc, first, second limit 50")
 def a18_frequent_pairs(spark, d):
     return patterns.frequent_pairs(em(spark, d, "id", "content").where("content is not null"), "content", 50)
@@ -232,11 +214,6 @@ def x11_parents(spark, d):
     return me(spark, d, "parent_event_ids").select("event_id", F.explode(F.from_json("parent_event_ids", "array<string>")).alias("parent"))
 
 
-@query("select event_type, lower(left(hex(encode(event_type)), 8)) as head from events group by event_type")
-def x30_head_bytes(spark, d):
-    return table(spark, d, "events").select("event_type").distinct().select("event_type", F.lower(F.hex(F.substring(F.encode("event_type", "UTF-8"), 1, 4))).alias("head"))
-
-
 @query("select distinct subject, replace(replace(replace(replace(replace(replace(replace(lower(subject), 'á', 'a'), 'é', 'e'), 'í', 'i'), 'ó', 'o'), 'ú', 'u'), 'ü', 'u'), 'ñ', 'n') as folded from triples where subject is not null")
 def x32_folded(spark, d):
     return table(spark, d, "triples").where("subject is not null").select("subject").distinct().select("subject", X.folded(F.col("subject")).alias("folded"))
