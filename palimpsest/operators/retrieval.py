@@ -241,7 +241,7 @@ def mmr(results: DataFrame, k: int, lam: float = 0.7, similarity=None, pool: int
         pdf = pdf.sort_values("rank")
         words, left, chosen = [_words(c or "") for c in pdf.content], list(range(len(pdf))), []
         like = similarity or _overlap
-        scores = pdf.score.to_numpy()
+        scores = pdf.score.round(9).to_numpy()
         while left and len(chosen) < k:
             best = max(left, key=lambda i: (lam * scores[i] - (1 - lam) * max((like(words[i], words[j]) for j in chosen), default=0.0), -i))
             chosen.append(best)

@@ -105,9 +105,10 @@ def coverage_rerank(results: DataFrame, query: str, k: int, gain: float = 0.06)
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         hits = [set(h) for h in pdf["__hits"]]
         seen: set[str] = set()
+        scores = pdf.score.round(9)
         left, order = list(range(len(pdf))), []
         while left and len(order) < k:
-            best = max(left, key=lambda i: (pdf.score[i] + gain * len(hits[i] - seen), -i))
+            best = max(left, key=lambda i: (scores[i] + gain * len(hits[i] - seen), -i))
             seen |= hits[best]
             order.append(best)
             left.remove(best)

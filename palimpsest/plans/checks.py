@@ -143,6 +143,40 @@ h2 as (select distinct seed, b.dst as node from h1 join {_BOTH} b on b.src = h1.
 g as (select node as id, sum(pow(0.4, hops)) as score from m group by node) select 'q' as query_id, id, round(score, 9) as score, row_number() over (order by round(score, 9) desc, id)::int as rank from g""",
 )
 
+# Greedy re-rankings: a step of the recursion chooses one row of each query
+
+_SPACE = r"[\s\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SET = f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '{_SPACE}'), x -> x <> ''))"
+_HITS = f"""h as (select query_id, r.id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 9) desc, r.id) as n, {_SET} as w from r join (select distinct id, content from episodic_memory where content is not null) e on e.id = r.id{{0}})"""
+_LIKE = "len(list_intersect({0}, {1})) / greatest(1, len(list_distinct(list_concat({0}, {1}))))::double"
+_OUT = "select query_id, unnest(ids) as id, generate_subscripts(ids, 1)::int as position from (select query_id, arg_max(ids, len(ids)) as ids from st group by query_id)"
+
+
+def _greedy(hits: str, value: str, grows: str, k: int = 10) -> str:
+    """Each step takes the row of the greatest value among those not taken; ``grows`` is what it adds to the state ``sets``."""
+    best = f"list_max(list_transform(list_filter(c, y -> not list_contains(ids, y.id)), y -> {{'v': {value}, 'n': -y.n, 'id': y.id, 'w': y.w}}))"
+    return (
+        _BM25.replace("with t as", "with recursive t as", 1)
+        + f", {_HITS.replace("{0}", hits)}, q as (select query_id, list({{'id': id, 'n': n, 'score': score, 'w': w}} order by n) as c from h group by query_id), "
+        + f"st as (select query_id, c, []::varchar[] as ids, {grows.format('null')} as sets from q union all select query_id, c, list_append(ids, b.id), {grows.format('b')} from (select *, {best} as b from st where len(ids) < least({k}, len(c)))) "
+        + _OUT
+    )
+
+
+check(reference.k6_mmr, _greedy(" where rank <= 20", f"round(0.7 * y.score - 0.3 * coalesce(list_max(list_transform(sets, z -> {_LIKE.format('y.w', 'z')})), 0), 12)", "case when {0} is null then []::varchar[][] else list_append(sets, {0}.w) end").replace("case when null is null then []::varchar[][] else list_append(sets, null.w) end", "[]::varchar[][]").replace("case when b is null then []::varchar[][] else list_append(sets, b.w) end", "list_append(sets, b.w)"))
+_K5 = query_tokens("vector index office server grocery list monday")
+check(
+    more.k5_coverage,
+    _greedy("", f"round(y.score + 0.06 * len(list_filter(list_intersect(y.w, {_list(_K5)}), z -> not list_contains(sets, z))), 12)", "{0}").replace("null as sets", "[]::varchar[] as sets").replace("list_append(ids, b.id), b from", "list_append(ids, b.id), list_distinct(list_concat(sets, b.w)) from"),
+)
+check(
+    reference.k7_diverse,
+    _BM25.replace("with t as", "with recursive t as", 1)
+    + f", {_HITS.replace("{0}", "")}, st as (select distinct query_id, 0::bigint as n, []::varchar[] as ids, []::varchar[][] as sets from h union all select query_id, n, case when ok then list_append(ids, id) else ids end, case when ok then list_append(sets, w) else sets end "
+    + f"from (select h.query_id, h.n, h.id, h.w, st.ids, st.sets, len(st.ids) < 10 and len(list_filter(st.sets, z -> {_LIKE.format('h.w', 'z')} > 0.8)) = 0 as ok from st join h on h.query_id = st.query_id and h.n = st.n + 1)) "
+    + _OUT,
+)
+
 # Similar names: over distinct names the oracle can afford all pairs
 
 _SIM = """case when n = o then 1.0::double when starts_with(n, o) or starts_with(o, n) then case when least(length(n), length(o)) / greatest(length(n), length(o))::double < 0.3 then 0.0 else 0.7 + 0.3 * least(length(n), length(o)) / greatest(length(n), length(o))::double end

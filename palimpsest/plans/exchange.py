@@ -12,6 +12,7 @@ from palimpsest.plans.words import duck
 from palimpsest.session import shared_folder
 from palimpsest.sources import files
 from palimpsest.sources.tables import table
+from palimpsest.streaming import events as streams
 
 QUERIES: dict = {}
 
@@ -197,6 +198,24 @@ def x13_x14_envelopes(spark, d):
     return sync.envelope(sync.delta(e, "row_id", "created_at", kept.last_row, F.to_timestamp(F.lit(kept.last_at))), "episodic_memory", "row_id", "created_at")
 
 
+@query("select event_type, count(*)::bigint as n, event_type = 'error' as twice from events group by event_type union all select 'any', count(*), false from events")
+def t1_emitted_events(spark, d):
+    """Events streamed to callbacks by kind and of any kind, of which one always fails."""
+    source, sink = shared_folder(spark), shared_folder(spark)
+    e = table(spark, d, "events").select("event_id", "event_type")
+    e.write.parquet(source)
+
+    def fails(_):
+        raise ValueError("no")
+
+    kinds = [r[0] for r in e.select("event_type").distinct().limit(100).collect()]
+    write = lambda name: lambda batch: batch.select("event_id", F.lit(name).alias("heard")).write.mode("append").parquet(sink)
+    callbacks = {k: [fails, write(k)] + ([write(k)] if k == "error" else []) for k in kinds} | {"*": [write("any")]}
+    streams.emit(spark.readStream.schema(e.schema).parquet(source), streams.calling(callbacks), shared_folder(spark)).awaitTermination()
+    heard = spark.read.parquet(sink).groupBy("heard").agg(F.count("*").alias("heard_n"), F.count_distinct("event_id").alias("n"))
+    return heard.select(F.col("heard").alias("event_type"), "n", (F.col("heard_n") == 2 * F.col("n")).alias("twice"))
+
+
 # Ranks
 
 

@@ -37,6 +37,25 @@ def emit(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def calling(callbacks: dict[str, list[Callable[[DataFrame], None]]], kind: str = "event_type", swallowed: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that hands every batch's events of a kind to that kind's callbacks, and all of them to those of ``*``.
+
+    A failing callback stops neither the others nor the stream; what it said goes to ``swallowed``.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        for name, functions in callbacks.items():
+            events = batch if name == "*" else batch.where(F.col(kind) == name)
+            for f in functions:
+                try:
+                    f(events)
+                except Exception as e:  # noqa: BLE001
+                    if swallowed is not None:
+                        swallowed.append(f"{number}: {name}: {e}")
+
+    return sink
+
+
 def keep_value_counts(stream: DataFrame, to_state: Callable[[DataFrame], DataFrame], root: str, checkpoint: str) -> StreamingQuery:
     """Late-event state as deltas: each micro-batch appends its value counts under its own number.
 
