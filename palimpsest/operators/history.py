@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ordered import neighbour, next_known, running
+from palimpsest.session import durable
 
-def close_superseded(triples: DataFrame, keys: list[str], order: list[str], start: str, end: str, supersede: Column | None = None) -> DataFrame:
-    """Fill a null end with the start of the next superseding row of the same keys, in insertion order."""
+
+# Rows of a key per bucket of a whole number that orders them.
+SPAN = 100_000
+
+
+def close_superseded(triples: DataFrame, keys: list[str], order: list[str], start: str, end: str, supersede: Column | None = None, span: int = SPAN) -> DataFrame:
+    """Fill a null end with the start of the next superseding row of the same keys, in insertion order, which ``order`` (first a whole number) tells."""
     closes = F.when(supersede if supersede is not None else F.lit(True), F.col(start))
-    # Read backwards the frame only grows, so each row costs the same; a frame that shrinks is recomputed per row.
-    later = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
-    return triples.withColumn(end, F.coalesce(F.col(end), F.last(closes, ignorenulls=True).over(later)))
+    return next_known(triples, keys, F.floor(F.col(order[0]) / span), order, closes, "__closed").withColumn(end, F.coalesce(end, "__closed")).drop("__closed")
 
 
 def as_of(df: DataFrame, at, start: str, end: str) -> DataFrame:
@@ -20,11 +25,17 @@ def as_of(df: DataFrame, at, start: str, end: str) -> DataFrame:
     return df.where((F.col(start) <= F.lit(at)) & (F.col(end).isNull() | (F.col(end) > F.lit(at))))
 
 
-def versions(df: DataFrame, keys: list[str], value: str, order: list[str], at: str) -> DataFrame:
-    """Change points of a value per key: version from 1, previous value, valid_until; equal repeats change nothing."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    changed = df.withColumn("__before", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__before")))
-    return changed.select(*keys, F.col(value), F.row_number().over(w).alias("version"), F.col("__before").alias("previous"), F.col(at).alias("valid_from"), F.lead(at).over(w).alias("valid_until"))
+def versions(df: DataFrame, keys: list[str], value: str, order: list[str], at: str, span: int = SPAN) -> DataFrame:
+    """Change points of a value per key: version from 1, previous value, valid_until; equal repeats change nothing.
+
+    The first of ``order`` is a whole number (an instant, an id); keys are cut by spans of it.
+    """
+    bucket = F.floor(F.col(order[0]) / span)
+    rows = df.select(*dict.fromkeys([*keys, value, *order, at]))
+    seen = neighbour(rows.withColumn("__here", F.struct(F.col(value).alias("v"))), keys, bucket, order, "__here", "__before", ahead=False)
+    changed = durable(seen.where(F.col("__before").isNull() | ~F.col(value).eqNullSafe(F.col("__before.v"))).withColumn("previous", F.col("__before.v")).drop("__here", "__before"))
+    told = neighbour(running(changed, keys, bucket, order, F.lit(1), "version"), keys, bucket, order, at, "valid_until")
+    return told.select(*keys, F.col(value), F.col("version").cast("int").alias("version"), "previous", F.col(at).alias("valid_from"), "valid_until")
 
 
 def split_predicates(triples: DataFrame, many: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.instants import DAY_US
 from palimpsest.functions.language import key_sentences
 from palimpsest.functions.rules import compact
+from palimpsest.operators.ordered import beyond_newest, running
 from palimpsest.operators.relational import ordered_chunks
 
 
@@ -42,8 +43,8 @@ def degrade(rows: DataFrame, ref_us: int, first: int = 100, second: int = 50, si
 
 def trimmed(rows: DataFrame, session: str, at: str, keep: int, ref_us: int, ttl_us: int) -> DataFrame:
     """Ids to trim: beyond the newest ``keep`` of their session, or older than the time to live."""
-    n = F.row_number().over(W.partitionBy(session).orderBy(F.desc(at), F.desc("id")))
-    return rows.withColumn("__n", n).where((F.col("__n") > keep) | (F.unix_micros(at) < ref_us - ttl_us)).drop("__n")
+    marked = beyond_newest(rows, [session], [at, "id"], keep)
+    return marked.where(F.col("__old") | (F.unix_micros(at) < ref_us - ttl_us)).drop("__old")
 
 
 def due(rows: DataFrame, episodic: DataFrame, before_us: int, held_from: float = 0.9) -> DataFrame:
@@ -116,6 +117,5 @@ def sandwich(rows: DataFrame, query: str, score: str) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, query: str, order: str, size: Column, budget: int) -> DataFrame:
-    """Rows in order until the first that would overflow the budget."""
-    w = W.partitionBy(query).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    """Rows in order (of a text) until the first that would overflow the budget."""
+    return running(rows, [query], F.substring(order, 1, 3), [order], size, "used").where(F.col("used") <= budget)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ordered import neighbour
+
 
 def winners(events: DataFrame, key: str, at: str, importance: str, device: str, event: str) -> DataFrame:
     """The event that wins per key: latest, then most important, then greatest device and id.  Pre-aggregated, no window; events without a key or time are left out."""
@@ -119,6 +121,7 @@ def last_n(events: DataFrame, at: str, event: str, n: int, kinds: list[str] | No
 
 def transitions(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Counts of adjacent value pairs along each group's order."""
-    w = W.partitionBy(group).orderBy(*order)
-    return rows.withColumn("next", F.lead(value).over(w)).where(f"next is not null and {value} is not null").groupBy(F.col(value).alias("before"), F.col("next").alias("after")).agg(F.count("*").alias("n"))
+    # The first of the order is a time.
+    follow = neighbour(rows.select(group, *order, value), [group], F.date_trunc("hour", order[0]), order, value, "next")
+    return follow.where(f"next is not null and {value} is not null").groupBy(F.col(value).alias("before"), F.col("next").alias("after")).agg(F.count("*").alias("n"))
 

@@ -320,7 +320,7 @@ k as (select * from c where n = 1 or object is distinct from before)
 select subject, predicate, object, row_number() over w as version, before as previous, valid_from, lead(valid_from) over w as valid_until from k window w as (partition by subject, predicate order by valid_from, id)""")
 def w5_w6_versions(spark, d):
     t = _dated(spark, d, "subject", "predicate", "object").withColumn("subject", F.lower(F.trim("subject")))
-    return history.versions(t, ["subject", "predicate"], "object", ["valid_from", "id"], "valid_from")
+    return history.versions(t, ["subject", "predicate"], "object", ["valid_from", "id"], "valid_from", 86_400_000_000)
 
 
 @query("select subject, predicate, k as chunk, string_agg(object, ' -> ' order by id) as evolution, count(*)::bigint as n from (select *, (row_number() over (partition by subject, predicate order by id) - 1) // 1000 as k from (select distinct id, lower(trim(subject)) as subject, predicate, object from triples where object is not null)) group by subject, predicate, k")

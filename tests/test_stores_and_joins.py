@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest import session
 from palimpsest.functions import language as L
 from palimpsest.functions import media
-from palimpsest.operators import conflicts, history, lifecycle, patterns, recall, relational, retrieval, stores, sync, voices
+from palimpsest.operators import conflicts, history, lifecycle, ordered, patterns, recall, relational, retrieval, stores, sync, voices
 from palimpsest.sources import files
 
 
@@ -95,6 +95,27 @@ def test_proposals_and_validations(spark):
     assert {(r.id, r.state, r.n_kept) for r in stores.validation_state(a).collect()} == {("m", "deleted", 2), ("n", "updated", 2)}
 
 
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_orders_in_two_levels(spark, span):
+    rng = random.Random(span)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, *range(60)]), i, rng.choice([None, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, i int, v int")
+    bucket, order = F.floor(F.col("t") / span), ["t", "i"]
+    got = {}
+    for r in ordered.neighbour(df, ["k"], bucket, order, "v", "x").collect():
+        got[r.i] = [r.x]
+    for name, frame in (("x", ordered.neighbour(df, ["k"], bucket, order, "v", "x", ahead=False)), ("x", ordered.next_known(df, ["k"], bucket, order, F.col("v"), "x")), ("x", ordered.running(df, ["k"], bucket, order, F.coalesce("v", F.lit(0)), "x")), ("__old", ordered.beyond_newest(df, ["k"], order, 20))):
+        for r in frame.collect():
+            got[r.i].append(r[name])
+    for k in ("hot", "b", None):
+        line = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        values = [r[3] for r in line]
+        for n, r in enumerate(line):
+            known = [v for v in values[n + 1 :] if v is not None]
+            want = [values[n + 1] if n + 1 < len(line) else None, values[n - 1] if n else None, known[0] if known else None, sum(v or 0 for v in values[: n + 1]), len(line) - n > 20]
+            assert got[r[2]] == want, (r, got[r[2]], want)
+
+
 def test_chunks_of_a_hot_key(spark):
     rows = [("hot", i, f"v{i}") for i in random.Random(2).sample(range(5000), 2300)] + [(None, 7, "n"), ("x", 1, "a")]
     got = {(r.k, r.chunk): r.evolution for r in history.evolution_chunks(spark.createDataFrame(rows, "k string, n long, v string"), ["k"], "v", "n", 1000, 300).collect()}
