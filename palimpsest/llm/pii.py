@@ -165,7 +165,9 @@ def _votes(kind: str, item: str, before: str, after: str) -> tuple[int, int, int
         listed = any(w in _GIVEN for w in long) or any(w in _SURNAMES for w in long)
         caseless = item == item.lower() or item == item.upper()
         context = 0 if _CAPTION_BEFORE.search(before) or _CAPTION_AFTER.search(after) else 2 if _NAME_BEFORE.search(before) or _NAME_AFTER.search(after) else 1
-        return 0 if len(long) > 3 else 2 if _INITIALED.search(item) else 1, 2 if listed else 1, context, 3 if caseless else 2 if "," in item else int("." in item)
+        # A given name behind a word that is on no list: the name begins there.
+        late = "," not in item and long and long[0] not in _GIVEN and long[0] not in _SURNAMES and any(w in _GIVEN for w in long[1:])
+        return 0 if late or len(long) > 3 else 2 if _INITIALED.search(item) else 1, 2 if listed else 1, context, 3 if caseless else 2 if "," in item else int("." in item)
     bad = 0 if _NOT.search(before) else 1
     if kind == "email":
         tail = item.rsplit(".", 1)[-1].rsplit(" ", 1)[-1].lower()

@@ -94,7 +94,6 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
     n_letters, n_alnum = F.length("__letters"), F.length("__alnum")
     celled = F.filter("__cells", lambda c: c >= 1)
     w = F.size("__list")
-    vowels = "aeiouyäöüáéíóúàèùâêîôûœ"
     df = df.withColumns(
         {
             "language": F.coalesce(known, most, F.lit("")),
@@ -110,7 +109,7 @@ def with_statistics(docs: DataFrame, words: dict[str, list[str]], text: str = "t
             "s_cell_regular": F.when(F.size(celled) >= 2, _share(F.size(F.filter(celled, lambda c: c == F.array_max(celled))), n_lines)).otherwise(0.0),
             "s_gap_share": of_lines(lambda x: F.trim(x).rlike(r"(?<=\S)(?: {2,}|\t|\|)|</t[dh]>")),
             "s_sentence_rate": F.least(_share(F.regexp_count(t, F.lit(r"(?<=\p{L})[.!?…][\"'”»)]*(?:\s|$)")) * 12, w), F.lit(3.0)),
-            "s_vowel_share": _share(n_letters - F.length(F.translate("__letters", vowels, "")), n_letters),
+            "s_vowel_share": _share(F.length(_without(F.col("__letters"), r"[^aeiouyäöüáéíóúàèùâêîôûœ]+")), n_letters),
             "s_longest_token": F.log1p(F.array_max(F.transform("__tokens", lambda x: F.length(x))).cast("double")),
             "s_repeat_share": 1 - _share(F.size(F.array_distinct("__tokens")), F.size("__tokens")),
             "s_odd_letters": _share(F.regexp_count(t, F.lit(r"[\x{FFFD}ÃÂâï½¿€™œ‰©°]")), F.col("__visible")),
