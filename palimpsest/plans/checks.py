@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import dates, media
 from palimpsest.functions import text as X
 from palimpsest.operators import ingest, lifecycle, patterns
-from palimpsest.plans import more, reference, texts
+from palimpsest.plans import more, recall, reference, texts
 from palimpsest.plans.recall import _EXP, lex_sql
 from palimpsest.plans.reference import _BM25, _BOTH, _TOKENS, EM, REF_US, US, WM, em, wm
 from palimpsest.plans.texts import _q, _type_sql
@@ -152,18 +152,34 @@ _LIKE = "len(list_intersect({0}, {1})) / greatest(1, len(list_distinct(list_conc
 _OUT = "select query_id, unnest(ids) as id, generate_subscripts(ids, 1)::int as position from (select query_id, arg_max(ids, len(ids)) as ids from st group by query_id)"
 
 
-def _greedy(hits: str, value: str, grows: str, k: int = 10) -> str:
-    """Each step takes the row of the greatest value among those not taken; ``grows`` is what it adds to the state ``sets``."""
+def _greedy(hits: str, value: str, grows: str, k: int = 10, rows: str | None = None) -> str:
+    """Each step takes the row of the greatest value among those not taken; ``grows`` is what it adds to the state ``sets``.  ``rows`` is SQL with the rows h, in place of text hits."""
     best = f"list_max(list_transform(list_filter(c, y -> not list_contains(ids, y.id)), y -> {{'v': {value}, 'n': -y.n, 'id': y.id, 'w': y.w}}))"
     return (
-        _BM25.replace("with t as", "with recursive t as", 1)
-        + f", {_HITS.replace("{0}", hits)}, q as (select query_id, list({{'id': id, 'n': n, 'score': score, 'w': w}} order by n) as c from h group by query_id), "
+        (rows or _BM25.replace("with t as", "with recursive t as", 1) + ", " + _HITS.replace("{0}", hits))
+        + f", q as (select query_id, list({{'id': id, 'n': n, 'score': score, 'w': w}} order by n) as c from h group by query_id), "
         + f"st as (select query_id, c, []::varchar[] as ids, {grows.format('null')} as sets from q union all select query_id, c, list_append(ids, b.id), {grows.format('b')} from (select *, {best} as b from st where len(ids) < least({k}, len(c)))) "
         + _OUT
     )
 
 
-check(reference.k6_mmr, _greedy(" where rank <= 20", f"round(0.7 * y.score - 0.3 * coalesce(list_max(list_transform(sets, z -> {_LIKE.format('y.w', 'z')})), 0), 12)", "case when {0} is null then []::varchar[][] else list_append(sets, {0}.w) end").replace("case when null is null then []::varchar[][] else list_append(sets, null.w) end", "[]::varchar[][]").replace("case when b is null then []::varchar[][] else list_append(sets, b.w) end", "list_append(sets, b.w)"))
+def _mmr(hits: str, rows: str | None = None) -> str:
+    value = f"round(0.7 * y.score - 0.3 * coalesce(list_max(list_transform(sets, z -> {_LIKE.format('y.w', 'z')})), 0), 12)"
+    sql = _greedy(hits, value, "case when {0} is null then []::varchar[][] else list_append(sets, {0}.w) end", rows=rows)
+    return sql.replace("case when null is null then []::varchar[][] else list_append(sets, null.w) end", "[]::varchar[][]").replace("case when b is null then []::varchar[][] else list_append(sets, b.w) end", "list_append(sets, b.w)")
+
+
+check(reference.k6_mmr, _mmr(" where rank <= 20"))
+check(
+    recall.r20_enhanced_recall,
+    _mmr(
+        "",
+        recall._RECALL.replace("with ", "with recursive ", 1)
+        + f""", p20 as (select id, tier, score from ranked where rank <= {2 * recall.K} and tier <> 'fact'),
+c20 as (select id, 'working' as tier, any_value(epoch_us(created_at)) as at, any_value(content) as content from working_memory group by id union all select id, 'episodic', any_value(epoch_us(created_at)), any_value(content) from episodic_memory group by id),
+b20 as (select id, content, round(0.7 * score + 0.3 * {recall._WB}, 6) as score from p20 join c20 using (id, tier)), h as (select 'q' as query_id, id, score, row_number() over (order by round(score, 9) desc, id) as n, {_SET} as w from b20)""",
+    ),
+)
 _K5 = query_tokens("vector index office server grocery list monday")
 check(
     more.k5_coverage,

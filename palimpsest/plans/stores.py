@@ -10,7 +10,10 @@ from palimpsest.functions import predicates, rules
 from palimpsest.functions import text as X
 from palimpsest.operators import conflicts, facts, history, lifecycle, patterns, relational, retrieval, stores
 from palimpsest.plans.reference import _TOKENS, EM, ME, REF_US, TR, US, WM, em, me, tr, wm
-from palimpsest.plans.texts import _compact_sql, _type_sql
+from palimpsest.plans.reference import QUERIES as _REFERENCE
+from palimpsest.plans.similar import _E as _TEXT_VECTORS
+from palimpsest.plans.similar import _NORM as _LENGTH
+from palimpsest.plans.texts import _compact_sql, _q, _type_sql
 from palimpsest.plans.words import E as E_ROWS
 from palimpsest.plans.words import W as W_ROWS
 from palimpsest.plans.words import _list, duck
@@ -237,9 +240,12 @@ def x26_export_report(spark, d):
 _NOISE = "case when score >= 0.8 then 'delete' when score >= 0.5 then 'archive' else 'keep' end"
 
 
-@query()
+_FLAGGED = " or ".join(f"regexp_matches(content, {_q(p)})" for p in X.SECRET_PATTERNS.values())
+
+
+@query(f"select source, case when flagged then 'flag' when score >= 0.8 then 'delete' when score >= 0.5 then 'archive' else 'keep' end as action, count(*)::bigint as n from (select s.id, s.score, w.source, {_FLAGGED} as flagged from ({_REFERENCE['f27_l15_noise'][1]}) s join (select distinct id, source, content from working_memory where content is not null) w using (id)) group by all")
 def l15_x15_noise_summary(spark, d):
-    """How many rows each suggested action would take, per source (scores as in f27_l15_noise, which SQL checks)."""
+    """How many rows each suggested action would take, per source."""
     c = F.col("content")
     scored = wm(spark, d).where("content is not null").select("id", "source", X.suggested_action(X.noise_score(c, F.col("importance"), F.col("source")), X.secrets(c)).alias("action")).distinct()
     return scored.groupBy("source", "action").agg(F.count("*").alias("n"))
@@ -491,10 +497,11 @@ def g14_x24_query_annotations(spark, d):
     return stores.query_annotations(stores.add_annotation(new.limit(0), new), "has_source", "insight").select("memory_id", "value")
 
 
-@query()
+@query(f"""with e as {_TEXT_VECTORS} select q.id as src, v.id as dst, round(greatest(0.1, 1 - 0.2 * (row_number() over (partition by q.id order by round(list_dot_product(q.v, v.v) / greatest(1e-300, {_LENGTH.format('q.v')}) / greatest(1e-300, {_LENGTH.format('v.v')}), 9) desc, v.id) - 1)), 9)::double as weight
+from e q join e v on q.id <> v.id where ('0x' || left(md5(q.id), 4))::int % 50 = 0 qualify row_number() over (partition by q.id order by round(list_dot_product(q.v, v.v) / greatest(1e-300, {_LENGTH.format('q.v')}) / greatest(1e-300, {_LENGTH.format('v.v')}), 9) desc, v.id) <= 5""")
 def g21_similar_links(spark, d):
-    """For each row whose hash is divisible by 100 the five most alike, of weight 1, 0.8, 0.6 ... (at least 0.1)."""
+    """For each row whose hash is divisible by 50 the five most alike, of weight 1, 0.8, 0.6 ... (at least 0.1)."""
     t = em(spark, d).where("content is not null and id is not null").select("id", "content")
     rows = t.select("id", conflicts.hashed_embedding(64)(X.tokens(F.col("content"))).alias("embedding")).groupBy("id").agg(F.first("embedding").alias("embedding"))
-    near = retrieval.vector_topk(rows, rows.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0), 5, 64)
+    near = retrieval.vector_topk(rows, rows.where(F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 50 == 0), 5, 64)
     return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.greatest(F.lit(0.1), F.round(1 - 0.2 * (F.col("rank") - 1), 9)).alias("weight"))
