@@ -26,6 +26,7 @@ Null and empty texts have no spans.  A record's repeated item counts once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -133,7 +134,7 @@ _RUN_PART = regex.compile(rf"({_WORD}|{_INITIAL}|(?:{_alt(PARTICLES)})\b)(,?)")
 _SHOUTED = regex.compile(r"(?<![\p{L}'’-])\p{Lu}[\p{Lu}'’-]+(?![\p{L}'’-])")
 _CAPITAL = regex.compile(r"(?<!\w)\p{Lu}\p{L}")
 _INITIALED = regex.compile(r"\b\p{Lu}\.")
-_LOWER_WORD = regex.compile(r"[^\W\d_]+")
+_LOWER_WORD = re.compile(r"[^\W\d_]+")
 _NEXT = regex.compile(rf"(?:{_GAP}\p{{L}}\.)*{_GAP}(?:(?:{_alt(PARTICLES)}){_GAP})*\p{{L}}[\p{{L}}\p{{M}}'’]+(?:-\p{{L}}[\p{{L}}\p{{M}}'’]+)*(?![\w@])", regex.I)
 _PRECEDING = regex.compile(rf"(?<![\w@.+-])(?:(?:{_alt(PARTICLES)}){_GAP})*(\p{{L}}[\p{{L}}\p{{M}}'’]+(?:-\p{{L}}[\p{{L}}\p{{M}}'’]+)*),{_GAP}$", regex.I)
 _ADDRESS_PART, _ADDRESS_REST = regex.compile(r"[@.+_-]$"), regex.compile(r"[@_+-]|\.\w")
@@ -147,7 +148,9 @@ _STREET_RE = regex.compile(rf"\b(?:{_alt(STREET_AFTER + STREET_BEFORE_NUMBER + S
 _NOT = regex.compile(NOT_PERSONAL, regex.I)
 _PHONE_BEFORE, _NAME_BEFORE, _NAME_AFTER, _CAPTION_BEFORE, _CAPTION_AFTER = (regex.compile(p, regex.I) for p in (PHONE_BEFORE, NAME_BEFORE, NAME_AFTER, CAPTION_BEFORE, CAPTION_AFTER))
 _ADDRESS_AROUND = regex.compile(r"(?:at|to|au|en|jetzt|address\W*|an|ship|near|lives?|wohnt.*|es|in|,|=|:)\W*$", regex.I)
-_DIGIT = regex.compile(r"\d")
+_DIGIT = re.compile(r"\d")
+# No telephone or identity number has fewer digits.
+_SIX_DIGITS = re.compile(r"\d(?:[ .()/-]{0,3}\d){5}")
 _AT = regex.compile(r"@|\bat\b", regex.I)
 _PIECES = regex.compile(r"\p{L}+\.?|\d+")
 _MAIL_END = regex.compile(r"(?:[.\])]|dot)\s?[a-z]{2,}$", regex.I)
@@ -184,12 +187,10 @@ def _votes(kind: str, item: str, before: str, after: str) -> tuple[int, int, int
     return 2 if _DIGIT.search(item) else 0, 2 if _STREET_RE.search(item) else 0, 2 if _ADDRESS_AROUND.search(before) else 1, min(3, item.count(" "))
 
 
-def _names(text: str) -> set[tuple[int, int]]:
+def _names(text: str, low: str, words: list[str]) -> set[tuple[int, int]]:
     """Where a name may stand."""
     out: set[tuple[int, int]] = set()
     # Where nearly every word has a capital, capitals say nothing.
-    low = text.lower()
-    words = _LOWER_WORD.findall(low)
     n = len(words)
     told = n < 12 or len(_CAPITAL.findall(text)) < 0.6 * n
     for run in RUN.finditer(text) if told else ():
@@ -272,11 +273,18 @@ def propose(text: str | None) -> list[tuple[str, int, int, str, list[int]]]:
     """Spans of a text: (kind, start, end, vote pattern, features)."""
     if not text:
         return []
-    found = [("person_name", start, end) for start, end in sorted(_names(text))]
+    low = text.lower()
+    words = _LOWER_WORD.findall(low)
+    found = [("person_name", start, end) for start, end in sorted(_names(text, low, words))]
     # The searches below only run where they can succeed.
     searches = [("email", EMAIL)] if _AT.search(text) else []
     if _DIGIT.search(text):
-        searches += [("phone", PHONE), ("id_number", ID_NUMBER), ("street_address", ADDRESS if WORDS_FIRST_HINT.search(text) else ADDRESS_BY_NUMBER)]
+        if _SIX_DIGITS.search(text):
+            searches += [("phone", PHONE), ("id_number", ID_NUMBER)]
+        if WORDS_FIRST_HINT.search(text):
+            searches.append(("street_address", ADDRESS))
+        elif not _STREET_WORDS.isdisjoint(words):
+            searches.append(("street_address", ADDRESS_BY_NUMBER))
     for kind, pattern in searches:
         for m in pattern.finditer(text):
             start, end = m.span()
