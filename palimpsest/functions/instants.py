@@ -90,7 +90,7 @@ def _to_wall(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def _barrier(value: Column) -> Column:
+def barrier(value: Column) -> Column:
     """The same value, from a projection that filters are not pushed through.
 
     A filter pushed through the stages below would have each stage's expressions
@@ -216,10 +216,10 @@ def with_candidates(df: DataFrame, text: str, zone: Column, locale: Column, out:
     )
     single = F.coalesce("__us_later", "__us_alt", F.when(F.col("__kind") == "compact", F.col("__epoch"))).isNull() & F.col("__us").isNotNull()
     value = F.when(single, F.array(reading(F.lit(0.0), fmt, F.col("__us")))).otherwise(F.filter(every, lambda x: x["us"].isNotNull()))
-    return df.withColumn(out, _barrier(value.cast(CANDIDATES))).drop("__open", *made)
+    return df.withColumn(out, barrier(value.cast(CANDIDATES))).drop("__open", *made)
 
 
 def with_instant(df: DataFrame, text: str, zone: Column, locale: Column, out: str) -> DataFrame:
     """Add ``out``, the declared instant of column ``text`` in epoch microseconds (null: none)."""
     df, made = _parsed(df, text, zone, locale, False)
-    return df.withColumn(out, _barrier(F.col("__us"))).drop(*made)
+    return df.withColumn(out, barrier(F.col("__us"))).drop(*made)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.functions import vectors as V
 from palimpsest.functions.decay import TIER_WEIGHT, lookup, recency, temporal_boost, veracity_weight
-from palimpsest.operators.retrieval import bm25, query_tokens, vector_topk
+from palimpsest.operators.retrieval import bm25, query_tokens, vector_topk, with_lexical
 from palimpsest.operators.voices import binary_bonus, capped_boost, current_bonus, flag_bonus
 from palimpsest.session import durable
 
@@ -51,19 +51,12 @@ def candidates(rows: DataFrame, vectors: DataFrame, query: str, asked_vector: Da
     return durable(t.join(v, "id", "full_outer"))
 
 
-def _lexical(query: str) -> tuple[list[str], Column, Column]:
-    asked = query_tokens(query)
-    tokens = X.expanded(X.tokens(F.col("content")))
-    matched = F.size(F.array_intersect(tokens, F.array(*[F.lit(t) for t in asked]).cast("array<string>")))
-    return asked, X.lexical_relevance(asked, tokens, F.col("content"), query), matched
-
-
 def working_scores(rows: DataFrame, found: DataFrame, query: str, ref_us: int, importance_weight: float = 0.2, temporal_weight: float = 0.0) -> DataFrame:
     """Scored working rows (id, content, importance, created_us, veracity) among the candidates: a row passes by its words alone, its vector only re-weights."""
-    asked, lex, matched = _lexical(query)
+    asked = query_tokens(query)
     n, iw = max(1, len(asked)), importance_weight
     # Repeated rows are dropped among the candidates, where they are few.
-    hydrated = durable(rows.where("content is not null").join(F.broadcast(found), "id").distinct().withColumns({"lex": lex, "matched": matched}))
+    hydrated = durable(with_lexical(rows.where("content is not null").join(F.broadcast(found), "id").distinct(), query, "lex", "matched"))
     gate = F.when((F.col("matched") >= 2) & F.lit(len(asked) >= 4), 1.0 / n).otherwise(X.minimum_relevance(len(asked)))
     by_text = F.col("norm").isNotNull()
     relevance = F.when(~by_text, F.col("lex")).when(F.col("lex") >= gate, F.greatest(F.col("lex"), 0.75 * F.col("lex") + 0.25 * F.col("norm"))).otherwise(0.0)
@@ -97,9 +90,10 @@ def knowledge_bonuses(rows: DataFrame, facts: DataFrame, query: str) -> DataFram
 
 def episodic_scores(rows: DataFrame, found: DataFrame, signs: DataFrame, facts: DataFrame, query: str, ref_us: int, dim: int, weights: tuple[float, float, float] = WEIGHTS, temporal_weight: float = 0.0) -> DataFrame:
     """Scored episodic rows (id, content, importance, created_us, tier, veracity) among the candidates.  ``signs`` has id and the sign distance to the query."""
-    asked, lex, _ = _lexical(query)
+    asked = query_tokens(query)
     vw, fw, iw = weights
-    hydrated = durable(rows.where("content is not null").withColumnRenamed("tier", "level").join(F.broadcast(found), "id").distinct().withColumn("lex", lex))
+    hydrated = rows.where("content is not null").withColumnRenamed("tier", "level").join(F.broadcast(found), "id").distinct()
+    hydrated = durable(with_lexical(hydrated, query))
     sim, norm = F.coalesce("d_rel", F.lit(0.0)), F.coalesce("norm", F.lit(0.0))
     kept = hydrated.where((F.col("lex") >= X.minimum_relevance(len(asked))) | (sim >= 0.65))
     kept = kept.join(knowledge_bonuses(kept.select("id", "content"), facts, query), "id", "left").join(signs, "id", "left")
@@ -124,9 +118,8 @@ def boosted(scored: DataFrame, names: list[str], facts: DataFrame) -> DataFrame:
 def injected_facts(facts: DataFrame, query: str, least: float = 0.35, n: int = 5) -> DataFrame:
     """Facts (id, name, predicate, object, confidence) as answers of their own: those whose words fit the query by ``least``, scored min(0.6, 0.6 relevance)."""
     text = F.concat_ws(" ", "name", "predicate", "object")
-    asked = query_tokens(query)
-    rel = X.lexical_relevance(asked, X.expanded(X.tokens(F.col("content"))), F.col("content"), query)
-    told = facts.where("name is not null and object is not null").groupBy(text.alias("content")).agg(F.min("id").alias("id")).withColumn("lex", rel).where(F.col("lex") >= least)
+    told = facts.where("name is not null and object is not null").groupBy(text.alias("content")).agg(F.min("id").alias("id"))
+    told = with_lexical(told, query).where(F.col("lex") >= least)
     best = told.orderBy(F.desc("lex"), "id").limit(n)
     null = F.lit(None).cast("double")
     return best.select(F.concat(F.lit("fact:"), F.col("id").cast("string")).alias("id"), F.lit("fact").alias("tier"), "content", F.least(F.lit(0.6), 0.6 * F.col("lex")).alias("score"), "lex", null.alias("norm"), null.alias("sim"))

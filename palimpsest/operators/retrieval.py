@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.functions import vectors as V
 from palimpsest.functions.decay import recency, temporal_boost, veracity_weight
+from palimpsest.functions.instants import barrier
 from palimpsest.session import durable
 
 K1, B = 1.2, 0.75
@@ -179,6 +180,20 @@ def hamming_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Da
     return ranked(found.withColumn("near", -F.col("distance").cast("double")), k, score="near").drop("near")
 
 
+def with_lexical(rows: DataFrame, query: str, out: str = "lex", matched: str | None = None) -> DataFrame:
+    """Add the words' relevance to a query, and how many of its words a row has.
+
+    Stages of plain columns, behind barriers: each text is cut into words once and
+    each relevance is worked out once, however often it is used above.
+    """
+    asked = query_tokens(query)
+    staged = rows.withColumn("__t", barrier(X.tokens(F.col("content")))).withColumn("__x", barrier(X.expanded(F.col("__t"))))
+    told = {out: barrier(X.lexical_relevance(asked, F.col("__x"), F.col("content"), query))}
+    if matched:
+        told[matched] = barrier(F.size(F.array_intersect("__x", F.array(*[F.lit(t) for t in asked]).cast("array<string>"))))
+    return staged.withColumns(told).drop("__t", "__x")
+
+
 def linear_working(rows: DataFrame, query: str, ref_us: int, importance_weight: float = 0.2, temporal_weight: float = 0.0) -> DataFrame:
     """The working-tier blend for one query over (id, content, importance, created_us, veracity).
 
@@ -187,9 +202,8 @@ def linear_working(rows: DataFrame, query: str, ref_us: int, importance_weight:
     before the trust weight, as the reference formula has.
     """
     asked = query_tokens(query)
-    relevance = X.lexical_relevance(asked, X.expanded(X.tokens(F.col("content"))), F.col("content"), query)
     iw = importance_weight
-    kept = rows.where("content is not null").withColumn("relevance", relevance).where(F.col("relevance") >= X.minimum_relevance(len(asked)))
+    kept = with_lexical(rows.where("content is not null"), query, "relevance").where(F.col("relevance") >= X.minimum_relevance(len(asked)))
     importance = F.coalesce("importance", F.lit(0.5))
     base = F.col("relevance") * (1 - iw) * 0.6 + importance * iw + 0.08 * F.col("relevance") * F.col("relevance")
     rc = (1 - iw) * 0.4

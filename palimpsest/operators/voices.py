@@ -11,7 +11,7 @@ from palimpsest.functions import language as L
 from palimpsest.functions import text as X
 from palimpsest.functions import vectors as V
 from palimpsest.functions.decay import recency
-from palimpsest.operators.retrieval import query_tokens, ranked, reciprocal_ranks
+from palimpsest.operators.retrieval import query_tokens, ranked, reciprocal_ranks, with_lexical
 
 CURRENT_WORDS = ["current", "currently", "now", "latest", "live", "today"]  # Fixed values.
 
@@ -80,9 +80,8 @@ def linear_episodic(rows: DataFrame, query: str, ref_us: int, weights: tuple[flo
     total = sum(weights)
     vw, fw, iw = (w / total for w in weights)
     asked = query_tokens(query)
-    lex = X.lexical_relevance(asked, X.expanded(X.tokens(F.col("content"))), F.col("content"), query)
     sim, norm = F.coalesce("sim", F.lit(0.0)), F.coalesce("norm", F.lit(0.0))
-    kept = rows.withColumn("lex", lex).where((F.col("lex") >= X.minimum_relevance(len(asked))) | (sim >= 0.65))
+    kept = with_lexical(rows, query).where((F.col("lex") >= X.minimum_relevance(len(asked))) | (sim >= 0.65))
     base = sim * vw + norm * fw + F.coalesce("importance", F.lit(0.5)) * iw
     score = F.greatest(base, 0.8 * F.col("lex")) * (0.7 + 0.3 * recency(F.col("created_us"), ref_us))
     tier = F.when(F.col("tier") == 2, 0.5).when(F.col("tier") == 3, 0.25).otherwise(1.0)

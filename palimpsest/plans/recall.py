@@ -68,8 +68,8 @@ def _rows(spark, d, name: str) -> DataFrame:
     return t.withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
 
 
-def _scored(spark, d) -> tuple[DataFrame, DataFrame]:
-    asked, facts = _asked(spark, d), _facts(spark, d)
+def _scored(spark, d, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    asked, facts = _asked(spark, d), facts if facts is not None else _facts(spark, d)
     w, e = _rows(spark, d, "working_memory"), _rows(spark, d, "episodic_memory")
     ev = _episodic_vectors(spark, d)
     found_w = R.candidates(w, _working_vectors(spark, d), ASKED, asked, DIM, TEXT_N, VECTOR_N)
@@ -82,8 +82,9 @@ def _scored(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def _recalled(spark, d, k: int = K) -> DataFrame:
     """Both tiers boosted, summaries met with what they cover, facts injected, the k best."""
-    working, episodic = _scored(spark, d)
-    facts = _facts(spark, d)
+    # Read three times below.
+    facts = durable(_facts(spark, d))
+    working, episodic = _scored(spark, d, facts)
     both = durable(R.boosted(working.unionByName(episodic), NAMES, facts))
     covers = em(spark, d, "id", "summary_of").select("id", F.explode(F.split("summary_of", ",")).alias("covered"))
     return R.top(R.without_covered(both, covers).unionByName(R.injected_facts(facts, ASKED)), k)
@@ -177,11 +178,11 @@ union all select 'episodic', (select count(*) from e_n), (select count(*) from e
 def r31_x16_trace(spark, d):
     """How many rows each stage of a recall found and kept, per tier."""
     asked = _asked(spark, d)
-    out = None
+    out, scored = None, _scored(spark, d)
     for tier, name, vectors in (("working", "working_memory", _working_vectors(spark, d)), ("episodic", "episodic_memory", _episodic_vectors(spark, d))):
         rows = _rows(spark, d, name)
         found = R.candidates(rows, vectors, ASKED, asked, DIM, TEXT_N, VECTOR_N)
-        kept = _scored(spark, d)[tier == "episodic"].agg(F.count("*").alias("n_kept"))
+        kept = scored[tier == "episodic"].agg(F.count("*").alias("n_kept"))
         one = found.agg(F.count("norm").alias("n_text"), F.count("cos").alias("n_vector"), F.count("*").alias("n_found")).crossJoin(F.broadcast(kept)).select(F.lit(tier).alias("tier"), "n_text", "n_vector", "n_found", "n_kept")
         out = one if out is None else out.unionByName(one)
     return out

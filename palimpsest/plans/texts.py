@@ -232,9 +232,8 @@ def k14_browse(spark, d):
 @query()
 def r4_lexical(spark, d):
     asked = "shared calendar of the office server"
-    toks = retrieval.query_tokens(asked)
-    e = em(spark, d).where("content is not null")
-    return e.select("id", F.round(X.lexical_relevance(toks, X.expanded(X.tokens(F.col("content"))), F.col("content"), asked), 6).alias("relevance")).where("relevance > 0").distinct()
+    e = retrieval.with_lexical(em(spark, d).where("content is not null").select("id", "content"), asked)
+    return e.select("id", F.round("lex", 6).alias("relevance")).where("relevance > 0").distinct()
 
 
 @query(f"select w1.session_id, w1.id from {WM} w1 where w1.created_at is not null and epoch_us(w1.created_at) >= {REF_US} - {7 * 86_400_000_000} order by w1.created_at desc, w1.id desc limit 20")
