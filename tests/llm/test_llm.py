@@ -206,3 +206,22 @@ def test_quality_held_out(spark):
     assert 20_000_001 not in out.index and 20_000_002 not in out.index and 20_000_003 in out.index and 20_000_004 in out.index
     row = out.iloc[0]
     assert sum(row.contributions.values()) == pytest.approx(row.outlierness)
+
+
+def test_quality_without_words_samples_or_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "One plain sentence is here. Another one follows it.", "xx"), (2, "a | b\nc | d\ne | f", None), (3, None, "en"), (4, "Ein Satz mit ö und ü steht hier.", "de")], "doc_id long, text string, lang string").withColumn("language", F.lit("clash"))
+    samples = spark.createDataFrame([], "sample_id int, text string, lang string, text_class string")
+    words = spark.createDataFrame([], "lang string, word string")
+    # No label: everything with a text is prose; no common words: one language for all.
+    out = {r.doc_id: (r.text_class, r.language) for r in quality.classify(docs, samples, words).collect()}
+    assert out == {1: ("prose", ""), 2: ("prose", ""), 4: ("prose", "")}
+    assert quality.classify(docs.limit(0), samples, words).count() == 0
+    monkeypatch.setattr(quality, "MAX_WORDS", 1)
+    with pytest.raises(ValueError):
+        quality.classify(docs, samples, spark.createDataFrame([("en", "the"), ("en", "of")], words.schema))
+
+
+def test_collapse_looks_through_json_escapes(spark):
+    rows = [("a", json.dumps({"owner": "zoë \n groß", "topic": None})), ("b", "owner: ZOË GROSS\ntopic: x"), ("c", json.dumps({"topic": "", "owner": "Zoë\tGROß"}, ensure_ascii=False)), ("d", "owner: zoë gross | topic: x")]
+    copies = {tuple(r) for r in collapse(spark.createDataFrame(rows, "id string, content string"))[1].collect()}
+    assert copies == {("a", "c"), ("b", "d")}
