@@ -78,7 +78,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, dim: int, pivots: int =
     """a, b, cosine of all pairs of different ids (a < b) whose cosine reaches the threshold; none is lost.
 
     Every vector goes to the cell of its nearest pivot (a fixed number of vectors,
-    chosen by hash).  Angles obey the triangle inequality, so two cells can only hold
+    chosen by hash; no more of them than blocks are needed, for where nothing can be
+    ruled out a row meets every block).  Angles obey the triangle inequality, so two cells can only hold
     a pair if their pivots are no farther apart than both radii and the threshold's
     angle together; other pairs of cells are never met.  Cells are cut into blocks of
     ``block_rows``, a task multiplies two blocks, and only pairs over the threshold
@@ -88,6 +89,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, dim: int, pivots: int =
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["id"]
     sound = vectors.where(F.size("embedding") == dim).select("id", "embedding")
+    pivots = min(pivots, max(1, -(-sound.count() // block_rows)))
     chosen = sound.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     empty = f"a {kind}, b {kind}, cosine double"
     if not len(chosen):
