@@ -19,7 +19,8 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def import_json(spark: SparkSession, path: str, schema: str = MEMORY) -> DataFrame:
     """Rows of a declared schema and ``unreadable``, the text of a document that has not this schema (null for the others): nothing is dropped unseen."""
-    return spark.read.schema(f"{schema}, unreadable string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
+    read = F.from_json("value", f"{schema}, unreadable string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"})
+    return spark.read.text(path).where("trim(value) != ''").select(read.alias("r")).select("r.*")
 
 
 def import_outcomes(imported: DataFrame, current: DataFrame) -> DataFrame:
