@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,42 +112,111 @@ def ordered_chunks(rows: DataFrame, group: str, at: str, key: str, size: int = 1
     return placed.groupBy(group, F.floor(F.col("__i") / size).cast("bigint").alias("chunk")).agg(members.alias("rows"))
 
 
-def _shortened(name: Column, n: int) -> Column:
-    """The name and all that is left of it after up to n deletions."""
-    levels = [F.array(name)]
+# Names over this length are not cut in two: what is left after deletions would be too many keys.
+CUT_LENGTH = 29
+# Names that the places of the cuts are chosen by; they decide the time, not the pairs.
+CUT_SAMPLE = 20_000
+
+
+def _edits(length: int, threshold: float) -> int:
+    # One unit in the ninth digit: 0.2 * 15 must not fall below 3.
+    return math.floor((1 - threshold) * length + 1e-9)
+
+
+def _left(text: Column, n: int) -> Column:
+    """What is left of a text after n deletions, each set of places once."""
+    out = F.array(F.struct(text.alias("x"), F.lit(1).alias("i")))
     for _ in range(n):
-        cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        levels.append(F.array_distinct(F.flatten(F.transform(F.filter(levels[-1], lambda x: F.length(x) > 0), cut))))
-    return F.array_distinct(F.flatten(F.array(*levels)))
+        cut = lambda s: F.transform(F.filter(F.sequence(s["i"], F.greatest(s["i"], F.length(s["x"]))), lambda i: i <= F.length(s["x"])), lambda i: F.struct(F.concat(F.substring(s["x"], F.lit(1), i - 1), F.substring(s["x"], i + 1, F.length(s["x"]))).alias("x"), i.alias("i")))
+        out = F.flatten(F.transform(out, cut))
+    return F.array_distinct(F.transform(out, lambda s: s["x"]))
+
+
+def _letters(text: Column) -> Column:
+    """A bit per letter and its number among equal ones; an edit changes at most two."""
+    letters = F.array_sort(F.split(text, ""))
+    bits = F.transform(letters, lambda c, i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c, i + 1 - F.array_position(letters, c)), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+
+def _meetings(texts: list[str], most: int) -> list[list[float]]:
+    """For parts of 0 to ``most`` letters from the left: how often a pair meets by what is left after 0, 1 and 2 deletions, as far as single letters tell."""
+    agree = []
+    for p in range(most + 1):
+        c = Counter(t[:p] for t in texts)
+        agree.append(sum(n * (n - 1) for n in c.values()) / max(1, len(texts) * (len(texts) - 1)))
+    one, two, share, step, out = 0.0, 0.0, 1.0, 1.0, [[1.0] * 3]
+    for p in range(1, most + 1):
+        # Where no pair agrees any more, letters go on as they did.
+        step = min(1.0, agree[p] / agree[p - 1]) if agree[p] else step
+        share, more = share * step, 1 / step - 1
+        one, two = one + more, two + one * more
+        out.append([share, share * (p + one), share * (math.comb(p, 2) + one * (p - 1) + two)])
+    return out
+
+
+def name_cuts(sizes: dict[int, int], sample: list[str], threshold: float) -> list[tuple[int, int, int, int, int]]:
+    """(l, m, side, letters, deletions): the keys of a name of l letters for pairs whose longer name has m.
+
+    With e edits allowed, a name cut in two has at most f edits before or e - 1 - f
+    behind the cut.  The cut and f are those with the fewest expected keys and candidates.
+    """
+    plan = []
+    for m in sorted(sizes):
+        e = _edits(m, threshold)
+        if e < 1 or m > CUT_LENGTH:
+            continue
+        band = [n for n in sizes if m - e <= n <= m]
+        if e == 1:
+            plan += [(n, m, 0, m, 1) for n in band]
+            continue
+        near = [x for x in sample if m - e <= len(x) <= m]
+        heads, tails, rows = _meetings(near, m), _meetings([x[::-1] for x in near], m), sum(sizes[n] for n in band)
+        cost = lambda p, f: (rows * 4 * (math.comb(p, f) + math.comb(m - p, e - 1 - f)) + sizes[m] * rows * (heads[p][f] + tails[m - p][e - 1 - f]), p, f)  # noqa: E731, B023
+        _, p, f = min(cost(p, f) for p in range(1, m) for f in range(max(0, e - 3), min(2, e - 1) + 1) if p > f and m - p > e - 1 - f)
+        plan += [x for n in band for x in ((n, m, 0, p, f), (n, m, 1, m - p, e - 1 - f))]
+    return plan
 
 
 def similar_names(rows: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
     """name, other, similarity, n_links: all pairs of normalised names (name < other) whose entity similarity reaches the threshold.
 
     A name in several spellings also meets itself; n_links counts pairs of
-    spellings.  Candidates are complete: for edits, names share what is left after
-    (1 - threshold) of their own length is deleted (up to 3 deletions; longer names
-    meet all names of a possible length); for the prefix rule, names meet their
-    own prefixes.  Substrings that are no prefix stay below 0.8.
+    spellings.  Candidates are complete: for edits, names share what is left of their
+    beginnings or of their ends after a few deletions (``name_cuts``; names over
+    ``CUT_LENGTH`` meet all names of a possible length); for the prefix rule, names meet
+    their own prefixes.  Substrings that are no prefix stay below 0.8.
     """
     assert threshold >= 0.8
+    spark = rows.sparkSession
     n = F.lower(F.trim(name))
-    names = durable(rows.where(F.col(name).isNotNull()).select(name).distinct().groupBy(n.alias("n")).agg(F.count("*").alias("k")).withColumn("l", F.length("n")))
-    # One unit in the ninth digit: 0.2 * 15 must not fall below 3.
-    edits = F.floor((1 - threshold) * F.col("l") + 1e-9).cast("int")
-    keyed = None
-    for e in range(4):
-        part = names.where(edits == e).select("n", F.explode(_shortened(F.col("n"), e)).alias("key"))
-        keyed = part if keyed is None else keyed.unionByName(part)
-    keyed = keyed.select("n", F.xxhash64("key").alias("key"))
-    near = keyed.join(keyed.select(F.col("n").alias("o"), "key"), "key").where("n < o").select("n", "o")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spelled = rows.where(F.col(name).isNotNull()).select(name).distinct().select(n.alias("n")).repartition(tasks, "n")
+    names = durable(spelled.groupBy("n").agg(F.count("*").alias("k")).withColumn("l", F.length("n")).withColumn("bits", _letters(F.col("n"))))
+    # One row per length, and a bounded number of short names.
+    sizes = {r["l"]: r["c"] for r in names.where(F.col("l") <= CUT_LENGTH).groupBy("l").agg(F.count("*").alias("c")).collect()}
+    every = max(1, sum(sizes.values()) // CUT_SAMPLE)
+    sample = [r["n"] for r in names.where(F.col("l") <= CUT_LENGTH).where(F.pmod(F.xxhash64("n"), F.lit(every)) == 0).select("n").limit(2 * CUT_SAMPLE).collect()]
+    cuts = ", ".join(map(str, name_cuts(sizes, sample, threshold) or [(-1, -1, 0, 0, 0)]))
+    plan = spark.sql(f"select * from values {cuts} as t(l, m, side, size, f)")
+    part = F.when(F.col("side") == 0, F.expr("left(n, size)")).otherwise(F.expr("right(n, size)"))
+    # A name shorter than its part has lost letters already.
+    parts = names.join(F.broadcast(plan), "l").withColumn("part", part).withColumn("f", F.col("f") - F.col("size") + F.length("part"))
+    left = F.when(F.col("f") == 0, F.array("part")).when(F.col("f") == 1, _left(F.col("part"), 1)).when(F.col("f") == 2, _left(F.col("part"), 2))
+    keyed = parts.select("n", "k", "l", "m", "bits", F.explode(F.transform(left, lambda x: F.xxhash64("m", "side", x))).alias("key"))
+    edits = F.floor((1 - threshold) * F.col("m") + 1e-9).cast("int")
+    a = keyed.where("l = m").select("key", "n", "k", "m", "bits", edits.alias("e"))
+    b = keyed.select("key", F.col("n").alias("o"), F.col("k").alias("ko"), F.col("l").alias("lo"), F.col("bits").alias("bo"))
+    near = a.join(b, "key").where("lo < m or n < o").where("bit_count(bits ^ bo) <= 2 * e - m + lo").where("levenshtein(n, o, e) >= 0").select("n", "k", "o", "ko")
     lengths = F.sequence(F.greatest(F.lit(1), F.ceil(threshold * F.col("l") - 1e-9).cast("int")), F.col("l"))
-    long = names.where(edits > 3).select(F.col("n").alias("o"), F.explode(lengths).alias("l")).join(names.select("n", "l"), "l").where("n != o").select(F.least("n", "o").alias("n"), F.greatest("n", "o").alias("o"))
-    heads = names.where("l > 1").select(F.col("n").alias("o"), F.explode(F.sequence(F.greatest(F.lit(1), F.floor((threshold - 0.7) / 0.3 * F.col("l") - 1e-9).cast("int")), F.col("l") - 1)).alias("at"))
-    head = heads.select("o", F.substring("o", F.lit(1), F.col("at")).alias("n")).join(names.select("n"), "n").select("n", "o")
-    found = near.unionByName(long).unionByName(head).where(entity_similarity(F.col("n"), F.col("o")) >= threshold).distinct()
-    k = names.select("n", "k")
-    pairs = found.join(k, "n").join(k.select(F.col("n").alias("o"), F.col("k").alias("m")), "o")
+    far = names.select(F.col("n").alias("o"), F.col("k").alias("ko"), F.col("l").alias("lo"))
+    long = names.where(F.col("l") > CUT_LENGTH).select("n", "k", F.explode(lengths).alias("lo")).join(far, "lo").where("n != o").select("n", "k", "o", "ko")
+    least = F.greatest(F.lit(1), F.floor((threshold - 0.7) / 0.3 * F.col("l") - 1e-9).cast("int"))
+    heads = names.where("l > 1").select("n", "k", F.explode(F.transform(F.sequence(least, F.col("l") - 1), lambda i: F.substring("n", F.lit(1), i))).alias("o"))
+    head = heads.join(far.select("o", "ko"), "o").select("n", "k", "o", "ko")
+    pair = [F.least("n", "o").alias("n"), F.greatest("n", "o").alias("o"), (F.col("k") * F.col("ko")).alias("n_links")]
+    like = entity_similarity(F.col("n"), F.col("o"))
+    met = near.unionByName(long.where(like >= threshold)).unionByName(head).select(*pair).distinct()
     same = names.where("k > 1").select("n", F.col("n").alias("o"), F.expr("k * (k - 1) div 2").alias("n_links"))
-    linked = pairs.select("n", "o", (F.col("k") * F.col("m")).alias("n_links")).unionByName(same)
-    return linked.select(F.col("n").alias("name"), F.col("o").alias("other"), entity_similarity(F.col("n"), F.col("o")).alias("similarity"), "n_links")
+    linked = met.unionByName(same).select(F.col("n").alias("name"), F.col("o").alias("other"), like.alias("similarity"), "n_links")
+    return linked.where(F.col("similarity") >= threshold)

@@ -1,14 +1,15 @@
 """Whole jobs: no group, pair, row or word is left out."""
 
 import datetime
-
+import math
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.functions import text as X
-from palimpsest.operators import patterns, retrieval, voices
+from palimpsest.operators import patterns, relational, retrieval, voices
 
 
 def test_ordered_text_of_all_sessions(spark, tmp_path):
@@ -43,6 +44,36 @@ def test_similar_names_against_brute_force(spark, tmp_path):
     assert ("place:katefefe", "place:katefefe", 1.0, 3) in got
 
 
+def test_similar_names_meet_by_few_keys(spark):
+    """Pairs within the edits allowed share a key of their beginnings or ends, and a name has tens of keys, not hundreds."""
+    rnd = random.Random(8)
+    names = [rnd.choice(["user:", "agent:", "place:", "device:", "project:"]) + "".join(rnd.choice("bdfgk") + rnd.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    names += ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30))) for _ in range(300)]
+    sizes = {n: sum(len(x) == n for x in names) for n in {len(x) for x in names}}
+    plan = relational.name_cuts(sizes, names, 0.8)
+
+    def keys(x, m):
+        for _, _, side, size, f in (r for r in plan if r[:2] == (len(x), m)):
+            part = x[:size] if side == 0 else x[-size:]
+            yield from ((side, "".join(c)) for c in combinations(part, size - f))
+
+    per = [sum(math.comb(min(n, size), size - f) for l, _, _, size, f in plan if l == n) for n in (13, 14, 15, 16)]
+    assert max(per) <= 150, per
+    # Edited as often as is allowed, anywhere.
+    met = 0
+    for x in names:
+        for _ in range(10):
+            w, e = list(x), math.floor(0.2 * len(x) + 1e-9)
+            for _ in range(rnd.randint(0, e)):
+                at, do = rnd.randint(0, len(w)), rnd.random()
+                w[at : at + (do < 0.6)] = [] if do < 0.3 else [rnd.choice("abe")]
+            y, m = "".join(w), max(len(x), len(w))
+            if x != y and m in sizes and len(y) in sizes and m <= relational.CUT_LENGTH:
+                assert set(keys(x, m)) & set(keys(y, m)), (x, y)
+                met += 1
+    assert met > 2000
+
+
 def test_hamming_search_over_all_rows(spark, tmp_path):
     rnd = random.Random(6)
     # A gap after each query's id, and the nearest row far from it.
