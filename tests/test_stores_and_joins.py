@@ -1,5 +1,6 @@
 """Stores, similarity joins, language, sources and replication on small frames, against brute force where there is one."""
 
+import difflib
 import random
 
 import numpy as np
@@ -62,6 +63,18 @@ def test_conflicts_need_all_four(spark):
     assert one(spark, conflicts.edit_ratio(F.lit("abcd"), F.lit("bcde"))) == pytest.approx(0.75)
 
 
+def test_matching_blocks_of_many_pairs(spark):
+    rnd = random.Random(4)
+    text = lambda letters, most: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, most)))
+    pairs = [(text(s, most), text(s, most)) for s in ("ab", "abcdefgh:", "é日a\0b😀") for most in (20, 64, 90) for _ in range(150)]
+    want = [difflib.SequenceMatcher(None, x, y) for x, y in pairs]
+    got = conflicts.matched_letters([x for x, _ in pairs], [y for _, y in pairs])
+    assert got.tolist() == [sum(b.size for b in m.get_matching_blocks()) for m in want]
+    rows = [(i, x, y) for i, (x, y) in enumerate(pairs)] + [(-1, None, "a"), (-2, "a", None), (-3, "", "")]
+    df = spark.createDataFrame(rows, "i int, x string, y string").select("i", conflicts.edit_ratio("x", "y").alias("r"))
+    assert {r.i: r.r for r in df.collect()} == {i: m.ratio() for i, m in enumerate(want)} | {-1: None, -2: None, -3: 1.0}
+
+
 def test_point_operations(spark):
     rows = spark.createDataFrame([("a", "x", 0.5, None), ("b", "y", None, None), ("c", None, 0.1, None)], "id string, content string, importance double, superseded_by string")
     ops = [(1, "update", "a", "new", None, None), (2, "update", "a", None, 0.9, None), (3, "forget", "b", None, None, None), (4, "invalidate", "c", None, None, "a"), (5, "update", "c", None, None, None), (6, "fly", "a", None, None, None), (7, "update", None, "q", None, None), (8, "update", "c", "z", 7.0, None)]
